@@ -318,3 +318,13 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
     named = alone.join(by_node, "node", "left").select("node", F.coalesce("component_id", "own_id").alias("component_id"))
     out = rows.join(named, "node", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
+    """``docs`` with one row of each component: the one with the least doc_id.
+
+    Rows without a doc_id cannot be named and stay. Repeated rows become one.
+    """
+    ids = join_sets(docs, n=n, share=share).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(docs.columns).union(docs.where("doc_id is null"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwright.llm import decontam, jaccard, toxicity
+from chunkwright.llm import decontam, jaccard, mixing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(_remainder(3) != 1), "quality")
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
+    graded = quality.add_grades(docs.select("doc_id", "text", held_out), model)
+    top = F.coalesce(F.try_element_at("tail_probabilities", F.lit(-1)), F.lit(1.0)).alias("p_top_grade")
+    return graded.select("doc_id", "held_out", "expected_grade", top, quality.passes().alias("selected"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.find_hits(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -45,6 +58,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_toxicity": op3_toxicity,
+        "op4_mixing": op4_mixing,
+        "op6_quality": op6_quality,
         "op8_decontamination": op8_decontamination,
         "op9_jaccard_join": op9_jaccard_join,
     }
