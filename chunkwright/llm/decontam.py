@@ -247,7 +247,7 @@ def digest(ids: list[str]) -> str:
 
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words", coverage: float = 0.05):
     """True where hit words make at least ``coverage`` of all words."""
-    return (F.col(n_hit) > 0) & (F.col(n_hit) >= F.lit(coverage) * F.col(n_words))
+    return (F.col(n_hit) > 0) & (F.col(n_hit) >= F.lit(coverage) * F.col(n_words) - 1e-9)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, coverage: float = 0.05) -> DataFrame:
