@@ -11,11 +11,13 @@ Signatures without elements would be shared by unrelated sets. As more than
 ``SPARE`` parts agree, a set with at most ``SPARE`` parts that have an empty pair of cells needs no
 empty signature; the rare others emit all of theirs. Nothing is lost.
 
-Candidates are checked in two exact rounds. Of a signature's sets each is first paired with
-the least of them; of these pairs each set checks its best one. Then all other
-pairs that share a signature and whose sets are not yet in one component are
-checked. So links inside a component may stay unseen, but no component is ever split.
-Before a check, the sizes and a 128-cell count sketch bound the overlap from above.
+Candidates are checked exactly, in rounds. Of the sets that share a signature each is first
+paired with the one that shares most with others; of these pairs each set checks its best
+one. In later rounds, each group of sets that share a signature and are not yet in one
+component gives pairs across its components, until none is left unchecked. Links inside
+a component may stay unseen, but no component is ever split, and a group of n sets gives fewer
+than n pairs a round. Before a check, the sizes and a 128-cell count sketch bound the
+overlap from above; pairs that they rule out need no check.
 
 Rows: null or empty texts have no shingles and are alone. Copies, and texts with equal sets,
 share one node. Repeated rows and rows without a doc_id take part like others; a component's id
@@ -240,30 +242,41 @@ def _checked(share: int):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= share * (len(p) + len(q) - both))
-            yield from pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(keep, pa.bool_())).to_batches()
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "similar"])
 
     return run
 
 
 def _across(share: int):
-    """Of one group of sets: the pairs of sets of two components that the sketches allow."""
+    """Of one group of sets: pairs of sets that would join two components, if all that the sketches allow are similar.
+
+    Of n components at most n - 1 pairs come out, so a group's pairs do not grow with the square
+    of its size. Pairs that were checked before and are not similar are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+            out: set[tuple[int, int]] = set()
             for members in batch.column("members").to_pylist():
                 node = np.array([m["node"] for m in members], np.int64)
-                root = np.array([m["root"] for m in members], np.int64)
+                _, root = np.unique([m["root"] for m in members], return_inverse=True)
                 size = np.array([m["size"] for m in members], np.int64)
+                failed = [np.array(m["failed"] or [], np.int64) for m in members]
                 cells = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, CELLS)
                 for i in range(len(node) - 1):
-                    rest = np.flatnonzero((root[i + 1 :] != root[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= share * np.maximum(size[i + 1 :], size[i]))) + i + 1
-                    if len(rest):
+                    # The parts of the group that i may join, one pair for each; then they count as one.
+                    while len(rest := np.flatnonzero(root[i + 1 :] != root[i]) + i + 1):
                         rest = rest[near(cells[rest], cells[i], size[rest], size[i], share)]
-                    if len(rest):
-                        out.append((np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i])))
-            a, b = (np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                        if len(failed[i]):
+                            rest = rest[~np.isin(node[rest], failed[i])]
+                        if not len(rest):
+                            break
+                        _, first = np.unique(root[rest], return_index=True)
+                        for j in rest[first].tolist():
+                            out.add((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                            root[root == root[j]] = root[i]
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -283,12 +296,18 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
     packed = docs.mapInArrow(_signed(n, share, parts), "part int, sigs binary, nodes binary")
     groups = packed.repartition(parts, "part").mapInArrow(_buckets, "nodes array<long>, times long")
     groups = stored(groups.groupBy("nodes").agg(F.sum("times").alias("times")).withColumn("g", F.xxhash64("nodes")), "jaccard-groups")
-    needed = stored(groups.select(F.explode("nodes").alias("node")).distinct().join(distinct, "node"), "jaccard-nodes")
+    member = groups.select("g", "times", F.size("nodes").alias("n"), F.explode("nodes").alias("node"))
+    # Of a group, the set that shares most with others stands in the middle.
+    needed = member.groupBy("node").agg(F.sum(F.col("times") * (F.col("n") - 1)).alias("shared"))
+    needed = stored(needed.join(distinct, "node"), "jaccard-nodes")
     facts = needed.select("node", "size", "sketch")
-    stars = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, F.size("nodes") - 1)).alias("b"), "times").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    ranked = member.join(needed.select("node", "shared"), "node").select("g", "node", "times", "shared")
+    middle = ranked.groupBy("g").agg(F.max_by("node", F.struct("shared", "node")).alias("a"))
+    stars = ranked.join(middle, "g").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.sum("times").alias("times"))
     for x in "ab":
         stars = stars.join(facts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")), x)
-    stars = stored(stars.mapInArrow(_sketch_filter(share), "a long, b long, times long"), "jaccard-stars")
+    stars = stars.mapInArrow(_sketch_filter(share), "a long, b long, times long")
+    best = stored(stars.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "jaccard-stars")
     texts = docs.join(needed.where("doc_id is not null").select("doc_id").distinct(), "doc_id").select("text")
     if not needed.where("doc_id is null").isEmpty():
         texts = texts.union(docs.where("doc_id is null").select("text"))
@@ -298,19 +317,24 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
     def check(pairs: DataFrame) -> DataFrame:
         for x in "ab":
             pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")), x)
-        return pairs.mapInArrow(_checked(share), "a long, b long")
-
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-    links = stored(check(best), "jaccard-links")
-    roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-roots")
-    # Groups of sets that are not in one component yet.
-    member = groups.select("g", F.explode("nodes").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    torn = member.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-    open_ = member.join(torn, "g").join(facts, "node").groupBy("g").agg(F.collect_list(F.struct("node", "root", "size", "sketch")).alias("members"))
-    rest = open_.mapInArrow(_across(share), "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
-    more = stored(check(rest), "jaccard-links")
-    if not more.isEmpty():
-        roots = stored(components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-roots")
+        return stored(pairs.mapInArrow(_checked(share), "a long, b long, similar boolean"), "jaccard-pairs")
+
+    pairs, checked = best, None
+    while True:
+        now = check(pairs)
+        checked = now if checked is None else checked.union(now)
+        links = checked.where("similar").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        roots = stored(components(links), "jaccard-roots")
+        # Groups of sets that are not in one component yet.
+        placed = groups.select("g", F.explode("nodes").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        torn = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
+        wrong = checked.where("not similar").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+        wrong = wrong.groupBy(F.col("p.a").alias("node")).agg(F.collect_list("p.b").alias("failed"))
+        open_ = placed.join(torn, "g").join(facts.join(wrong, "node", "left"), "node")
+        open_ = open_.groupBy("g").agg(F.collect_list(F.struct("node", "root", "size", "sketch", "failed")).alias("members"))
+        pairs = stored(open_.mapInArrow(_across(share), "a long, b long").distinct(), "jaccard-open")
+        if pairs.isEmpty():
+            break
     linked = rows.join(roots, "node")
     ids = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = roots.join(ids, "root").select("node", "component_id")
