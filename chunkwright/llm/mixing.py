@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from chunkwright.llm.textops import small_batches, stored, utf8, word_bounds
 
 ADDED = ("size", "source_size", "target", "taken")
-_RANGES = 1 << 16
+_RANGES = 1 << 12
 #: Sources whose table is small enough to broadcast (some 100 bytes each).
 _BROADCAST_ROWS = 50_000
 
