@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwright.llm import chat, decontam, jaccard, mixing, quality, toxicity
+from chunkwright.llm import chat, decontam, htmltext, jaccard, mixing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.add_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def _remainder(n: int):
     """crc32(doc_id as text) mod n; null for a null doc_id."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -63,6 +67,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
         "op3_toxicity": op3_toxicity,
         "op4_mixing": op4_mixing,
         "op6_quality": op6_quality,
