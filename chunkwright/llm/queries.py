@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwright.llm import chat, decontam, htmltext, jaccard, mixing, quality, toxicity
+from chunkwright.llm import chat, decontam, htmltext, jaccard, lm, mixing, quality, tokencounts, topk, toxicity
+from chunkwright.llm.textops import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,22 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    """Totals after three batches: word counts, provisional counts of a vocabulary, and their revision.
+
+    The revision is committed twice, as a job that is run again would; the second changes nothing.
+    """
+    docs = _read(spark, sf_dir, "documents").select("source", "lang", "text")
+    rollup = tokencounts.Rollup(spark, shared_dir(spark, "token-rollup"))
+    words = tokencounts.count_tokens(docs, None)
+    rollup.commit("words", tokencounts.changes(words, "words-1"))
+    rollup.commit("provisional", tokencounts.changes(words, "byte_bpe_50k"))
+    revision = tokencounts.changes(words, "byte_bpe_50k", -1).union(tokencounts.changes(tokencounts.count_tokens(docs, vocabulary), "byte_bpe_50k"))
+    for _ in range(2):
+        rollup.commit("revision", revision)
+    return rollup.totals()
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     scorer = toxicity.train(docs, labels.where(_remainder(3) != 1))
@@ -34,6 +51,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.quantised(_read(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(_remainder(3) != 1), "quality")
@@ -65,18 +86,38 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_sets(_read(spark, sf_dir, "documents"), n=4, share=85)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"), F.coalesce(_remainder(5), F.lit(0)) != 1, from_files=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
+        "op2_token_counts": op2_token_counts,
         "op3_toxicity": op3_toxicity,
         "op4_mixing": op4_mixing,
+        "op5_topk": op5_topk,
         "op6_quality": op6_quality,
         "op7_chat": op7_chat,
         "op8_decontamination": op8_decontamination,
         "op9_jaccard_join": op9_jaccard_join,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
 OP7_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -99,4 +140,4 @@ FROM sized GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL}
+    return {"op5_topk": OP5_SQL, "op7_chat": OP7_SQL}
