@@ -13,10 +13,11 @@ empty signature; the rare others emit all of theirs. Nothing is lost.
 
 Candidates are checked exactly, in rounds. Of the sets that share a signature each is first
 paired with the one that shares most with others; of these pairs each set checks its best
-one. In later rounds, each group of sets that share a signature and are not yet in one
-component gives pairs across its components, until none is left unchecked. Links inside
-a component may stay unseen, but no component is ever split, and a group of n sets gives fewer
-than n pairs a round. Before a check, the sizes and a 128-cell count sketch bound the
+one. Groups of sets that share a signature and are not yet in one component then give pairs
+across their components: a small group all of them, a large one a few for each two
+components, so that its pairs do not grow with the square of its size. Each round checks the
+nearest pairs of each two components, until none is left unchecked. Links inside a component may
+stay unseen, but no component is ever split. Before a check, the sizes and a parity sketch of the sets bound the
 overlap from above; pairs that they rule out need no check.
 
 Rows: null or empty texts have no shingles and are alone. Copies, and texts with equal sets,
@@ -34,10 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkwright.llm.components import components
-from chunkwright.llm.textops import hashed_words, mix, small_batches, stored, utf8
-
-#: Ratio of a band's edges, spare parts, cells of the sketch.
-BAND, SPARE, CELLS = 1.35, 2, 128
+from chunkwright.llm.textops import hashed_words, mix, small_batches, stored, tidy, utf8
+
+#: Ratio of a band's edges, and spare parts.
+BAND, SPARE = 1.35, 2
+#: Groups of so many sets at most give all their pairs; larger ones a few for each component.
+SMALL, NEAREST = 32, 3
+#: Nodes whose ids are few enough to broadcast (8 bytes each).
+_BROADCAST_NODES = 200_000
 _C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -67,8 +72,19 @@ def node_of(items: np.ndarray) -> int:
 
 
 def sketch_of(items: np.ndarray) -> bytes:
-    """Counts of elements by cell, up to 255: their L1 distance is at most the Hamming distance."""
-    return np.minimum(np.bincount((items & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    """Parities of the numbers of elements by cell, a bit each, with some four cells an element.
+
+    Sketches of two sets differ in at most as many cells as the sets differ in elements. Cells
+    go by low hash bits, so a sketch folds to half its size by XOR of its halves.
+    """
+    cells = max(64, 1 << (4 * len(items) - 1).bit_length())
+    counts = np.bincount((items & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch (as 64-bit words) folded to a number of words."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), 0)
 
 
 class Bands:
@@ -200,34 +216,38 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([lists, pa.array([groups[x] for x in some], pa.int64())], ["nodes", "times"])
 
 
-def near(a: np.ndarray, b: np.ndarray, size_a, size_b, share: int) -> np.ndarray:
-    """False where sizes and sketches rule out the similarity."""
-    apart = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(-1)
-    least, most = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    return (100 * least >= share * most) & ((100 + share) * apart <= (100 - share) * (size_a + size_b))
+def near(apart, size_a, size_b, share: int):
+    """False where the sizes, or that sketches differ in ``apart`` cells, rule out the similarity."""
+    return (100 * np.minimum(size_a, size_b) >= share * np.maximum(size_a, size_b)) & ((100 + share) * apart <= (100 - share) * (size_a + size_b))
 
 
-def _sketch_filter(share: int):
+def _sketch_filter(share: int, names: list[str]):
+    """Keeps pairs that the sketches allow; adds in how many cells they differ."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(f"sketch_{x}").to_pylist()), np.uint8).reshape(-1, CELLS) for x in "ab")
-                sizes = [batch.column(f"size_{x}").to_numpy() for x in "ab"]
-                keep = near(a, b, *sizes, share)
-                yield pa.Table.from_batches([batch]).select(["a", "b", "times"]).filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else batch.select(["a", "b", "times"]).slice(0, 0)
+            keep, far = [], []
+            columns = [batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "size_a", "size_b")]
+            for x, y, p, q in zip(*columns, strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                n = min(len(x), len(y))
+                far.append(int(np.bitwise_count(folded(x, n) ^ folded(y, n)).sum()))
+                keep.append(bool(near(far[-1], p, q, share)))
+            table = pa.Table.from_batches([batch]).select(names).append_column("apart", pa.array(far, pa.int64()))
+            yield from table.filter(pa.array(keep, pa.bool_())).to_batches()
 
     return run
 
 
 def _sets(n: int):
-    """(node, items) of texts; items are the packed element hashes."""
+    """(node, items) of texts; items are the packed element hashes. Texts of another set than the named one are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, items = [], []
-            for own in shingle_sets(utf8(pa.Table.from_batches([batch]).column("text")), n):
-                if len(own):
-                    nodes.append(node_of(own))
+            table, nodes, items = pa.Table.from_batches([batch]), [], []
+            for want, own in zip(table.column("node").to_pylist(), shingle_sets(utf8(table.column("text")), n), strict=True):
+                if len(own) and ((node := node_of(own)) == want or want is None):
+                    nodes.append(node)
                     items.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
 
@@ -250,37 +270,67 @@ def _checked(share: int):
 def _across(share: int):
     """Of one group of sets: pairs of sets that would join two components, if all that the sketches allow are similar.
 
-    Of n components at most n - 1 pairs come out, so a group's pairs do not grow with the square
-    of its size. Pairs that were checked before and are not similar are left out.
+    Of n components at most ``NEAREST`` * (n - 1) pairs come out. Pairs that were checked before and
+    are not similar are left out.
     """
 
+    def pairs_of(node: np.ndarray, root: np.ndarray, size: np.ndarray, sketches: list[bytes], failed: list[list[int] | None]) -> Iterator[tuple[int, int]]:
+        words = min(map(len, sketches)) // 8
+        bits = np.stack([folded(np.frombuffer(x, np.uint64), words) for x in sketches])
+        for i in range(len(node) - 1):
+            # The components that i may join: of each the sets that are nearest to i. Then they count as one.
+            while len(rest := np.flatnonzero(root[i + 1 :] != root[i]) + i + 1):
+                rest = rest[100 * np.minimum(size[rest], size[i]) >= share * np.maximum(size[rest], size[i])]
+                apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(1, dtype=np.int64)
+                fine = near(apart, size[rest], size[i], share)
+                if failed[i]:
+                    fine &= ~np.isin(node[rest], failed[i])
+                rest, apart = rest[fine], apart[fine]
+                if not len(rest):
+                    break
+                rest = rest[np.argsort(apart, kind="stable")]
+                for r in np.unique(root[rest]):
+                    for j in rest[root[rest] == r][:NEAREST].tolist():
+                        yield int(min(node[i], node[j])), int(max(node[i], node[j]))
+                    root[root == r] = root[i]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: set[tuple[int, int]] = set()
-            for members in batch.column("members").to_pylist():
-                node = np.array([m["node"] for m in members], np.int64)
-                _, root = np.unique([m["root"] for m in members], return_inverse=True)
-                size = np.array([m["size"] for m in members], np.int64)
-                failed = [np.array(m["failed"] or [], np.int64) for m in members]
-                cells = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, CELLS)
-                for i in range(len(node) - 1):
-                    # The parts of the group that i may join, one pair for each; then they count as one.
-                    while len(rest := np.flatnonzero(root[i + 1 :] != root[i]) + i + 1):
-                        rest = rest[near(cells[rest], cells[i], size[rest], size[i], share)]
-                        if len(failed[i]):
-                            rest = rest[~np.isin(node[rest], failed[i])]
-                        if not len(rest):
-                            break
-                        _, first = np.unique(root[rest], return_index=True)
-                        for j in rest[first].tolist():
-                            out.add((int(min(node[i], node[j])), int(max(node[i], node[j]))))
-                            root[root == root[j]] = root[i]
-            a, b = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            out: dict[tuple[int, int, int], None] = {}
+            for g, x, y, node, root, own in _groups(batch):
+                _, root = np.unique(root, return_inverse=True)
+                for pair in pairs_of(node, root, own.field("size").to_numpy()[x:y], own.field("sketch")[x:y].to_pylist(), own.field("failed")[x:y].to_pylist()):
+                    out[(g, *pair)] = None
+            rows = list(out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["g", "a", "b"])
 
     return run
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(group, first, last, nodes, roots, members) of each group of the batch."""
+    lists = batch.column("members")
+    at, flat = np.asarray(lists.offsets).tolist(), lists.values
+    node, root = flat.field("node").to_numpy(), flat.field("root").to_numpy()
+    for k, g in enumerate(batch.column("g").to_pylist()):
+        x, y = at[k], at[k + 1]
+        if y - x > 1:
+            yield g, x, y, node[x:y], root[x:y], flat
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of small groups: the pairs of sets of two components."""
+    for batch in batches:
+        found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+        for _, _, _, node, root, _ in _groups(batch):
+            i, j = np.triu_indices(len(node), 1)
+            apart = root[i] != root[j]
+            i, j = node[i[apart]], node[j[apart]]
+            found.append(np.stack((np.minimum(i, j), np.maximum(i, j)), 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
 def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
@@ -296,6 +346,7 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
     packed = docs.mapInArrow(_signed(n, share, parts), "part int, sigs binary, nodes binary")
     groups = packed.repartition(parts, "part").mapInArrow(_buckets, "nodes array<long>, times long")
     groups = stored(groups.groupBy("nodes").agg(F.sum("times").alias("times")).withColumn("g", F.xxhash64("nodes")), "jaccard-groups")
+    tidy(spark)
     member = groups.select("g", "times", F.size("nodes").alias("n"), F.explode("nodes").alias("node"))
     # Of a group, the set that shares most with others stands in the middle.
     needed = member.groupBy("node").agg(F.sum(F.col("times") * (F.col("n") - 1)).alias("shared"))
@@ -304,37 +355,71 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
     ranked = member.join(needed.select("node", "shared"), "node").select("g", "node", "times", "shared")
     middle = ranked.groupBy("g").agg(F.max_by("node", F.struct("shared", "node")).alias("a"))
     stars = ranked.join(middle, "g").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.sum("times").alias("times"))
-    for x in "ab":
-        stars = stars.join(facts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")), x)
-    stars = stars.mapInArrow(_sketch_filter(share), "a long, b long, times long")
-    best = stored(stars.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "jaccard-stars")
-    texts = docs.join(needed.where("doc_id is not null").select("doc_id").distinct(), "doc_id").select("text")
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        names = pairs.columns
+        fields = ", ".join(f"{c} long" for c in [*names, "apart"])
+        for x in "ab":
+            pairs = pairs.join(facts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")), x)
+        return pairs.mapInArrow(_sketch_filter(share, names), fields)
+
+    best = allowed(stars).groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+    best = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
+    named = needed.where("doc_id is not null").select("doc_id", "node")
+    sets = docs.join(named, "doc_id").select("node", "text").mapInArrow(_sets(n), "node long, items binary")
     if not needed.where("doc_id is null").isEmpty():
-        texts = texts.union(docs.where("doc_id is null").select("text"))
-    sets = texts.mapInArrow(_sets(n), "node long, items binary").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(_sets(n), "node long, items binary")
+        sets = sets.union(nameless.join(needed.where("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"]))
     sets = stored(sets, "jaccard-sets")
+    tidy(spark)
 
     def check(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = sets
+        if pairs.count() <= _BROADCAST_NODES // 2:
+            own = sets.join(F.broadcast(nodes), "node", "left_semi")
         for x in "ab":
-            pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")), x)
-        return stored(pairs.mapInArrow(_checked(share), "a long, b long, similar boolean"), "jaccard-pairs")
+            pairs = pairs.join(own.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")), x)
+        done = stored(pairs.mapInArrow(_checked(share), "a long, b long, similar boolean").distinct(), "jaccard-pairs")
+        tidy(spark)
+        return done
+
+    def place(open_: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members, with their roots, of groups that are not in one component."""
+        placed = open_.select("g", F.size("nodes").alias("n"), F.explode("nodes").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        torn = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
+        return placed.join(torn, "g")
+
+    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+        return pairs.where("root_a <> root_b")
 
-    pairs, checked = best, None
+    checked, large, listed = check(best), None, None
     while True:
-        now = check(pairs)
-        checked = now if checked is None else checked.union(now)
         links = checked.where("similar").select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = stored(components(links), "jaccard-roots")
-        # Groups of sets that are not in one component yet.
-        placed = groups.select("g", F.explode("nodes").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        torn = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
+        if listed is None:
+            open_ = place(groups, roots)
+            few = open_.where(F.col("n") <= SMALL).groupBy("g").agg(F.collect_list(F.struct("node", "root")).alias("members"))
+            listed = stored(allowed(few.mapInArrow(_all_pairs, "a long, b long").distinct()), "jaccard-listed")
+            tidy(spark)
+            open_ = open_.where(F.col("n") > SMALL)
+        else:
+            open_ = place(groups.join(large, "g", "left_semi"), roots)
+        # Of listed pairs each two components check their nearest; large groups give theirs anew.
+        left = rooted(listed.join(checked, ["a", "b"], "left_anti"), roots)
+        picked = left.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.*")
         wrong = checked.where("not similar").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
         wrong = wrong.groupBy(F.col("p.a").alias("node")).agg(F.collect_list("p.b").alias("failed"))
-        open_ = placed.join(torn, "g").join(facts.join(wrong, "node", "left"), "node")
-        open_ = open_.groupBy("g").agg(F.collect_list(F.struct("node", "root", "size", "sketch", "failed")).alias("members"))
-        pairs = stored(open_.mapInArrow(_across(share), "a long, b long").distinct(), "jaccard-open")
+        members = open_.join(facts.join(wrong, "node", "left"), "node")
+        members = members.groupBy("g").agg(F.collect_list(F.struct("node", "root", "size", "sketch", "failed")).alias("members"))
+        found = stored(members.mapInArrow(_across(share), "g long, a long, b long"), "jaccard-open")
+        large = found.select("g").distinct()
+        pairs = stored(picked.union(found.select("a", "b")).distinct(), "jaccard-next")
         if pairs.isEmpty():
             break
+        checked = checked.union(check(pairs))
     linked = rows.join(roots, "node")
     ids = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = roots.join(ids, "root").select("node", "component_id")

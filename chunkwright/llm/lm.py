@@ -30,7 +30,7 @@ from chunkwright.llm.textops import hashed_words, mix, small_batches, stored, ut
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _C = np.uint64(0x9FB21C651E98DF25)
 #: Rows of a chunk, smoothing mass, and most shards (a shard's number has 16 bits).
-CHUNK_ROWS, MASS, MOST_SHARDS = 4096, 8.0, 65_535
+CHUNK_ROWS, MASS, MOST_SHARDS = 4096, 500.0, 65_535
 _PACKED = "part int, chunk string, words binary, word_counts binary, ctx_high binary, ctx_low binary, ctx_sizes binary, successors binary, counts binary"
 _ANSWER = "part int, chunk string, word_counts binary, codes binary, tokens long, types long"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"

@@ -129,3 +129,11 @@ def stored(df, name: str):
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver notice now which shuffles no query needs any more, so that their files go."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
