@@ -83,7 +83,7 @@ def transfer_rates(transfers: DataFrame) -> DataFrame:
     done, size, ms = F.col("bytes"), F.col("size"), F.col("update_ms") - F.col("start_ms")
     return transfers.select(
         "transfer_id", F.round(X.progress(done, size), 6).alias("progress"), F.round(X.rate(done, ms), 6).alias("rate"),
-        F.round(X.time_left(ms, done, size), 6).alias("time_left_ms"), F.round(X.throughput(done, ms), 6).alias("throughput"),
+        F.round(X.time_left(ms, done, size), 2).alias("time_left_ms"), F.round(X.throughput(done, ms), 6).alias("throughput"),
     )
 
 

@@ -484,7 +484,7 @@ T.SQL["per_transfer"] = "per_transfer AS (SELECT transfer_id, sum(bytes)::BIGINT
 @query(
     "transfers per_transfer",
     """SELECT transfer_id, round(CASE WHEN size <= 0 THEN 0 ELSE least(100.0, 100.0 * bytes / size) END, 6) AS progress, round(CASE WHEN ms <= 0 THEN 0 ELSE bytes * 1000.0 / ms END, 6) AS rate,
-  round(CASE WHEN bytes <= 0 THEN 0 ELSE ms::DOUBLE / bytes * (size - bytes) END, 6) AS time_left_ms, round(CASE WHEN ms = 0 THEN 0 ELSE bytes / 1048576.0 / (ms / 1000.0) END, 6) AS throughput FROM (SELECT *, update_ms - start_ms AS ms FROM per_transfer)""",
+  round(CASE WHEN bytes <= 0 THEN 0 ELSE ms::DOUBLE / bytes * (size - bytes) END, 2) AS time_left_ms, round(CASE WHEN ms = 0 THEN 0 ELSE bytes / 1048576.0 / (ms / 1000.0) END, 6) AS throughput FROM (SELECT *, update_ms - start_ms AS ms FROM per_transfer)""",
 )
 def transfer_rates(spark, sf):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
