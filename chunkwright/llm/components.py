@@ -1,12 +1,16 @@
-"""Connected components of a link table by alternating large-star and small-star steps.
+"""Connected components of a link table.
 
-Every step is a join and a grouped minimum; nothing is gathered in one task or at the
-driver but the number of links and a checksum. Each step's links are written to the
-shared folder, which cuts the lineage.
+A table of few links, by a checked count, is one task's union-find. Larger ones take alternating
+large-star and small-star steps: each is a join and a grouped minimum, and nothing is gathered in one
+task or at the driver but the number of links and a checksum. Each step's links are written
+to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +32,34 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (u, v); the root is the least node.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(batch.column(c).to_pylist() for c in ("u", "v")), strict=True):
+            above.setdefault(u, u)
+            above.setdefault(v, v)
+            a, b = root(u), root(v)
+            above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
+def components(links: DataFrame, *, few: int = 200_000) -> DataFrame:
+    """(node, root) for every node of ``links`` (u, v: long); the root is the least node.
 
-    Self-links and repeated links do no harm. No links, no rows.
+    Self-links and repeated links do no harm. No links, no rows. Up to ``few`` links (16 bytes each)
+    go to one task.
     """
     now = stored(links.select("u", "v").where("u <> v").distinct(), "links")
+    if now.count() <= few:
+        return now.coalesce(1).mapInArrow(_joined, "node long, root long")
     before = None
     while True:
         now = stored(_small_star(_large_star(now)), "links")

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chunkwright.llm.components import components
@@ -40,9 +41,9 @@ from chunkwright.llm.textops import hashed_words, mix, small_batches, stored, ti
 #: Ratio of a band's edges, and spare parts.
 BAND, SPARE = 1.35, 2
 #: Groups of so many sets at most give all their pairs; larger ones a few for each component.
-SMALL, NEAREST = 32, 3
-#: Nodes whose ids are few enough to broadcast (8 bytes each).
-_BROADCAST_NODES = 200_000
+SMALL, NEAREST = 32, 32
+#: Pairs that are few enough to broadcast (16 bytes each).
+_BROADCAST_PAIRS = 250_000
 _C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -267,11 +268,11 @@ def _checked(share: int):
     return run
 
 
-def _across(share: int):
-    """Of one group of sets: pairs of sets that would join two components, if all that the sketches allow are similar.
+def _across(share: int, joining: bool):
+    """Of one group of sets: pairs of sets of two components that the sketches allow and that are not checked yet.
 
-    Of n components at most ``NEAREST`` * (n - 1) pairs come out. Pairs that were checked before and
-    are not similar are left out.
+    ``joining``: components with such a pair then count as one, so of n components at most
+    ``NEAREST`` * (n - 1) pairs come out. Otherwise each set gives its nearest, up to ``NEAREST``.
     """
 
     def pairs_of(node: np.ndarray, root: np.ndarray, size: np.ndarray, sketches: list[bytes], failed: list[list[int] | None]) -> Iterator[tuple[int, int]]:
@@ -289,6 +290,9 @@ def _across(share: int):
                 if not len(rest):
                     break
                 rest = rest[np.argsort(apart, kind="stable")]
+                if not joining:
+                    yield from ((int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in rest[:NEAREST].tolist())
+                    break
                 for r in np.unique(root[rest]):
                     for j in rest[root[rest] == r][:NEAREST].tolist():
                         yield int(min(node[i], node[j])), int(max(node[i], node[j]))
@@ -318,17 +322,22 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple]:
             yield g, x, y, node[x:y], root[x:y], flat
 
 
-def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of small groups: the pairs of sets of two components."""
-    for batch in batches:
-        found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
-        for _, _, _, node, root, _ in _groups(batch):
-            i, j = np.triu_indices(len(node), 1)
-            apart = root[i] != root[j]
-            i, j = node[i[apart]], node[j[apart]]
-            found.append(np.stack((np.minimum(i, j), np.maximum(i, j)), 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+def _all_pairs(share: int):
+    """Of small groups: the pairs of sets of two components whose sizes allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+            for _, x, y, node, root, own in _groups(batch):
+                size = own.field("size").to_numpy()[x:y]
+                i, j = np.triu_indices(len(node), 1)
+                apart = (root[i] != root[j]) & near(0, size[i], size[j], share)
+                i, j = node[i[apart]], node[j[apart]]
+                found.append(np.stack((np.minimum(i, j), np.maximum(i, j)), 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return run
 
 
 def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
@@ -351,6 +360,7 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
     # Of a group, the set that shares most with others stands in the middle.
     needed = member.groupBy("node").agg(F.sum(F.col("times") * (F.col("n") - 1)).alias("shared"))
     needed = stored(needed.join(distinct, "node"), "jaccard-nodes")
+    nameless = not needed.where("doc_id is null").isEmpty()
     facts = needed.select("node", "size", "sketch")
     ranked = member.join(needed.select("node", "shared"), "node").select("g", "node", "times", "shared")
     middle = ranked.groupBy("g").agg(F.max_by("node", F.struct("shared", "node")).alias("a"))
@@ -365,21 +375,23 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
 
     best = allowed(stars).groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
     best = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
-    named = needed.where("doc_id is not null").select("doc_id", "node")
-    sets = docs.join(named, "doc_id").select("node", "text").mapInArrow(_sets(n), "node long, items binary")
-    if not needed.where("doc_id is null").isEmpty():
-        nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(_sets(n), "node long, items binary")
-        sets = sets.union(nameless.join(needed.where("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    sets = stored(sets, "jaccard-sets")
-    tidy(spark)
+    def sets_of(nodes: DataFrame, few: bool) -> DataFrame:
+        """(node, items) of some nodes, from the text of one document each."""
+        wanted = needed.join(nodes, "node").select("doc_id", "node")
+        named = wanted.where("doc_id is not null")
+        sets = docs.join(F.broadcast(named) if few else named, "doc_id").select("node", "text").mapInArrow(_sets(n), "node long, items binary")
+        if nameless:
+            rest = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(_sets(n), "node long, items binary")
+            sets = sets.union(rest.join(wanted.where("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"]))
+        return stored(sets, "jaccard-sets")
 
     def check(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        own = sets
-        if pairs.count() <= _BROADCAST_NODES // 2:
-            own = sets.join(F.broadcast(nodes), "node", "left_semi")
+        few = pairs.count() <= _BROADCAST_PAIRS
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), few)
+        if few:
+            pairs = F.broadcast(pairs)
         for x in "ab":
-            pairs = pairs.join(own.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")), x)
+            pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")), x)
         done = stored(pairs.mapInArrow(_checked(share), "a long, b long, similar boolean").distinct(), "jaccard-pairs")
         tidy(spark)
         return done
@@ -387,6 +399,7 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
     def place(open_: DataFrame, roots: DataFrame) -> DataFrame:
         """Members, with their roots, of groups that are not in one component."""
         placed = open_.select("g", F.size("nodes").alias("n"), F.explode("nodes").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = placed.join(facts.select("node", "size"), "node")
         torn = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
         return placed.join(torn, "g")
 
@@ -399,22 +412,24 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
     while True:
         links = checked.where("similar").select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = stored(components(links), "jaccard-roots")
-        if listed is None:
+        first = listed is None
+        if first:
             open_ = place(groups, roots)
-            few = open_.where(F.col("n") <= SMALL).groupBy("g").agg(F.collect_list(F.struct("node", "root")).alias("members"))
-            listed = stored(allowed(few.mapInArrow(_all_pairs, "a long, b long").distinct()), "jaccard-listed")
+            few = open_.where(F.col("n") <= SMALL).groupBy("g").agg(F.collect_list(F.struct("node", "root", "size")).alias("members"))
+            listed = stored(allowed(few.mapInArrow(_all_pairs(share), "a long, b long").distinct()), "jaccard-listed")
             tidy(spark)
             open_ = open_.where(F.col("n") > SMALL)
         else:
             open_ = place(groups.join(large, "g", "left_semi"), roots)
         # Of listed pairs each two components check their nearest; large groups give theirs anew.
         left = rooted(listed.join(checked, ["a", "b"], "left_anti"), roots)
-        picked = left.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.*")
+        place_of = F.row_number().over(W.partitionBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).orderBy("apart", "a", "b"))
+        picked = left.withColumn("n", place_of).where(F.col("n") <= NEAREST).select("a", "b")
         wrong = checked.where("not similar").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
         wrong = wrong.groupBy(F.col("p.a").alias("node")).agg(F.collect_list("p.b").alias("failed"))
-        members = open_.join(facts.join(wrong, "node", "left"), "node")
+        members = open_.join(facts.drop("size").join(wrong, "node", "left"), "node")
         members = members.groupBy("g").agg(F.collect_list(F.struct("node", "root", "size", "sketch", "failed")).alias("members"))
-        found = stored(members.mapInArrow(_across(share), "g long, a long, b long"), "jaccard-open")
+        found = stored(members.mapInArrow(_across(share, first), "g long, a long, b long"), "jaccard-open")
         large = found.select("g").distinct()
         pairs = stored(picked.union(found.select("a", "b")).distinct(), "jaccard-next")
         if pairs.isEmpty():
