@@ -179,7 +179,7 @@ def _signed(n: int, share: int, parts: int):
                     sigs.append(own)
                     nodes.append(np.full(len(own), node, np.int64))
                     held += len(own)
-            if held > 4_000_000:
+            if held > 1_000_000:
                 yield from flush(sigs, nodes)
                 sigs, nodes, held = [], [], 0
         if held:

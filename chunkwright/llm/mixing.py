@@ -4,8 +4,9 @@ A source's target comes from its weight, capped at a multiple of its size; what
 cut off is shared again by weight (water filling). Whole epochs come first: each takes
 every document of the source. For the rest, documents are ordered by exponential keys,
 -ln(u) / quality, with u from a hash of doc_id, and taken while their prefix sum stays within
-what is left. One more document, the one whose size is nearest to the gap that
-is still open, closes it if that brings the source nearer to its target.
+what is left; documents larger than that are passed over. A long document may end this early, so
+the same is done with the gap that it leaves, and once more. One last document, the one whose
+size is nearest to what is still open, closes it if that brings the source nearer to its target.
 
 Prefix sums do not gather a source in one task: sizes are first summed by fine key
 ranges, and only the range that crosses the target is sorted row by row.
@@ -33,6 +34,7 @@ ADDED = ("size", "source_size", "target", "taken")
 _RANGES = 1 << 12
 #: Sources whose table is small enough to broadcast (some 100 bytes each).
 _BROADCAST_ROWS = 50_000
+_ROUNDS = 3
 
 
 def quality_weight(text: bytes) -> float:
@@ -101,25 +103,37 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
     plan = targets(sizes, weights=weights, share=share, most=most)
     plan = plan.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = stored(plan.withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size")), "mix-plan")
-    # The key range in which each source's prefix sum passes what is left.
-    by_range = rows.where("size > 0").groupBy("source", "_range").agg(F.sum("size").alias("n"))
-    by_range = by_range.withColumn("_upto", F.sum("n").over(W.partitionBy("source").orderBy("_range")))
-    by_range = _with_sources(by_range, plan.select("source", "_rest"))
-    first = by_range.where("_upto > _rest").groupBy("source").agg(F.min("_range").alias("_cross"), F.min_by(F.col("_upto") - F.col("n"), "_range").alias("_before"))
-    first = first.withColumnRenamed("source", "_s")
-    plan = plan.join(first, plan["source"].eqNullSafe(first["_s"]), "left").drop("_s")
-    plan = stored(plan.withColumn("_cross", F.coalesce("_cross", F.lit(_RANGES + 1))), "mix-plan")
-    placed = _with_sources(rows, plan)
-    crossing = placed.where("_range = _cross and size > 0")
+    slim = rows.select("_row", "source", "doc_id", "size", "_key", "_range").where("size > 0").withColumn("_extra", F.lit(0))
+    gaps = plan.select("source", F.col("_rest").alias("_gap"))
+    for _ in range(_ROUNDS):
+        slim = stored(_filled(slim, gaps), "mix-filled")
+        gaps = _gaps(slim, plan)
+    spare = _with_sources(slim.where("_extra = 0"), gaps).where("abs(_gap - size) < _gap")
+    closing = spare.groupBy("source").agg(F.min_by("_row", F.struct(F.abs(F.col("_gap") - F.col("size")), "_key", "doc_id", "size", "_row")).alias("_row"))
+    extra = slim.where("_extra = 1").select("_row").union(closing.select("_row")).withColumn("_extra", F.lit(1))
+    out = _with_sources(rows, plan).join(extra, "_row", "left")
+    return out.withColumn("taken", (F.col("size") * (F.col("_epochs") + F.coalesce("_extra", F.lit(0)))).cast("long")).select(*names, *ADDED)
+
+
+def _filled(slim: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Takes (``_extra`` 1) further documents that fit in their source's gap, in key order, while their sum does."""
+    state = _with_sources(slim, gaps)
+    fits = (F.col("_extra") == 0) & (F.col("size") <= F.col("_gap"))
+    # The key range in which each source's prefix sum passes the gap.
+    by_range = state.where(fits).groupBy("source", "_range").agg(F.sum("size").alias("n"), F.first("_gap").alias("_gap"))
+    by_range = by_range.withColumn("_upto", F.sum("n").over(W.partitionBy("source").orderBy("_range"))).where("_upto > _gap")
+    cross = by_range.groupBy("source").agg(F.min("_range").alias("_cross"), F.min_by(F.col("_upto") - F.col("n"), "_range").alias("_before"))
+    cross = gaps.select("source").join(cross.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    cross = stored(cross.withColumn("_cross", F.coalesce("_cross", F.lit(_RANGES + 1))), "mix-cross")
+    state = _with_sources(state, cross)
     run = F.sum("size").over(W.partitionBy("source").orderBy("_key", "doc_id", "size", "_row").rowsBetween(W.unboundedPreceding, 0))
-    inside = stored(crossing.withColumn("_run", run).where("_before + _run <= _rest").select("_row", "source", "size"), "mix-inside")
-    within = inside.groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("_in"))
-    gaps = plan.where(f"_cross <= {_RANGES}").join(within, F.col("source").eqNullSafe(F.col("_s")), "left")
-    gaps = gaps.select("source", (F.col("_rest") - F.col("_before") - F.coalesce("_in", F.lit(0))).alias("_gap"))
-    spare = placed.where("_range >= _cross and size > 0").join(inside.select("_row"), "_row", "left_anti")
-    spare = _with_sources(spare.select("source", "_row", "doc_id", "size", "_key"), stored(gaps, "mix-gaps"))
-    closing = spare.where("abs(_gap - size) < _gap").groupBy("source").agg(F.min_by("_row", F.struct(F.abs(F.col("_gap") - F.col("size")), "_key", "doc_id", "size", "_row")).alias("_row"))
-    extra = inside.select("_row").union(closing.select("_row")).withColumn("_extra", F.lit(1))
-    out = placed.join(extra, "_row", "left")
-    chosen = F.coalesce(F.when(F.col("_range") < F.col("_cross"), 1), F.col("_extra"), F.lit(0))
-    return out.withColumn("taken", (F.col("size") * (F.col("_epochs") + F.when(F.col("_rest") > 0, chosen).otherwise(0))).cast("long")).select(*names, *ADDED)
+    inside = state.where(fits & (F.col("_range") == F.col("_cross"))).withColumn("_run", run).where("_before + _run <= _gap").select("_row", F.lit(1).alias("_inside"))
+    chosen = fits & ((F.col("_range") < F.col("_cross")) | F.col("_inside").isNotNull())
+    return state.join(inside, "_row", "left").withColumn("_extra", F.when(chosen, 1).otherwise(F.col("_extra"))).select(slim.columns)
+
+
+def _gaps(slim: DataFrame, plan: DataFrame) -> DataFrame:
+    """What of each source's fractional part is still open."""
+    done = slim.where("_extra = 1").groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("_in"))
+    left = plan.join(done, F.col("source").eqNullSafe(F.col("_s")), "left")
+    return stored(left.select("source", (F.col("_rest") - F.coalesce("_in", F.lit(0))).alias("_gap")), "mix-gaps")

@@ -50,8 +50,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Bytes hashed by one pass; a longer text makes a pass of its own, in pieces.
-PASS_BYTES = 1 << 22
+#: Bytes hashed by one pass. A longer text is cut at white space into passes of its own.
+PASS_BYTES = (1 << 20) - 4096
 
 
 def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +88,35 @@ def hashed_words(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.
         while last < len(texts) and (last == first or size + len(texts[last]) < PASS_BYTES):
             size += len(texts[last]) + 1
             last += 1
-        buf = np.frombuffer(b" ".join(texts[first:last]).translate(ASCII_LOWER), np.uint8)
-        ends = np.cumsum([len(t) + 1 for t in texts[first:last]])
-        start, end = word_bounds(buf)
-        offsets = np.concatenate(([0], np.searchsorted(start, ends)))
-        yield first, last, hash_spans(buf, start, end), offsets
+        if size > PASS_BYTES:
+            h = np.concatenate([_hashes(piece, [len(piece)])[0] for piece in _pieces(texts[first])])
+            yield first, last, h, np.array([0, len(h)])
+        else:
+            ends = np.cumsum([len(t) + 1 for t in texts[first:last]])
+            yield first, last, *_hashes(b" ".join(texts[first:last]), ends)
         first = last
 
 
+def _hashes(raw: bytes, ends) -> tuple[np.ndarray, np.ndarray]:
+    buf = np.frombuffer(raw.translate(ASCII_LOWER), np.uint8)
+    start, end = word_bounds(buf)
+    return hash_spans(buf, start, end), np.concatenate(([0], np.searchsorted(start, ends)))
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text cut at white space; only a single longer word makes a longer piece."""
+    at = 0
+    while at < len(text):
+        to = min(at + PASS_BYTES, len(text))
+        if to < len(text):
+            cut = max(text.rfind(c, at, to) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
+            if cut <= at:
+                cut = min((k for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f") if (k := text.find(c, to)) >= 0), default=len(text))
+            to = cut
+        yield text[at:to]
+        at = to
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts of an Arrow string column as bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):

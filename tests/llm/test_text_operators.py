@@ -43,6 +43,14 @@ def test_words_and_hashes(texts):
     assert len(set(names.values())) == len(names)
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(1)
+    texts = [b" ".join(rng.choices([b"a", b"bb", b"c" * 90, b"\t", b"dd\nee"], k=n)) for n in (0, 3, 200, 1, 500)]
+    whole = [h[at[i] : at[i + 1]].tolist() for _, _, h, at in textops.hashed_words(texts) for i in range(len(at) - 1)]
+    monkeypatch.setattr(textops, "PASS_BYTES", 64)
+    assert [h[at[i] : at[i + 1]].tolist() for _, _, h, at in textops.hashed_words(texts) for i in range(len(at) - 1)] == whole
+
+
 # Decontamination
 
 
