@@ -73,12 +73,12 @@ def node_of(items: np.ndarray) -> int:
 
 
 def sketch_of(items: np.ndarray) -> bytes:
-    """Parities of the numbers of elements by cell, a bit each, with some four cells an element.
+    """Parities of the numbers of elements by cell, a bit each, with one to two cells an element.
 
     Sketches of two sets differ in at most as many cells as the sets differ in elements. Cells
     go by low hash bits, so a sketch folds to half its size by XOR of its halves.
     """
-    cells = max(64, 1 << (4 * len(items) - 1).bit_length())
+    cells = max(64, 1 << (len(items) - 1).bit_length())
     counts = np.bincount((items & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
