@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwright.llm.textops import ASCII_LOWER, small_batches, utf8
+from chunkwright.llm.textops import ASCII_LOWER, released, small_batches, stored, utf8
 
 #: Everything below 0x80 but letters and digits separates words.
 _WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in ASCII_LOWER)
 
+#: Blocks whose steps run in one stage.
+_STEPS = 4
+
 ADDED = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -193,22 +196,22 @@ def _merge(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, max_block_bytes: int = 4 << 20) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, max_block_bytes: int = 256 << 10) -> DataFrame:
     """Adds ``ADDED`` to each row of ``docs`` (column ``text``).
 
     Test items are read in blocks of at most ``max_block_bytes`` (one longer item makes a
     block of its own); each block's automaton is shipped with its own narrow step over
-    the documents, so what a worker holds does not grow with the benchmark, and no
-    block makes a shuffle. ``item_ids`` are the sorted ids, as strings, of items with an
+    the documents, and after a few blocks the rows are written and read again. So what a task
+    holds does not grow with the benchmark, and no block makes a shuffle. ``item_ids`` are the sorted ids, as strings, of items with an
     occurring window.
     """
     small_batches(docs.sparkSession)
     out = docs.drop(*ADDED.names)
     kept = out.schema
-    first = True
-    for items in _blocks(benchmark, max_block_bytes):
-        out = out.mapInArrow(_scanner(Automaton(items, window), first), T.StructType([*kept.fields, *ADDED.fields]))
-        first = False
+    for k, items in enumerate(_blocks(benchmark, max_block_bytes)):
+        if k and not k % _STEPS:
+            out = stored(out, "decontam")
+        out = out.mapInArrow(released(_scanner(Automaton(items, window), not k)), T.StructType([*kept.fields, *ADDED.fields]))
     return out
 
 

@@ -466,7 +466,8 @@ def add_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """Adds ``text`` and ``n_chars`` (code points) to each row of ``pages`` (html); drops html."""
     small_batches(pages.sparkSession)
     model = model or train()
-    names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
+    pages = pages.drop("text", "n_chars")
+    names = [c for c in pages.columns if c.lower() != "html"]
     schema = T.StructType([*(pages.schema[c] for c in names), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +477,7 @@ def add_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
             table = table.select(names).append_column("text", pa.array(texts, pa.string()))
             yield from table.append_column("n_chars", pa.array([len(t) for t in texts], pa.int64())).to_batches()
 
-    return pages.drop("text", "n_chars").mapInArrow(run, schema)
+    return pages.mapInArrow(run, schema)
 
 
 def _extract_all(pages: list[str | None], model: Boosted, most_nodes: int = 20_000) -> list[str]:

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chunkwright.llm.components import components
-from chunkwright.llm.textops import hashed_words, mix, small_batches, stored, tidy, utf8
+from chunkwright.llm.textops import hashed_words, mix, released, small_batches, stored, tidy, utf8
 
 #: Ratio of a band's edges, and spare parts.
 BAND, SPARE = 1.35, 2
@@ -349,11 +349,11 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = stored(docs.mapInArrow(_described(n), "doc_id long, size long, node long, sketch binary"), "jaccard-rows")
+    rows = stored(docs.mapInArrow(released(_described(n)), "doc_id long, size long, node long, sketch binary"), "jaccard-rows")
     # One row stands for all with the same set; its doc_id finds its text again.
     distinct = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    packed = docs.mapInArrow(_signed(n, share, parts), "part int, sigs binary, nodes binary")
-    groups = packed.repartition(parts, "part").mapInArrow(_buckets, "nodes array<long>, times long")
+    packed = docs.mapInArrow(released(_signed(n, share, parts)), "part int, sigs binary, nodes binary")
+    groups = packed.repartition(parts, "part").mapInArrow(released(_buckets), "nodes array<long>, times long")
     groups = stored(groups.groupBy("nodes").agg(F.sum("times").alias("times")).withColumn("g", F.xxhash64("nodes")), "jaccard-groups")
     tidy(spark)
     member = groups.select("g", "times", F.size("nodes").alias("n"), F.explode("nodes").alias("node"))
@@ -416,7 +416,7 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
         if first:
             open_ = place(groups, roots)
             few = open_.where(F.col("n") <= SMALL).groupBy("g").agg(F.collect_list(F.struct("node", "root", "size")).alias("members"))
-            listed = stored(allowed(few.mapInArrow(_all_pairs(share), "a long, b long").distinct()), "jaccard-listed")
+            listed = stored(allowed(few.mapInArrow(released(_all_pairs(share)), "a long, b long").distinct()), "jaccard-listed")
             tidy(spark)
             open_ = open_.where(F.col("n") > SMALL)
         else:
@@ -429,7 +429,7 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
         wrong = wrong.groupBy(F.col("p.a").alias("node")).agg(F.collect_list("p.b").alias("failed"))
         members = open_.join(facts.drop("size").join(wrong, "node", "left"), "node")
         members = members.groupBy("g").agg(F.collect_list(F.struct("node", "root", "size", "sketch", "failed")).alias("members"))
-        found = stored(members.mapInArrow(_across(share, first), "g long, a long, b long"), "jaccard-open")
+        found = stored(members.mapInArrow(released(_across(share, first)), "g long, a long, b long"), "jaccard-open")
         large = found.select("g").distinct()
         pairs = stored(picked.union(found.select("a", "b")).distinct(), "jaccard-next")
         if pairs.isEmpty():

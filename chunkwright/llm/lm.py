@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkwright.llm.eliasfano import Trie, levels
-from chunkwright.llm.textops import hashed_words, mix, small_batches, stored, utf8
+from chunkwright.llm.textops import hashed_words, mix, released, small_batches, stored, utf8
 
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _C = np.uint64(0x9FB21C651E98DF25)
@@ -194,8 +194,8 @@ def score(docs: DataFrame, learn: Column, *, mass: float = MASS, chunk_rows: int
         learn = F.col("_learn")
     place = F.concat_ws("|", "_metadata.file_path", "_metadata.file_block_start", F.floor(F.col("_metadata.row_index") / chunk_rows))
     rows = docs.select("doc_id", "text", F.coalesce(learn, F.lit(True)).alias("train"), place.alias("chunk"))
-    packed = rows.select("chunk", "text", "train").mapInArrow(_packer(shards), _PACKED)
-    answers = stored(packed.repartition(shards, "part").mapInArrow(_answers, _ANSWER), "lm-answers")
+    packed = rows.select("chunk", "text", "train").mapInArrow(released(_packer(shards)), _PACKED)
+    answers = stored(packed.repartition(shards, "part").mapInArrow(released(_answers), _ANSWER), "lm-answers")
     total = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
     run = _scorer(shards, total.tokens, total["types"], mass)
     scored = rows.groupBy("chunk").cogroup(answers.select("chunk", "part", "word_counts", "codes").groupBy("chunk")).applyInArrow(run, _SCORED)

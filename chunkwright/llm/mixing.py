@@ -14,7 +14,7 @@ ranges, and only the range that crosses the target is sorted row by row.
 Rows: null and empty texts have size 0 and are taken 0 words. A null source is a
 source of its own. Repeated rows count one by one; ties in the key go by doc_id and size.
 An empty table gives an empty result. With all sizes 0 all targets are 0. Extra columns
-pass through; ``ADDED`` names replace columns of the same name.
+pass through, but for those named like ``ADDED`` or ``_OWN``, which are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwright.llm.textops import small_batches, stored, utf8, word_bounds
+from chunkwright.llm.textops import released, small_batches, stored, utf8, word_bounds
 
 ADDED = ("size", "source_size", "target", "taken")
+_OWN = ("_quality", "_key", "_range", "_row", "_extra", "_gap", "_epochs", "_rest", "_source", "_cross", "_before", "_inside", "_run")
 _RANGES = 1 << 12
 #: Sources whose table is small enough to broadcast (some 100 bytes each).
 _BROADCAST_ROWS = 50_000
@@ -53,7 +54,7 @@ def _measured(names: list[str]):
             table = pa.Table.from_batches([batch])
             texts = utf8(table.column("text"))
             table = table.select(names).append_column("size", pa.array([len(word_bounds(np.frombuffer(t, np.uint8))[0]) for t in texts], pa.int64()))
-            yield from table.append_column("quality", pa.array([quality_weight(t) for t in texts], pa.float64())).to_batches()
+            yield from table.append_column("_quality", pa.array([quality_weight(t) for t in texts], pa.float64())).to_batches()
 
     return run
 
@@ -91,12 +92,12 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
     The text is read for its size and kept only with ``keep_text``; other columns always are.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop(*ADDED)
-    names = [c for c in docs.columns if keep_text or c != "text"]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("size", T.LongType()), T.StructField("quality", T.DoubleType())])
-    rows = docs.mapInArrow(_measured(names), schema)
+    docs = docs.drop(*ADDED, *_OWN)
+    names = [c for c in docs.columns if keep_text or c.lower() != "text"]
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("size", T.LongType()), T.StructField("_quality", T.DoubleType())])
+    rows = docs.mapInArrow(released(_measured(names)), schema)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
-    rows = rows.withColumn("_key", -F.log(u) / F.col("quality"))
+    rows = rows.withColumn("_key", -F.log(u) / F.col("_quality"))
     rows = rows.withColumn("_range", F.floor(_RANGES * (1 - F.exp(-F.col("_key")))).cast("int")).withColumn("_row", F.monotonically_increasing_id())
     rows = stored(rows, "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwright.llm.textops import hashed_words, small_batches, utf8
+from chunkwright.llm.textops import hashed_words, released, small_batches, utf8
 
 BITS = 16
 #: Pairs of byte classes, then shares of words that repeat the word one, two and three places before.
@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str, *, max_rows: int = 600
     if n > max_rows:
         one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     picked = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("text", "grade").dropDuplicates(["text"])
-    rows = picked.mapInArrow(_features, "grade int, keys array<long>, times array<double>, pairs array<double>").toArrow()
+    rows = picked.mapInArrow(released(_features), "grade int, keys array<long>, times array<double>, pairs array<double>").toArrow()
     y = rows.column("grade").to_numpy()
     grades = sorted({*y.tolist()})
     if len(grades) < 2:
@@ -165,7 +165,7 @@ def add_grades(docs: DataFrame, model: Model) -> DataFrame:
             table = table.select(names).append_column("expected_grade", pa.array(model.grades[0] + tails @ steps, pa.float64()))
             yield from table.append_column("tail_probabilities", pa.array(list(tails), pa.list_(pa.float64()))).to_batches()
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *ADDED.fields]))
+    return kept.mapInArrow(released(run), T.StructType([*kept.schema.fields, *ADDED.fields]))
 
 
 def passes(chance: float = 0.5):

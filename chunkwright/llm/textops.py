@@ -7,6 +7,10 @@ words share a 64-bit hash with a chance of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,8 +141,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     ``spark.checkpoint.dir`` names it. Only where that is unset (tests on one
     machine) a folder under the warehouse is used.
     """
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
@@ -152,9 +154,23 @@ def stored(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(run):
+    """A step over Arrow batches that gives freed memory back to the system when its task ends.
+
+    Spark uses a Python worker again for later stages, so what an allocator keeps adds up.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+    return own
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets the driver notice now which shuffles no query needs any more, so that their files go."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()

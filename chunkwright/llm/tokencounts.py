@@ -88,7 +88,8 @@ def count_tokens(docs: DataFrame, vocabulary: str | None, *, pieces: str = PIECE
     reads it, so executors need no file. None counts runs without white space.
     """
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("text", "n_tokens")]
+    docs = docs.drop("n_tokens")
+    names = [c for c in docs.columns if c.lower() != "text"]
     raw = None
     if vocabulary:
         with open(vocabulary, "rb") as f:
@@ -104,7 +105,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None, *, pieces: str = PIECE
                 counts = [len(word_bounds(np.frombuffer(t, np.uint8))[0]) for t in utf8(table.column("text"))]
             yield from table.select(names).append_column("n_tokens", pa.array(counts, pa.int64())).to_batches()
 
-    return docs.drop("n_tokens").mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("n_tokens", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("n_tokens", T.LongType())]))
 
 
 def changes(docs: DataFrame, tokenizer: str, sign: int = 1) -> DataFrame:

@@ -9,7 +9,8 @@ Shards' best are merged by rank. Scores are exact integers.
 
 Rows: vectors that are null, or hold null or non-finite components, and rows without an id take no
 part. Shorter vectors count as padded with zeros. Ties go to the smaller id. A query's own id is
-no candidate for it. Repeated rows are candidates of their own. Scores beyond 64 bits are cut to
+no candidate for it. Repeated rows are candidates of their own; of several rows with a query's id the
+least vector asks. Scores beyond 64 bits are cut to
 the limits. No queries or no candidates: an empty result.
 """
 
@@ -101,7 +102,7 @@ class MTree:
             if not len(rows):
                 continue
             away, scores, ids = score(rows)
-            for i in np.flatnonzero(away <= limit + slack).tolist() if limit < math.inf else range(len(rows)):
+            for i in np.flatnonzero(away <= limit + slack).tolist() if limit < math.inf else range(len(away)):
                 entry = (scores[i], -ids[i], away[i])
                 if len(best) < k:
                     heapq.heappush(best, entry)
@@ -137,14 +138,14 @@ def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
         slack = 1e-6 * (1 + math.sqrt(here + most))
 
         def score(rows: np.ndarray, own=own, ints=ints, floats=floats, here=here) -> tuple[np.ndarray, list[int], list[int]]:
+            rows = rows[ids[rows] != own]
             products = fx[rows] @ floats
             whole = products.astype(np.int64).tolist() if exact else [sum(a * b for a, b in zip(r, ints.tolist(), strict=True)) for r in x[rows].tolist()]
             away = np.sqrt(np.maximum(here + most - 2 * products, 0))
-            away[ids[rows] == own] = math.inf
             return away, whole, ids[rows].tolist()
 
-        found = tree.search(np.append(floats, 0.0), k + int((ids == own).sum()), score, slack) if len(x) else []
-        out += [(own, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in found if i != own][:k]
+        found = tree.search(np.append(floats, 0.0), k, score, slack) if len(x) else []
+        out += [(own, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in found]
     return out
 
 
@@ -173,7 +174,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, shard_rows: int =
 
     The stated query set meets all rows in blocks: a task holds one shard and one block of queries.
     """
-    queries = vectors.where(is_query).dropDuplicates(["vec_id"])
+    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     shards, blocks = -(-max(vectors.count(), 1) // shard_rows), -(-max(queries.count(), 1) // block_rows)
     left = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
