@@ -67,6 +67,15 @@ def scan_totals(scan: DataFrame) -> DataFrame:
     return scan.agg(F.count_if(fine).alias("n_files"), F.count_if(~fine).alias("n_errors"), F.coalesce(F.sum(F.when(fine, F.col("size"))), F.lit(0)).alias("n_bytes"))
 
 
+def scan_events(scan: DataFrame) -> DataFrame:
+    """A scan as the events that a listener would get: started, one for each file or error, completed with all bytes."""
+    files = scan.select(F.when(F.col("error").isNull(), "file").otherwise("error").alias("event"), "path", "size")
+    one = scan.agg(F.sum("size").alias("size"))
+    none = F.lit(None).cast("string").alias("path")
+    started = one.select(F.lit("started").alias("event"), none, F.lit(None).cast("long").alias("size"))
+    return started.union(files).union(one.select(F.lit("completed").alias("event"), none, "size"))
+
+
 def processing_counters(rows: DataFrame) -> DataFrame:
     """Of rows (is_regular, error, size): processed, skipped, failed, bytes and percent of bytes processed."""
     failed, regular = F.col("error").isNotNull(), F.col("is_regular")

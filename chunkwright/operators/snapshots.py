@@ -85,6 +85,12 @@ def comparison_totals(compared: DataFrame) -> DataFrame:
     return compared.groupBy("change").agg(F.count("*").alias("n_files"), F.sum("size_difference").alias("size_difference"))
 
 
+def changed_since(files: DataFrame, now: DataFrame) -> DataFrame:
+    """Rows of ``now`` (path, size, modified_ms) that an incremental snapshot must read: new, or of other size or time than in ``files``."""
+    same = files.select("path", "size", "modified_ms")
+    return now.join(same, ["path", "size", "modified_ms"], "left_anti")
+
+
 def filtered(snapshots: DataFrame, *, name: str | None = None, since: Column | None = None, until: Column | None = None, min_size: int | None = None, max_size: int | None = None) -> DataFrame:
     """Snapshots (with totals) by name glob, dates and sizes; all bounds are inclusive."""
     c = F.col

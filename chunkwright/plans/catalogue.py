@@ -399,15 +399,13 @@ def delete_file(spark, sf):
 
 @query(
     "m_file_chunks m_files m_chunks m_snapshots",
-    """SELECT 'file_without_snapshot' AS rule, id AS key FROM m_files WHERE snapshot_id IN (SELECT id FROM m_snapshots WHERE created_at >= TIMESTAMP '1997-01-01')
+    """SELECT 'file_without_snapshot' AS rule, id AS key FROM m_files WHERE size <= 9000 AND snapshot_id IN (SELECT id FROM m_snapshots WHERE created_at >= TIMESTAMP '1997-01-01')
 UNION ALL SELECT 'chunk_row_without_file', file_id FROM m_file_chunks WHERE file_id IN (SELECT id FROM m_files WHERE size > 9000)
 UNION ALL SELECT 'chunk_row_without_chunk', chunk_hash FROM m_file_chunks WHERE chunk_hash IN (SELECT hash FROM m_chunks WHERE size > 45)""",
 )
 def fk_violations(spark, sf):
-    files = T.m_files(spark, sf)
-    orphans = snapshots.missing_parents(files, T.m_snapshots(spark, sf).where("created_at < timestamp_ntz'1997-01-01'"), T.m_file_chunks(spark, sf).limit(0), T.m_chunks(spark, sf))
-    lost = snapshots.missing_parents(files.where("size <= 9000"), files.select(F.col("snapshot_id").alias("id")).distinct(), T.m_file_chunks(spark, sf), T.m_chunks(spark, sf).where("size <= 45"))
-    return orphans.union(lost)
+    files, chunks = T.m_files(spark, sf).where("size <= 9000"), T.m_chunks(spark, sf).where("size <= 45")
+    return snapshots.missing_parents(files, T.m_snapshots(spark, sf).where("created_at < timestamp_ntz'1997-01-01'"), T.m_file_chunks(spark, sf), chunks)
 
 
 @query("m_file_chunks m_files", "SELECT 'hash_filled' AS rule, id AS key FROM m_files WHERE size = 0 UNION ALL SELECT 'snapshot_filled', id FROM m_files WHERE size > 9000")
@@ -563,6 +561,31 @@ def processing_counters(spark, sf):
     return metrics.processing_counters(rows.withColumns({"is_regular": F.col("size") > 5000, "error": F.when(F.col("size") == 0, "empty")}))
 
 
+@query("m_file_chunks m_files", "SELECT 'started' AS event, NULL AS path, NULL::BIGINT AS size UNION ALL SELECT CASE WHEN size = 0 THEN 'error' ELSE 'file' END, path, size FROM m_files UNION ALL SELECT 'completed', NULL, sum(size)::BIGINT FROM m_files")
+def scan_events(spark, sf):
+    return metrics.scan_events(T.m_files(spark, sf).withColumn("error", F.when(F.col("size") == 0, "empty")))
+
+
+@query("files", "SELECT b.path, b.size FROM files b LEFT JOIN files a ON a.path = b.path AND a.snapshot_id = 's1' WHERE b.snapshot_id = 's2' AND (a.path IS NULL OR a.size <> b.size OR a.modified_ms <> b.modified_ms)")
+def incremental_changes(spark, sf):
+    rows = T.files(spark, sf)
+    return snapshots.changed_since(rows.where("snapshot_id = 's1'"), rows.where("snapshot_id = 's2'")).select("path", "size")
+
+
+@query("m_file_chunks m_files m_snapshots totals", "SELECT id FROM totals WHERE NOT (regexp_matches(name, '^customer-[^/]*1$') AND created_at < TIMESTAMP '1996-01-01')")
+def batch_delete(spark, sf):
+    rows = _totals(spark, sf)
+    gone = snapshots.filtered(rows, name="customer-*1").where("created_at < timestamp_ntz'1996-01-01'")
+    return snapshots.deletable(rows, gone).select("id")
+
+
+@query("files file_chunks status", "SELECT status, count(*) AS n FROM status WHERE file_id IN (SELECT id FROM files WHERE regexp_matches(path, '^/fr/.*$')) GROUP BY 1")
+def verify_by_pattern(spark, sf):
+    wanted = T.files(spark, sf).where(selected(F.col("path"), "/fr/**")).select(F.col("id").alias("file_id"))
+    rows = T.file_chunks(spark, sf).join(wanted, "file_id", "left_semi")
+    return verify.chunk_status(rows, T.blobs(spark, sf, faulty=True)).groupBy("status").agg(F.count("*").alias("n"))
+
+
 def stream_source(spark, sf):
     """The transfer events as a stream over the table's file."""
     schema = T.read(spark, sf, "events").schema

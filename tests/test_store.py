@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkwright.operators import snapshots
-from chunkwright.sources import fsscan, indexfile, restore
+from chunkwright.sources import fsscan, indexfile, reports, restore
 from chunkwright.sources.store import Store
 
 
@@ -128,3 +128,13 @@ def test_upsert_keeps_first_seen(spark):
     new = spark.sql("select 'a' hash, 5L size, timestamp'2024-01-05' first_seen, timestamp'2024-01-05' last_accessed")
     row = snapshots.upsert_chunks(old, new).first()
     assert (row.first_seen.day, row.last_accessed.day) == (2, 5)
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, None), ("b", None, "x")], "name string, n long, note string")
+    reports.write_csv(rows, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    reports.write_json(rows, str(tmp_path / "json"))
+    assert {r.n for r in spark.read.json(str(tmp_path / "json")).collect()} == {1, None}
+    reports.write_text(rows, str(tmp_path / "text"), 4)
+    assert {r.value for r in spark.read.text(str(tmp_path / "text")).collect()} == {"a    1    -", "b    -    x"}
