@@ -60,12 +60,12 @@ HINTS = {
     "ad": "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted commercial affiliate outbrain taboola dfp adsense".split(),
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup paywall toast dialog disclaimer".split(),
     "foot": "footer foot copyright legal colophon bottom imprint".split(),
-    "head": "header masthead banner logo branding site hero top".split(),
+    "head": "header masthead banner logo branding tagline".split(),
     "form": "form search login signin input register contact poll survey".split(),
     "talk": "comment comments reply replies respond discussion disqus thread responses reviews feedback guestbook".split(),
     "share": "share sharing social follow facebook twitter like buttons toolbar tools print".split(),
     "hide": "hidden hide invisible offscreen sr".split(),
-    "main": "article main content post entry story body text news page primary blog maincontent articlebody prose".split(),
+    "main": "article main content post entry story body text news primary blog maincontent articlebody prose".split(),
     "meta": "meta byline author date time posted published info category".split(),
 }
 _HINT_OF: dict[str, list[int]] = {}
@@ -170,7 +170,8 @@ def hints(attrs: str) -> np.ndarray:
     return out
 
 
-NUMERIC = 14
+NUMERIC = 15
+_RIGHTS = re.compile(r"©|&copy;|copyright|all rights reserved|privacy policy|terms of (?:use|service)", re.I)
 N_FEATURES = len(TAGS) + 2 * N_HINTS + NUMERIC + 3
 
 
@@ -178,13 +179,14 @@ def features(tree: Tree) -> np.ndarray:
     """One row for each element."""
     n = len(tree.tag)
     x = np.zeros((n, N_FEATURES))
-    own, links, words, stops, kids, nodes, paragraphs = (np.zeros(n) for _ in range(7))
+    own, links, words, stops, kids, nodes, paragraphs, rights = (np.zeros(n) for _ in range(8))
     for node, text in tree.flow:
         if text:
             size = len(text.strip())
             own[node] += size
             words[node] += text.count(" ") if size else 0
             stops[node] += text.count(".") + text.count(",")
+            rights[node] += bool(_RIGHTS.search(text))
     tag, parent = tree.tag, tree.parent
     depth, chars = np.zeros(n), own.copy()
     base, extra = len(TAGS), len(TAGS) + N_HINTS
@@ -213,6 +215,7 @@ def features(tree: Tree) -> np.ndarray:
         words[p] += words[i]
         stops[p] += stops[i]
         nodes[p] += nodes[i] + 1
+        rights[p] += rights[i]
         paragraphs[p] += paragraphs[i] + (tag[i] in ("p", "h1", "h2", "h3", "blockquote", "pre"))
     total = max(chars[0], 1)
     order = np.zeros(n)
@@ -224,7 +227,7 @@ def features(tree: Tree) -> np.ndarray:
     x[:, at_numeric : at_numeric + NUMERIC] = np.stack(
         [
             np.log1p(chars), np.log1p(own), np.minimum(links / np.maximum(chars, 1), 1), np.log1p(words), stops / np.maximum(words + 1, 1), np.log1p(nodes), np.log1p(paragraphs),
-            chars / total, chars / np.maximum(chars[up], 1), depth, np.log1p(kids), order / sibling, np.log1p(sibling), chars / (nodes + 1),
+            chars / total, chars / np.maximum(chars[up], 1), depth, np.log1p(kids), order / sibling, np.log1p(sibling), chars / (nodes + 1), np.minimum(rights, 3),
         ],
         1,
     )
@@ -289,25 +292,30 @@ class Boosted:
         return value
 
 
+_JUNK = [k for k, name in enumerate(HINTS) if name not in ("main", "meta", "head")]
+
+
 def decode(tree: Tree, odds: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Which elements are kept: the likeliest choice in which a dropped element's subtree is dropped.
 
-    ``weight`` is each element's own text. An element's label counts for what it holds itself; elements
-    without own text count a little, so that the trees' view of containers matters too.
+    ``weight`` says how much an element's odds count. An inline element goes the way of its parent
+    and its text counts there, unless its attributes say that it is no part of the text.
     """
-    n = len(tree.tag)
-    gain = odds * weight
+    n, weight = len(tree.tag), weight.copy()
+    tied = np.array([t not in BLOCK and t not in UNSEEN and not (a and hints(a)[_JUNK].any()) for t, a in zip(tree.tag, tree.attrs, strict=True)])
+    tied[0] = False
+    for i in np.flatnonzero(tied)[::-1].tolist():
+        weight[tree.parent[i]] += weight[i]
+    gain = np.where(tied, 0.0, odds * weight)
     best = np.zeros(n)
-    for i in range(n - 1, -1, -1):
-        keep = gain[i] + best[i]
-        total = max(keep, 0.0) if i else keep
-        best[i] = keep
-        if i:
-            best[tree.parent[i]] += total
+    for i in range(n - 1, 0, -1):
+        best[i] += gain[i]
+        if tree.tag[i] not in UNSEEN:
+            best[tree.parent[i]] += best[i] if tied[i] else max(best[i], 0.0)
     kept = np.zeros(n, bool)
     kept[0] = True
     for i in range(1, n):
-        kept[i] = kept[tree.parent[i]] and best[i] > 0 and tree.tag[i] not in UNSEEN
+        kept[i] = kept[tree.parent[i]] and tree.tag[i] not in UNSEEN and (tied[i] or best[i] > 0)
     return kept
 
 
@@ -326,12 +334,16 @@ def text_of(tree: Tree, kept: np.ndarray) -> str:
     return "\n".join(blocks)
 
 
-def own_text(tree: Tree) -> np.ndarray:
-    out = np.full(len(tree.tag), 0.5)
+def own_text(tree: Tree, within: float = 0.6) -> np.ndarray:
+    """Weights of elements: by their own text, and by a share of what their subtree holds."""
+    own = np.zeros(len(tree.tag))
     for node, text in tree.flow:
         if text:
-            out[node] += min(len(text.strip()), 200) ** 0.5
-    return out
+            own[node] += len(text.strip())
+    whole = own.copy()
+    for i in range(len(own) - 1, 0, -1):
+        whole[tree.parent[i]] += whole[i]
+    return 0.2 + np.minimum(own, 200) ** 0.5 + within * np.minimum(whole - own, 600) ** 0.5
 
 
 def extract(page: str | None, model: Boosted) -> str:
@@ -368,19 +380,39 @@ def _inline(rng: random.Random, text: str) -> str:
 def _attr(rng: random.Random, kind: str) -> str:
     if rng.random() < 0.15:
         return ""
+    if rng.random() < 0.3:
+        return _mixed(rng, kind)
     name = rng.choice(HINTS[kind])
     if rng.random() < 0.4:
         name += rng.choice(["-box", "-wrap", "__inner", " block", "-list", "_1"])
     return f' {rng.choice(["class", "class", "id", "role"])}="{name}"'
 
 
+_PLAIN = "wrapper container site page layout outer row col grid single wide clearfix wp js app root inner section area region".split()
+
+
+def _mixed(rng: random.Random, kind: str | None) -> str:
+    """Several class tokens, as page builders write them: plain ones and, with a kind, one of its own."""
+    names = rng.sample(_PLAIN, rng.randint(1, 3))
+    if kind:
+        names.append(rng.choice([rng.choice(HINTS[kind]), f"{rng.choice(_PLAIN)}-{rng.choice(HINTS[kind])}", f"{rng.choice(HINTS[kind])}-{rng.choice(_PLAIN)}"]))
+        rng.shuffle(names)
+    return f' class="{" ".join(names)}"'
+
+
 def _list(rng: random.Random, low: int = 2, high: int = 9) -> str:
     items = "".join(f'<li><a href="/{i}">{_sentence(rng, 1, 3).rstrip(".?!")}</a></li>' for i in range(rng.randint(low, high)))
     return f"<ul>{items}</ul>"
 
 
 def _junk(rng: random.Random, where: str) -> str:
-    kind = rng.choice({"top": ["nav", "head", "notice", "ad", "form", "nav"], "in": ["ad", "share", "side", "notice", "form", "ad"], "end": ["foot", "side", "talk", "ad", "notice", "share", "nav"]}[where])
+    kind = rng.choice({"top": ["nav", "head", "notice", "ad", "form", "nav", "hide"], "in": ["ad", "share", "side", "notice", "form", "ad", "hide"], "end": ["foot", "foot", "side", "talk", "ad", "notice", "share", "nav"]}[where])
+    if kind == "foot" and rng.random() < 0.2:
+        return f"<div>{rng.choice(['&copy; ', 'Copyright 2020 ', '(c) '])}{_sentence(rng, 1, 6)} {rng.choice(['', 'All rights reserved.', '<a href=p>Privacy policy</a>'])}</div>"
+    if kind == "nav" and rng.random() < 0.15:
+        return "<div>" + " ".join(f'<a href="/{k}">{_sentence(rng, 1, 2).rstrip(".?!")}</a>' for k in range(rng.randint(2, 7))) + "</div>"
+    if kind == "hide":
+        return f"<div{rng.choice([' hidden', ' style=\"display:none\"', ' style=\"display: none\"', ' aria-hidden=\"true\"'])}>{rng.choice([_prose(rng), f'<p>{_prose(rng)}</p>'])}</div>"
     tag = {"nav": ["nav", "div", "ul"], "head": ["header", "div"], "foot": ["footer", "footer", "div"], "side": ["aside", "div", "section"], "form": ["form", "div"], "talk": ["section", "div", "ol"]}.get(kind, ["div", "div", "section", "aside", "p"])
     tag = rng.choice(tag)
     attr = _attr(rng, kind)
@@ -394,20 +426,22 @@ def _junk(rng: random.Random, where: str) -> str:
         "foot": lambda: rng.choice(["&copy; ", "Copyright ", ""]) + _sentence(rng, 2, 14) + rng.choice(["", " &middot; " + _sentence(rng, 2, 14), _list(rng), f"<p>{_prose(rng)}</p>"]),
         "side": lambda: f"<h3>{_sentence(rng, 1, 3)}</h3>" + rng.choice([_list(rng), f"<p>{_prose(rng)}</p>", _list(rng)]),
         "form": lambda: f'<label>{_sentence(rng, 1, 3)}</label><input type="text"><button>{_sentence(rng, 1, 2)}</button>' + rng.choice(["", f"<p>{_prose(rng)}</p>"]),
-        "talk": lambda: f"<h3>{_sentence(rng, 1, 2)}</h3>" + "".join(f'<div class="{rng.choice(["comment", "reply", "item"])}"><b>{_sentence(rng, 1, 2)}</b><p>{_prose(rng)}</p></div>' for _ in range(rng.randint(1, 5))),
+        "talk": lambda: rng.choice([f"<h2>{_sentence(rng, 1, 3)}</h2><ol>" + "".join(f"<li><p>{_prose(rng)}</p></li>" for _ in range(rng.randint(1, 4))) + "</ol>", ""]) or f"<h3>{_sentence(rng, 1, 2)}</h3>" + "".join(f'<div class="{rng.choice(["comment", "reply", "item"])}"><b>{_sentence(rng, 1, 2)}</b><p>{_prose(rng)}</p></div>' for _ in range(rng.randint(1, 5))),
     }.get(kind, lambda: rng.choice([_prose(rng), f"<p>{_prose(rng)}</p>", f'<a href="/ad">{_sentence(rng, 2, 9)}</a>', f"<h4>{_sentence(rng, 1, 4)}</h4><p>{_prose(rng)}</p>"]))()
     return f"<{tag}{attr}>{body}</{tag}>"
 
 
 def _main(rng: random.Random) -> list[tuple[str, bool]]:
     """Pieces of the main part with their labels."""
-    parts = [(f"<h1>{_inline(rng, _sentence(rng, 2, 12))}</h1>", True)] if rng.random() < 0.85 else []
+    head = rng.choice(["h1", "h1", "h1", "h2", 'h1 class="title"', 'h2 class="entry-title"', 'h1 class="page-title"', 'h1 class="post-header"'])
+    parts = [(f"<{head}>{_inline(rng, _sentence(rng, 2, 12))}</{head.split()[0]}>", True)] if rng.random() < 0.85 else []
     for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14])):
         r = rng.random()
         if r < 0.68:
             text = _inline(rng, _prose(rng))
             text = f"<b>{text}<br>" if rng.random() < 0.12 else text
-            parts.append((f"<p>{text}" + ("</p>" if rng.random() < 0.85 else ""), True))
+            text = rng.choice(["", "", "", "", "", ' class="lead"', ' class="intro text"', ' class="has-drop-cap"']) + ">" + text
+            parts.append((f"<p{text}" + ("</p>" if rng.random() < 0.85 else ""), True))
         elif r < 0.76:
             parts.append((f"<h2>{_sentence(rng, 1, 7)}</h2>", True))
         elif r < 0.82:
@@ -440,13 +474,20 @@ def _page(rng: random.Random) -> str:
     wrap = rng.choice(["article", "article", "main", "div", "div", "section", ""])
     if wrap:
         attr = _attr(rng, "main") if wrap in ("div", "section") or rng.random() < 0.3 else ""
+        if rng.random() < 0.25:
+            cut = body.find("</h") + 5 if "</h" in body[:400] else 0
+            body = body[:cut] + f'<div data-keep="1"{_mixed(rng, "main")}>{body[cut:]}</div>'
         body = f'<{wrap} data-keep="1"{attr}>{body}</{wrap}>'
     if rng.random() < 0.35:
         body = f"<{rng.choice(['div', 'main', 'section'])} data-keep=\"1\"{_attr(rng, 'main')}>{body}" + "".join(mark(_junk(rng, "end"), False) for _ in range(rng.randint(0, 2))) + "</div>"
-    return f"<html><head><title>{_sentence(rng, 2, 8)}</title></head><body>{top}{body}{end}</body></html>"
+    whole = top + body + end
+    if rng.random() < 0.4:
+        whole = f'<div data-keep="1"{_mixed(rng, rng.choice([None, None, "main"]))}>{whole}</div>'
+    attr = _mixed(rng, rng.choice([None, "main", "side", "talk"])) if rng.random() < 0.3 else ""
+    return f"<html><head><title>{_sentence(rng, 2, 8)}</title></head><body{attr}>{whole}</body></html>"
 
 
-def train(*, pages: int = 500, seed: int = 7) -> Boosted:
+def train(*, pages: int = 900, seed: int = 7) -> Boosted:
     """Trees fitted to generated pages; the same seed gives the same trees."""
     rng = random.Random(seed)
     xs, ys = [], []
