@@ -1,20 +1,24 @@
 """Benchmark decontamination with a generalised suffix automaton over words.
 
-The automaton holds every word sequence that occurs in any test item. Training
+The automaton holds every word sequence that occurs in some test items. Training
 tokens stream through it; at each token it knows the longest suffix of the stream
 that occurs in some item. Where that is as long as a window (13 item words, or a
-whole shorter item), the window's words are hit. Only runs of words that all occur
-in the test items can match, so other tokens are skipped by one vectorised step.
+whole shorter item), the window's words are hit.
+
+Test items come in blocks of bounded size. In one pass over the documents the hashes of all their
+windows are looked up among the block's; a text that shares one streams through the automaton of the
+items that it shares windows with. Equal windows have equal hashes, so no hit is lost, and the
+automaton is exact, so none is made up. No block makes a shuffle.
 
 Rows: null or empty texts have no words and are never contaminated. Repeated rows
-each get their own result. Other columns of the input pass through untouched (the
-results are added under the names of ``ADDED``; clashing input columns are replaced).
+each get their own result. Very long texts are read whole. Other columns pass through untouched;
+``find_hits`` adds its results under ``names`` and replaces columns of these names, while
+``decontaminate`` and ``remove_spans`` return just the columns of their input, whatever their names.
 An empty benchmark hits nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwright.llm.textops import ASCII_LOWER, released, small_batches, stored, utf8
+from chunkwright.llm.textops import ASCII_LOWER, fresh, hashed_words, mix, released, small_batches, stored, utf8
 
 #: Everything below 0x80 but letters and digits separates words.
 _WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in ASCII_LOWER)
 
 #: Blocks whose steps run in one stage.
-_STEPS = 4
+_STEPS = 2
+#: Most slots of a block's first filter (a byte each), and automata that a task keeps.
+_SLOTS, _KEPT = 1 << 24, 512
 
 ADDED = T.StructType(
     [
@@ -171,9 +177,72 @@ class Automaton:
         return best
 
 
-def _blocks(benchmark: DataFrame, max_block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Test items in blocks whose automaton has a bounded size."""
-    block: list[tuple[str, list[bytes]]] = []
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``n`` word hashes."""
+    if len(h) < n:
+        return np.empty(0, np.uint64)
+    out = h[: len(h) - n + 1].copy()
+    for k in range(1, n):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[k : len(h) - n + 1 + k]
+    return mix(out)
+
+
+class Block:
+    """Some test items: hashes of their windows by length, and automata of those that a text needs."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
+        self.items, self.window = items, window
+        by_length: dict[int, tuple[list, list]] = {}
+        for first, _, h, at in hashed_words([raw for _, raw in items], _WORDS):
+            for i in range(len(at) - 1):
+                if n := min(window, int(at[i + 1] - at[i])):
+                    own = window_hashes(h[at[i] : at[i + 1]], n)
+                    hashes, names = by_length.setdefault(n, ([], []))
+                    hashes.append(own)
+                    names.append(np.full(len(own), first + i, np.int32))
+        self.known = {}
+        for n, (hashes, names) in by_length.items():
+            h, k = np.concatenate(hashes), np.concatenate(names)
+            order = np.argsort(h, kind="stable")
+            bits = min(max(16 * len(h), 1 << 12), _SLOTS).bit_length()
+            seen = np.zeros(1 << bits, bool)
+            seen[h >> np.uint64(64 - bits)] = True
+            self.known[n] = (h[order], k[order], seen, np.uint64(64 - bits))
+        self.automata: dict[frozenset[int], Automaton] = {}
+
+    def candidates(self, h: np.ndarray, at: np.ndarray) -> dict[int, set[int]]:
+        """Of texts with word hashes ``h`` from offsets ``at``: the items with which each shares a window."""
+        out: dict[int, set[int]] = {}
+        for n, (known, names, seen, shift) in self.known.items():
+            own = window_hashes(h, n)
+            spots = np.flatnonzero(seen[own >> shift])
+            a, b = (np.searchsorted(known, own[spots], side) for side in ("left", "right"))
+            text = np.searchsorted(at, spots, "right") - 1
+            fine = (b > a) & (spots + n <= at[text + 1])
+            for i, x, y in zip(text[fine].tolist(), a[fine].tolist(), b[fine].tolist(), strict=True):
+                out.setdefault(i, set()).update(names[x:y].tolist())
+        return out
+
+    def automaton(self, wanted: set[int]) -> Automaton:
+        key = frozenset(wanted)
+        if key not in self.automata:
+            if len(self.automata) >= _KEPT:
+                self.automata.clear()
+            self.automata[key] = Automaton([(self.items[k][0], words(self.items[k][1])) for k in sorted(key)], self.window)
+        return self.automata[key]
+
+    def scan(self, texts: list[bytes]) -> Iterator[tuple[int, list[list[int]], set[str]]]:
+        """Words, hit spans and items that occur, of each text."""
+        for first, _, h, at in hashed_words(texts, _WORDS):
+            found = self.candidates(h, at)
+            for i, n in enumerate(np.diff(at).tolist()):
+                yield n, *(self.automaton(found[i]).scan(words(texts[first + i])) if i in found else ([], set()))
+
+
+def _blocks(benchmark: DataFrame, max_block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Test items in blocks of a bounded size; the first may be empty."""
+    block: list[tuple[str, bytes]] = []
     size = 0
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text")).where("text is not null")
     for item, text in rows.toLocalIterator():
@@ -181,7 +250,7 @@ def _blocks(benchmark: DataFrame, max_block_bytes: int) -> Iterator[list[tuple[s
         if block and size + len(raw) > max_block_bytes:
             yield block
             block, size = [], 0
-        block.append((item, words(raw)))
+        block.append((item, raw))
         size += len(raw)
     yield block
 
@@ -196,84 +265,81 @@ def _merge(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, max_block_bytes: int = 256 << 10) -> DataFrame:
-    """Adds ``ADDED`` to each row of ``docs`` (column ``text``).
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, max_block_bytes: int = 8 << 20, names: list[str] | None = None) -> DataFrame:
+    """Adds ``ADDED`` to each row of ``docs`` (column ``text``), under ``names``.
 
     Test items are read in blocks of at most ``max_block_bytes`` (one longer item makes a
-    block of its own); each block's automaton is shipped with its own narrow step over
-    the documents, and after a few blocks the rows are written and read again. So what a task
-    holds does not grow with the benchmark, and no block makes a shuffle. ``item_ids`` are the sorted ids, as strings, of items with an
+    block of its own); each block is shipped with its own narrow step over the documents, and
+    after a few blocks the rows are written and read again. So what a task
+    holds does not grow with the benchmark. ``item_ids`` are the sorted ids, as strings, of items with an
     occurring window.
     """
     small_batches(docs.sparkSession)
-    out = docs.drop(*ADDED.names)
-    kept = out.schema
+    names = names or ADDED.names
+    out = docs.drop(*names)
+    added = [T.StructField(name, f.dataType) for name, f in zip(names, ADDED.fields, strict=True)]
+    schema = T.StructType([*out.schema.fields, *added])
     for k, items in enumerate(_blocks(benchmark, max_block_bytes)):
         if k and not k % _STEPS:
             out = stored(out, "decontam")
-        out = out.mapInArrow(released(_scanner(Automaton(items, window), not k)), T.StructType([*kept.fields, *ADDED.fields]))
+        out = out.mapInArrow(released(_scanner(items, window, names, not k)), schema)
     return out
 
 
-def _scanner(automaton: Automaton, first: bool):
+def _scanner(items: list[tuple[str, bytes]], window: int, names: list[str], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(items, window)
         for batch in batches:
             table = pa.Table.from_batches([batch])
             counts, hits, spans, ids = [], [], [], []
-            before = [] if first else table.select(ADDED.names).to_pylist()
-            for k, text in enumerate(utf8(table.column("text"))):
-                tokens = words(text)
-                span, found = automaton.scan(tokens)
-                if not first and before[k]["hit_spans"]:
-                    span = _merge(span, before[k]["hit_spans"])
-                    found = found | {*before[k]["item_ids"]}
-                counts.append(len(tokens))
+            before = [] if first else table.select(names[2:]).to_pylist()
+            for k, (n, span, found) in enumerate(block.scan(utf8(table.column("text")))):
+                if not first and before[k][names[2]]:
+                    span = _merge(span, before[k][names[2]])
+                    found = found | {*before[k][names[3]]}
+                counts.append(n)
                 hits.append(sum(e - s for s, e in span))
                 spans.append(span)
                 ids.append(sorted(found))
-            table = table.select([c for c in table.column_names if c not in ADDED.names])
-            for name, values, kind in (
-                ("n_words", counts, pa.int64()),
-                ("n_hit", hits, pa.int64()),
-                ("hit_spans", spans, pa.list_(pa.list_(pa.int64()))),
-                ("item_ids", ids, pa.list_(pa.string())),
-            ):
+            table = table.select([c for c in table.column_names if c not in names])
+            for name, values, kind in zip(names, (counts, hits, spans, ids), (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())), strict=True):
                 table = table.append_column(name, pa.array(values, kind))
             yield from table.to_batches()
 
     return run
 
 
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
-
-
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words", coverage: float = 0.05):
     """True where hit words make at least ``coverage`` of all words."""
     return (F.col(n_hit) > 0) & (F.col(n_hit) >= F.lit(coverage) * F.col(n_words) - 1e-9)
 
 
+def _clean(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float) -> tuple[DataFrame, str]:
+    names = [fresh(docs, n) for n in ADDED.names]
+    hits = find_hits(docs, benchmark, window=window, names=names)
+    return hits.where(~is_contaminated(names[1], names[0], coverage)), names[2]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, coverage: float = 0.05) -> DataFrame:
     """Drops the contaminated rows of ``docs``; the others come out unchanged."""
-    hits = find_hits(docs, benchmark, window=window)
-    return hits.where(~is_contaminated(coverage=coverage)).select(docs.columns)
+    return _clean(docs, benchmark, window, coverage)[0].select(docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, coverage: float = 0.05) -> DataFrame:
     """Drops contaminated rows and cuts the hit spans, separators included, from the texts of the others."""
-    hits = find_hits(docs, benchmark, window=window).where(~is_contaminated(coverage=coverage))
+    kept, hit = _clean(docs, benchmark, window, coverage)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            raw, spans = table.column("text").to_pylist(), table.column("hit_spans").to_pylist()
+            raw, spans = table.column("text").to_pylist(), table.column(hit).to_pylist()
             texts = [cut(t, s) if s else t for t, s in zip(raw, spans, strict=True)]
             at = table.column_names.index("text")
             table = table.set_column(at, "text", pa.array(texts, table.schema.field("text").type))
             yield from table.select(names).to_batches()
 
-    return hits.mapInArrow(run, docs.schema)
+    return kept.mapInArrow(released(run), docs.schema)
 
 
 def cut(text: str, spans: list[list[int]]) -> str:

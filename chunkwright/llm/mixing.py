@@ -3,7 +3,7 @@
 A source's target comes from its weight, capped at a multiple of its size; what is
 cut off is shared again by weight (water filling). Whole epochs come first: each takes
 every document of the source. For the rest, documents are ordered by exponential keys,
--ln(u) / quality, with u from a hash of doc_id, and taken while their prefix sum stays within
+-ln(u) / weight, with u from a hash of doc_id and the document's quality weight, and taken while their prefix sum stays within
 what is left; documents larger than that are passed over. A long document may end this early, so
 the same is done with the gap that it leaves, and once more. One last document, the one whose
 size is nearest to what is still open, closes it if that brings the source nearer to its target.
@@ -13,8 +13,9 @@ ranges, and only the range that crosses the target is sorted row by row.
 
 Rows: null and empty texts have size 0 and are taken 0 words. A null source is a
 source of its own. Repeated rows count one by one; ties in the key go by doc_id and size.
-An empty table gives an empty result. With all sizes 0 all targets are 0. Extra columns
-pass through, but for those named like ``ADDED`` or ``_OWN``, which are replaced or dropped.
+A null or non-finite weight counts as 1, one below ``_LEAST`` as that. An empty table gives an empty
+result. With all sizes 0 all targets are 0. Extra columns pass through, but for those named like
+``ADDED``, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,33 +29,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwright.llm.textops import released, small_batches, stored, utf8, word_bounds
+from chunkwright.llm.textops import fresh, released, small_batches, stored, utf8, word_bounds
 
 ADDED = ("size", "source_size", "target", "taken")
-_OWN = ("_quality", "_key", "_range", "_row", "_extra", "_gap", "_epochs", "_rest", "_source", "_cross", "_before", "_inside", "_run")
+_OWN = ("_quality", "_key", "_range", "_row", "_extra", "_gap", "_epochs", "_rest", "_source", "_cross", "_before", "_inside", "_run", "_upto", "_s", "_in", "n")
+_LEAST = 0.01
 _RANGES = 1 << 12
 #: Sources whose table is small enough to broadcast (some 100 bytes each).
 _BROADCAST_ROWS = 50_000
 _ROUNDS = 3
 
 
-def quality_weight(text: bytes) -> float:
-    """0.05 to 1: falls with the shares of symbols and of capitals among visible bytes."""
-    n = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    small, capital = int(n[97:123].sum() + n[128:].sum() + n[48:58].sum()), int(n[65:91].sum())
-    seen = int(n.sum() - n[32] - n[9:14].sum())
-    if not seen:
-        return 1.0
-    return max(0.05, 1 - 2 * max(0.0, (seen - small - capital) / seen - 0.05) - max(0.0, capital / seen - 0.2))
-
-
 def _measured(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            texts = utf8(table.column("text"))
-            table = table.select(names).append_column("size", pa.array([len(word_bounds(np.frombuffer(t, np.uint8))[0]) for t in texts], pa.int64()))
-            yield from table.append_column("_quality", pa.array([quality_weight(t) for t in texts], pa.float64())).to_batches()
+            sizes = [len(word_bounds(np.frombuffer(t, np.uint8))[0]) for t in utf8(table.column("text"))]
+            yield from table.select(names).append_column("size", pa.array(sizes, pa.int64())).to_batches()
 
     return run
 
@@ -85,18 +76,25 @@ def _with_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:
     return docs.join(right, docs["source"].eqNullSafe(right["_source"])).drop("_source")
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11, keep_text: bool = False) -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11, weight: str | None = None, keep_text: bool = False) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target`` and ``taken`` to each row of ``docs`` (doc_id, text, source).
 
     ``taken`` is a whole multiple of ``size``: how many words of the document the mix takes.
+    ``weight`` names the column of the documents' quality weights; without it all weigh the same.
     The text is read for its size and kept only with ``keep_text``; other columns always are.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop(*ADDED, *_OWN)
+    docs = docs.drop(*ADDED)
+    # Columns of the caller that are named like this module's own go by other names meanwhile.
+    moved = {fresh(docs, f"_kept_{c}"): c for c in docs.columns if c.lower() in _OWN}
+    docs = docs.withColumnsRenamed({c: other for other, c in moved.items()})
+    weight = next((other for other, c in moved.items() if c == weight), weight)
     names = [c for c in docs.columns if keep_text or c.lower() != "text"]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("size", T.LongType()), T.StructField("_quality", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("size", T.LongType())])
     rows = docs.mapInArrow(released(_measured(names)), schema)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
+    own = F.lit(1.0) if weight is None else F.coalesce(F.nanvl(F.col(weight).cast("double"), F.lit(1.0)), F.lit(1.0))
+    rows = rows.withColumn("_quality", F.when(own == float("inf"), 1.0).otherwise(F.greatest(own, F.lit(_LEAST))))
     rows = rows.withColumn("_key", -F.log(u) / F.col("_quality"))
     rows = rows.withColumn("_range", F.floor(_RANGES * (1 - F.exp(-F.col("_key")))).cast("int")).withColumn("_row", F.monotonically_increasing_id())
     rows = stored(rows, "mix-rows")
@@ -113,7 +111,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
     closing = spare.groupBy("source").agg(F.min_by("_row", F.struct(F.abs(F.col("_gap") - F.col("size")), "_key", "doc_id", "size", "_row")).alias("_row"))
     extra = slim.where("_extra = 1").select("_row").union(closing.select("_row")).withColumn("_extra", F.lit(1))
     out = _with_sources(rows, plan).join(extra, "_row", "left")
-    return out.withColumn("taken", (F.col("size") * (F.col("_epochs") + F.coalesce("_extra", F.lit(0)))).cast("long")).select(*names, *ADDED)
+    return out.withColumn("taken", (F.col("size") * (F.col("_epochs") + F.coalesce("_extra", F.lit(0)))).cast("long")).select(*names, *ADDED).withColumnsRenamed(moved)
 
 
 def _filled(slim: DataFrame, gaps: DataFrame) -> DataFrame:

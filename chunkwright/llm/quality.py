@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwright.llm.textops import hashed_words, released, small_batches, utf8
+from chunkwright.llm.textops import bounded, fresh, hashed_words, released, small_batches, stored, utf8
 
 BITS = 16
 #: Pairs of byte classes, then shares of words that repeat the word one, two and three places before.
@@ -86,88 +86,104 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(k)
                 times.append(n / max(int(at[i + 1] - at[i]), 1))
                 pairs.append(shape_of(texts[first + i], h[at[i] : at[i + 1]]))
-        cols = [table.column("grade").combine_chunks(), *(pa.array(x, pa.list_(kind)) for x, kind in ((keys, pa.int64()), (times, pa.float64()), (pairs, pa.float64())))]
-        yield pa.RecordBatch.from_arrays(cols, ["grade", "keys", "times", "pairs"])
+        cols = [table.column("k").combine_chunks(), table.column("grade").combine_chunks(), *(pa.array(x, pa.list_(kind)) for x, kind in ((keys, pa.int64()), (times, pa.float64()), (pairs, pa.float64())))]
+        yield pa.RecordBatch.from_arrays(cols, ["k", "grade", "keys", "times", "pairs"])
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: str, *, max_rows: int = 6000, rounds: int = 120, decay: float = 1e-3) -> Model:
     """Fits ``docs`` (doc_id, text) with ``labels`` (doc_id, ``grade``).
 
-    At most about ``max_rows`` labelled rows, picked by a hash of doc_id, are used; that is the
-    one bound, so the picked keys are small enough to broadcast and features of that many
-    texts fit at the driver. Of equal doc_ids in the labels the highest grade counts.
+    At most ``max_rows`` labelled rows are used, picked by a hash; that is the one bound, so
+    features of that many texts fit at the driver. Labels are picked by doc_id first, so that their
+    table is small enough to broadcast, and the rows that they meet are bounded again. Of equal doc_ids
+    in the labels, and of equal texts, the highest grade counts. Rows are sorted before the fit, so
+    that reruns agree.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull()).groupBy("doc_id").agg(F.max(grade).cast("int").alias("grade"))
     n = one.count()
     if n > max_rows:
         one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    picked = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("text", "grade").dropDuplicates(["text"])
-    rows = picked.mapInArrow(released(_features), "grade int, keys array<long>, times array<double>, pairs array<double>").toArrow()
+    picked = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").groupBy("text").agg(F.max("grade").alias("grade"))
+    sample = bounded(stored(picked, "quality-sample").withColumn("k", F.xxhash64("text")), F.col("k"), max_rows)
+    rows = sample.mapInArrow(released(_features), "k long, grade int, keys array<long>, times array<double>, pairs array<double>").toArrow().sort_by([("k", "ascending"), ("grade", "ascending")])
     y = rows.column("grade").to_numpy()
     grades = sorted({*y.tolist()})
     if len(grades) < 2:
         return Model(grades or [0], np.zeros(1 << BITS), np.zeros(_PAIRS), np.zeros(0))
-    keys, times = (rows.column(c).combine_chunks() for c in ("keys", "times"))
-    at = np.asarray(keys.offsets)
-    pairs = np.array(rows.column("pairs").combine_chunks().values).reshape(-1, _PAIRS)
-    return fit(np.searchsorted(grades, y), grades, np.asarray(keys.values), np.asarray(times.values), np.diff(at), pairs, rounds, decay)
+    keys, times, pairs = (rows.column(c).combine_chunks() for c in ("keys", "times", "pairs"))
+    return fit(np.searchsorted(grades, y), grades, np.asarray(keys.flatten()), np.asarray(times.flatten()), np.diff(np.asarray(keys.offsets)), np.asarray(pairs.flatten()).reshape(-1, _PAIRS), rounds, decay)
+
+
+#: Scales of the two kinds of features, by which one learning rate suits both.
+_SCALE = (6.0, 30.0)
+
+
+def thresholds_of(free: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from free parameters: the first, then logs of the steps."""
+    return np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
+
+
+def loss_and_slopes(params: list[np.ndarray], y: np.ndarray, k: int, row: np.ndarray, keys: np.ndarray, times: np.ndarray, pairs: np.ndarray, decay: float) -> tuple[float, list[np.ndarray]]:
+    """Mean negative log-likelihood of the grades with its penalty, and its slopes by the parameters."""
+    words, wide, free = params
+    n = len(y)
+    value = np.bincount(row, words[keys] * times * _SCALE[0], n) + pairs @ wide * _SCALE[1]
+    edges = np.concatenate(([-np.inf], thresholds_of(free), [np.inf]))
+    with np.errstate(over="ignore"):
+        upper, lower = (1 / (1 + np.exp(-(edges[y + s] - value))) for s in (1, 0))
+    p = np.maximum(upper - lower, 1e-9)
+    d_up, d_low = upper * (1 - upper) / p / n, lower * (1 - lower) / p / n
+    slope = d_up - d_low  # of the loss by the value
+    by_edge = (np.bincount(y, d_low, k + 1) - np.bincount(y + 1, d_up, k + 1))[1:k]
+    tail = np.cumsum(by_edge[::-1])[::-1]
+    slopes = [
+        np.bincount(keys, slope[row] * times * _SCALE[0], len(words)) + decay * words,
+        pairs.T @ slope * _SCALE[1] + decay * wide,
+        np.concatenate((tail[:1], tail[1:] * np.exp(free[1:]))),
+    ]
+    return float(-np.log(p).mean() + decay / 2 * ((words**2).sum() + (wide**2).sum())), slopes
 
 
 def fit(y: np.ndarray, grades: list[int], keys: np.ndarray, times: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, rounds: int, decay: float) -> Model:
     """Maximum likelihood with a quadratic penalty, by Adam on all rows at once."""
-    row, n, k = np.repeat(np.arange(len(y)), sizes), len(y), len(grades)
-    scale = (6.0, 30.0)
+    row, k = np.repeat(np.arange(len(y)), sizes), len(grades)
     counts = np.array([(y >= j).mean() for j in range(1, k)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(counts / (1 - counts))
-    # Thresholds: the first, then logs of the steps, so that they stay in order.
     params = [np.zeros(1 << BITS), np.zeros(_PAIRS), np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-3))))]
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    dense = pairs * scale[1]
-    thresholds = start
     for t in range(1, rounds + 1):
-        words, wide, free = params
-        thresholds = np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
-        value = np.bincount(row, words[keys] * times * scale[0], n) + dense @ wide
-        edges = np.concatenate(([-np.inf], thresholds, [np.inf]))
-        with np.errstate(over="ignore"):
-            upper, lower = (1 / (1 + np.exp(-(edges[y + s] - value))) for s in (1, 0))
-        p = np.maximum(upper - lower, 1e-9)
-        d_up, d_low = upper * (1 - upper), lower * (1 - lower)
-        slope = (d_up - d_low) / p / n  # of the loss by the value
-        by_edge = np.zeros(k + 1)
-        np.add.at(by_edge, y + 1, -d_up / p / n)
-        np.add.at(by_edge, y, d_low / p / n)
-        by_edge = by_edge[1:k]
-        tail = np.cumsum(by_edge[::-1])[::-1]
-        grads = [
-            np.bincount(keys, slope[row] * times * scale[0], 1 << BITS) + decay * words,
-            dense.T @ slope + decay * wide,
-            np.concatenate((tail[:1], tail[1:] * np.exp(free[1:]))),
-        ]
-        for q, g, (m, v) in zip(params, grads, moment, strict=True):
+        _, slopes = loss_and_slopes(params, y, k, row, keys, times, pairs, decay)
+        for q, g, (m, v) in zip(params, slopes, moment, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             q -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return Model(grades, params[0] * scale[0], params[1] * scale[1], thresholds)
+    return Model(grades, params[0] * _SCALE[0], params[1] * _SCALE[1], thresholds_of(params[2]))
 
 
-def add_grades(docs: DataFrame, model: Model) -> DataFrame:
+def add_grades(docs: DataFrame, model: Model, *, names: tuple[str, str] = ("expected_grade", "tail_probabilities")) -> DataFrame:
     """Adds the expected grade and, for each grade but the least, the chance to reach it."""
     small_batches(docs.sparkSession)
-    kept = docs.drop(*ADDED.names)
-    names = kept.columns
+    kept = docs.drop(*names)
+    own = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = np.diff(model.grades).astype(float)
         for batch in batches:
             table = pa.Table.from_batches([batch])
             tails = model.tails(model.values(utf8(table.column("text"))))
-            table = table.select(names).append_column("expected_grade", pa.array(model.grades[0] + tails @ steps, pa.float64()))
-            yield from table.append_column("tail_probabilities", pa.array(list(tails), pa.list_(pa.float64()))).to_batches()
+            table = table.select(own).append_column(names[0], pa.array(model.grades[0] + tails @ steps, pa.float64()))
+            yield from table.append_column(names[1], pa.array(list(tails), pa.list_(pa.float64()))).to_batches()
+
+    added = [T.StructField(name, field.dataType) for name, field in zip(names, ADDED.fields, strict=True)]
+    return kept.mapInArrow(released(run), T.StructType([*kept.schema.fields, *added]))
+
 
-    return kept.mapInArrow(released(run), T.StructType([*kept.schema.fields, *ADDED.fields]))
+def drop_low(docs: DataFrame, model: Model, *, chance: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that pass, unchanged, whatever their columns are named."""
+    names = fresh(docs, "expected_grade"), fresh(docs, "tail_probabilities")
+    return add_grades(docs, model, names=names).where(passes(chance, names[1])).select(docs.columns)
 
 
-def passes(chance: float = 0.5):
+def passes(chance: float = 0.5, tails: str = "tail_probabilities"):
     """True where the highest grade is reached with at least this chance (with one grade: always)."""
-    return F.coalesce(F.try_element_at("tail_probabilities", F.lit(-1)) >= chance, F.lit(True))
+    return F.coalesce(F.try_element_at(tails, F.lit(-1)) >= chance, F.lit(True))

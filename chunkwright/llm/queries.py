@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwright.llm import chat, decontam, htmltext, jaccard, lm, mixing, quality, tokencounts, topk, toxicity
-from chunkwright.llm.textops import shared_dir
+from chunkwright.llm.textops import shared_dir, stored
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,19 +24,30 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
-    """Totals after three batches: word counts, provisional counts of a vocabulary, and their revision.
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents after four batches, each committed twice as a job that is run again would.
 
-    The revision is committed twice, as a job that is run again would; the second changes nothing.
+    All documents are inserted; of those with doc_id % 10 = 1 the vocabulary's count is provisional (their words)
+    and later revised. Documents with doc_id % 10 = 0 are withdrawn and then come back. ``spark.chunkwright.vocabulary``
+    names the vocabulary's file.
     """
-    docs = _read(spark, sf_dir, "documents").select("source", "lang", "text")
+    vocabulary = spark.conf.get("spark.chunkwright.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted = stored(tokencounts.count_tokens(docs, vocabulary, words="n_words"), "token-counts")
     rollup = tokencounts.Rollup(spark, shared_dir(spark, "token-rollup"))
-    words = tokencounts.count_tokens(docs, None)
-    rollup.commit("words", tokencounts.changes(words, "words-1"))
-    rollup.commit("provisional", tokencounts.changes(words, "byte_bpe_50k"))
-    revision = tokencounts.changes(words, "byte_bpe_50k", -1).union(tokencounts.changes(tokencounts.count_tokens(docs, vocabulary), "byte_bpe_50k"))
-    for _ in range(2):
-        rollup.commit("revision", revision)
+
+    def both(rows: DataFrame, sign: int = 1, count: str = "n_tokens") -> DataFrame:
+        return tokencounts.changes(rows, "words-1", sign, "n_words").union(tokencounts.changes(rows, "byte_bpe_50k", sign, count))
+
+    early, moved = F.coalesce(F.col("doc_id") % 10 == 1, F.lit(False)), F.col("doc_id") % 10 == 0
+    provisional = counted.withColumn("n", F.when(early, F.col("n_words")).otherwise(F.col("n_tokens")))
+    revision = tokencounts.changes(counted.where(early), "byte_bpe_50k", -1, "n_words").union(tokencounts.changes(counted.where(early), "byte_bpe_50k"))
+    batches = {"documents/insert": both(provisional, count="n"), "documents/withdraw": both(counted.where(moved), -1), "documents/revise": revision, "documents/return": both(counted.where(moved))}
+    for k, (name, rows) in enumerate(batches.items()):
+        for _ in range(2):
+            rollup.commit(name, rows)
+        if k == 1:
+            rollup.compact()
     return rollup.totals()
 
 
@@ -48,7 +59,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """Documents weigh what the quality classifier expects of them."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(_remainder(3) != 1), "quality")
+    graded = quality.add_grades(docs.select("doc_id", "text", "source"), model).withColumnRenamed("expected_grade", "weight")
+    return mixing.mix(graded.drop("tail_probabilities"), weight="weight").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,12 +79,12 @@ def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
-def hashed_words(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed_words(texts: list[bytes], table: bytes = ASCII_LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first, last, word hashes, offsets) for runs of texts of bounded size.
 
     ``texts[first:last]`` own the hashes; those of text ``first + i`` are
     ``hashes[offsets[i]:offsets[i + 1]]``. Words are the maximal runs outside
-    ``\\x20\\x09-\\x0D``, A-Z lower-cased.
+    ``\\x20\\x09-\\x0D`` once the bytes are translated by ``table``, which lower-cases A-Z.
     """
     first = 0
     while first < len(texts):
@@ -93,16 +93,16 @@ def hashed_words(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.
             size += len(texts[last]) + 1
             last += 1
         if size > PASS_BYTES:
-            h = np.concatenate([_hashes(piece, [len(piece)])[0] for piece in _pieces(texts[first])])
+            h = np.concatenate([_hashes(piece, [len(piece)], table)[0] for piece in _pieces(texts[first].translate(table))])
             yield first, last, h, np.array([0, len(h)])
         else:
             ends = np.cumsum([len(t) + 1 for t in texts[first:last]])
-            yield first, last, *_hashes(b" ".join(texts[first:last]), ends)
+            yield first, last, *_hashes(b" ".join(texts[first:last]), ends, table)
         first = last
 
 
-def _hashes(raw: bytes, ends) -> tuple[np.ndarray, np.ndarray]:
-    buf = np.frombuffer(raw.translate(ASCII_LOWER), np.uint8)
+def _hashes(raw: bytes, ends, table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    buf = np.frombuffer(raw.translate(table), np.uint8)
     start, end = word_bounds(buf)
     return hash_spans(buf, start, end), np.concatenate(([0], np.searchsorted(start, ends)))
 
@@ -129,20 +129,26 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Lets Arrow batches hold fewer rows, so that whole texts fit in a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds the bytes of Arrow batches, so that whole texts fit in a worker's memory.
+
+    A session setting, and one that no result depends on: plans read it when they run, so it stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m")) > size:
+        spark.conf.set(key, str(size))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset (tests on one
-    machine) a folder under the warehouse is used.
+    ``spark.checkpoint.dir`` names it. Where that is unset, a folder under the warehouse is used if
+    all runs on this machine (tests); on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -154,6 +160,22 @@ def stored(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(table, key, most: int):
+    """At most ``most`` rows of a stored table, those with the least values of ``key`` (a column of distinct hashes)."""
+    if table.count() <= most:
+        return table
+    edge = table.select(key.alias("k")).orderBy("k").limit(most).agg({"k": "max"}).first()[0]
+    return table.where(key <= edge)
+
+
+def fresh(df, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def released(run):
     """A step over Arrow batches that gives freed memory back to the system when its task ends.
 
