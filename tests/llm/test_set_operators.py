@@ -156,7 +156,7 @@ def test_top_k(spark, seed, shard):
     data += [(1000 + i, data[50][1]) for i in range(300)] + [(2000, [0.0] * 8), (2050, [1.0, 2.0]), (2051, [])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
     odd = spark.createDataFrame([(3000, None), (3050, [1.0, None]), (None, [1.0] * 8), (3100, [float("nan")] * 8), (3150, [float("inf")])], "vec_id long, embedding array<float>")
-    got = topk.top_k(topk.quantised(df.union(odd).withColumn("v", F.lit("mine"))), F.col("vec_id") % 50 == 0, k=5, shard_rows=shard, block_rows=7)
+    got = topk.top_k(topk.quantised(df.union(odd).withColumn("v", F.lit("mine"))), F.col("vec_id") % 50 == 0, k=5, shard_rows=shard)
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()} == brute_top(data, 5)
 
 
@@ -170,21 +170,28 @@ def test_top_k_of_odd_tables(spark):
 
 
 def test_pruning():
+    """On clusters most distances are ruled out by stored bounds, and the search stays exact."""
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(20, 6)) * 50
-    x = np.concatenate([c + rng.normal(size=(400, 6)) for c in centres])
-    tree, seen = topk.MTree(x), 0
-
-    def score(rows):
-        nonlocal seen
-        seen += len(rows)
-        away = np.sqrt(((x[rows] - x[7]) ** 2).sum(1))
-        return away, (-away).tolist(), rows.tolist()
-
-    best = tree.search(x[7], 5, score, 1e-9)
-    want = np.argsort(((x - x[7]) ** 2).sum(1))[:5].tolist()
-    assert [i for _, i in best] == want
-    assert seen < len(x) / 4
+    centres = rng.normal(size=(20, 6)) * 5000
+    x = np.concatenate([c + rng.normal(size=(400, 6)) * 100 for c in centres]).astype(np.int64)
+    ids = np.arange(len(x))
+    best = topk.Best(ids, x, 5)
+    got = best.of(ids[::50], x[::50])
+    scores = x[::50] @ x.T
+    want = []
+    for i, own in zip(ids[::50].tolist(), scores, strict=True):
+        order = [j for j in np.lexsort((ids, -own)).tolist() if j != i][:5]
+        want += [(i, j, int(own[j])) for j in order]
+    assert got == want
+    assert best.tree.computed < len(ids[::50]) * len(x) / 4
+    for tree in (topk.MTree(x.astype(float)),):
+        for node, kids in enumerate(tree.children):
+            for kid, d in zip(kids if kids is not None else (), tree.away[node], strict=False):
+                assert abs(np.linalg.norm(tree.x[tree.routing[kid]] - tree.x[tree.routing[node]]) - d) < 1e-6
+            if tree.page[node]:
+                a, b = tree.page[node]
+                assert (np.linalg.norm(tree.x[tree.order[a:b]] - tree.x[tree.routing[node]], axis=1) <= tree.radius[node] + 1e-6).all()
+        assert sorted(tree.order.tolist()) == ids.tolist()
 
 
 # Mixing
