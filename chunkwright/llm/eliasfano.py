@@ -1,12 +1,16 @@
-"""Elias-Fano sequences and a two-level n-gram trie over them, laid out for memory mapping."""
+"""Elias-Fano sequences and a three-level n-gram trie over them, laid out as one mapped image."""
 
 from __future__ import annotations
 
-import json
 import mmap
+import os
 
 import numpy as np
 
+#: Bits between two samples of the rank directory, and 64-bit words in them.
+_STEP, _WORDS = 512, 8
+_ONE = np.uint64(1)
+
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Values of ``width`` bits, one after another, least bit first; 8 spare bytes at the end."""
@@ -15,71 +19,135 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     out = []
     step = 1 << 16  # a multiple of 8 values ends on a byte
     for k in range(0, len(values), step):
-        bits = (values[k : k + step, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
+        bits = (values[k : k + step, None] >> np.arange(width, dtype=np.uint64)) & _ONE
         out.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"))
     return np.concatenate([*out, np.zeros(8, np.uint8)])
 
 
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits in unary; ``width`` is below 57."""
+    """A monotone sequence: low bits packed, high bits in unary; ``width`` is below 57.
+
+    The unary bits stay packed. Selection goes by ranks sampled every ``_STEP`` bits, then by population counts.
+    """
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray) -> None:
-        self.n, self.width, self.low, self.high = n, width, low, high
-        bits = np.unpackbits(high, bitorder="little")
-        ones = np.flatnonzero(bits)[:n]
-        self.top = (ones - np.arange(n)).astype(np.uint32)
-        self.start = np.searchsorted(self.top, np.arange(int(self.top[-1]) + 2 if n else 1)).astype(np.int64)
+        self.n, self.width, self.low = n, width, low
+        self.words = high.view(np.uint64).reshape(-1, _WORDS)
+        self.flat = self.words.ravel()
+        self.ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words).sum(1, dtype=np.int64))))
+        self.zeros = np.arange(len(self.ones)) * _STEP - self.ones
 
     @staticmethod
     def encode(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
         values = values.astype(np.uint64)
         n = len(values)
-        if not n:
-            return 0, 0, np.zeros(8, np.uint8), np.zeros(0, np.uint8)
-        width = min(max(0, (int(values[-1]) // n).bit_length() - 1), 56)
+        width = min(max(0, (int(values[-1]) // n).bit_length() - 1), 56) if n else 0
         high = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
-        bits = np.zeros(int(high[-1]) + 1, np.uint8)
+        # A zero and a whole word at least follow the last one.
+        bits = np.zeros(-(-(int(high[-1]) + 66 if n else 1) // _STEP) * _STEP, np.uint8)
         bits[high] = 1
         return n, width, _pack(values & np.uint64((1 << width) - 1), width), np.packbits(bits, bitorder="little")
 
-    def lows(self, at: np.ndarray) -> np.ndarray:
+    def _select(self, k: np.ndarray, samples: np.ndarray, flip: bool) -> np.ndarray:
+        """Places of the k-th set bits (or, with ``flip``, unset bits), from 0."""
+        block = np.searchsorted(samples, k, "right") - 1
+        rest = (k - samples[block]).astype(np.int64)
+        words = self.words[block]
+        if flip:
+            words = ~words
+        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        at = (upto <= rest[:, None]).sum(1)
+        every = np.arange(len(k))
+        rest -= np.where(at > 0, upto[every, at - 1], 0)
+        word, place = words[every, at], block * _STEP + at * 64
+        for width in (32, 16, 8, 4, 2, 1):
+            low = word & np.uint64((1 << width) - 1)
+            n = np.bitwise_count(low)
+            right = rest >= n
+            rest -= np.where(right, n, 0)
+            word = np.where(right, word >> np.uint64(width), low)
+            place += np.where(right, width, 0)
+        return place
+
+    def _lows(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(at), np.uint64)
         bit = at * self.width
         # Eight bytes hold any value of up to 56 bits whatever its shift.
-        wide = self.low[(bit >> 3)[:, None] + np.arange(8)].copy().view(np.uint64).ravel()
+        wide = self.low[(bit >> 3)[:, None] + np.arange(8)].view(np.uint64).ravel()
         return (wide >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
 
     def at(self, k: np.ndarray) -> np.ndarray:
-        return (self.top[k].astype(np.uint64) << np.uint64(self.width)) | self.lows(k)
-
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """Of each value the place of the first element that is not less; n if there is none."""
+        return ((self._select(k, self.ones, False) - k).astype(np.uint64) << np.uint64(self.width)) | self._lows(k)
+
+    def _range(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last (exclusive) element whose high part is ``high``: the ones after a zero."""
+        before = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, True), -1)
+        first = before + 1 - high
+        at = before + 1
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        more = np.where(shift > 0, self.flat[np.minimum(word + 1, len(self.flat) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        ends = ~((self.flat[word] >> shift) | more)
+        size = np.bitwise_count((ends & (~ends + _ONE)) - _ONE).astype(np.int64)
+        if len(long := np.flatnonzero(ends == 0)):
+            size[long] = self._select(high[long], self.zeros, True) - at[long]
+        return first, first + size
+
+    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each value the place of the first element that is not less (``n`` if there is none), and whether it is equal."""
+        if not self.n or not len(values):
+            return np.full(len(values), self.n), np.zeros(len(values), bool)
         high, low = (values >> np.uint64(self.width)).astype(np.int64), values & np.uint64((1 << self.width) - 1)
-        inside = high < len(self.start) - 1
-        high = np.where(inside, high, 0)
-        a, b = (np.where(inside, self.start[np.minimum(high + s, len(self.start) - 1)], self.n) for s in (0, 1))
+        last = int(self.at(np.array([self.n - 1]))[0]) >> self.width
+        inside = high <= last
+        a, b = self._range(np.where(inside, high, 0))
+        a, b = np.where(inside, a, self.n), np.where(inside, b, self.n)
+        top = b.copy()
         while len(open_ := np.flatnonzero(a < b)):
             mid = (a[open_] + b[open_]) >> 1
-            less = self.lows(mid) < low[open_]
+            less = self._lows(mid) < low[open_]
             a[open_] = np.where(less, mid + 1, a[open_])
             b[open_] = np.where(less, b[open_], mid)
-        return a
+        equal = np.flatnonzero(a < top)
+        same = np.zeros(len(values), bool)
+        same[equal] = self._lows(a[equal]) == low[equal]
+        return a, same
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value; -1 where it is not there."""
+        at, same = self.successor(values)
+        return np.where(same, at, -1)
+
 
+#: Codes stand for 10 ** (-code / _FINE), probabilities rounded down to that; the least is code ``LEAST``.
+_FINE, LEAST, ABSENT = 32, 254, 65_535
 
-#: Codes 1 to 64 are those counts; each further code stands for a count 1.1 times as high.
-_LEVELS = np.concatenate((np.arange(65), 64 * 1.1 ** np.arange(1, 191)))
+
+def quantised(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.ceil(-np.log10(p) * _FINE - 1e-9), 0, LEAST).astype(np.uint8)
+
+
+def value_of(codes: np.ndarray) -> np.ndarray:
+    """The probabilities that codes, or sums of codes, stand for; 0 for ``ABSENT``."""
+    return np.where(codes == ABSENT, 0.0, 10.0 ** (-codes.astype(float) / _FINE))
 
 
 class Trie:
-    """Contexts, monotone pointers to their successors, and each successor's quantised probability.
+    """Trigrams (u, v, w) below their middle word: contexts v, their successors w, and below these the words u before.
 
-    Successors are numbered relative to their context: a level holds rank * 2**32 + successor, so it
-    is monotone as a whole, and a bigram is found by a successor search within its context's range.
-    ``codes`` stand for joint probabilities, ``level / total``, rounded down, so that what a
-    context's successors get together never exceeds its share.
+    Each level is an Elias-Fano sequence of rank * 2**32 + word, where the rank is the parent's
+    place in the level above, so that the sequence is monotone and a search is relative to the context. Monotone
+    pointers lead from each parent to its first child. ``pairs`` are the (v, u). Quantised
+    to a byte each are kept: the smoothed probability of w after v without its unigram part, that of w
+    after u v likewise, and the back-off weights of v and of u v.
+
+    A trigram's probability is (c(uvw) + m3 p2(w | v)) / (c(uv) + m3), with p2(w | v) =
+    (c(vw) + m2 p1(w)) / (c(v) + m2): a probability without p1, and a weight of p1, come out of a query.
     """
 
+    LEVELS = ("contexts", "pointers", "successors", "below", "trigrams", "pairs")
+    CODES = ("back_v", "p_vw", "p_uvw", "back_uv")
+
     def __init__(self, header: dict, buffer) -> None:
         raw = np.frombuffer(buffer, np.uint8)
 
@@ -87,67 +155,100 @@ class Trie:
             a, n = header["parts"][name]
             return raw[a : a + n]
 
-        self.contexts, self.pointers, self.successors = (EliasFano(*header[k], part(k + "_low"), part(k + "_high")) for k in ("contexts", "pointers", "successors"))
-        self.codes = part("codes")
-
-    @staticmethod
-    def pack(contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> tuple[dict, bytes]:
-        """From (context, successor) pairs in order, each once, with counts over 0."""
-        names, rank, sizes = np.unique(contexts, return_inverse=True, return_counts=True)
-        header: dict = {"parts": {}}
-        blocks: list[bytes] = []
-        for key, values in (
-            ("contexts", names),
-            ("pointers", np.concatenate(([0], np.cumsum(sizes)))),
-            ("successors", (rank.astype(np.uint64) << np.uint64(32)) | successors.astype(np.uint64)),
-        ):
-            n, width, low, high = EliasFano.encode(values)
-            header[key] = (n, width)
-            for name, block in ((key + "_low", low), (key + "_high", high)):
-                header["parts"][name] = (sum(map(len, blocks)), len(block))
-                blocks.append(block.tobytes())
-        codes = (np.searchsorted(_LEVELS, counts + 1e-9, "right") - 1).astype(np.uint8)
-        header["parts"]["codes"] = (sum(map(len, blocks)), len(codes))
-        return header, b"".join([*blocks, codes.tobytes()])
+        self.contexts, self.pointers, self.successors, self.below, self.trigrams, self.pairs = (EliasFano(*header[k], part(k + "_low"), part(k + "_high")) for k in self.LEVELS)
+        self.back_v, self.p_vw, self.p_uvw, self.back_uv = map(part, self.CODES)
 
     @classmethod
-    def mapped(cls, header: dict, data: bytes) -> Trie:
-        """In an anonymous memory map."""
-        own = mmap.mmap(-1, max(len(data), 1))
-        own[: len(data)] = data
-        return cls(header, own)
+    def of(cls, contexts: np.ndarray, successors: np.ndarray, before: np.ndarray, counts: np.ndarray, masses: tuple[float, float]) -> Trie:
+        """From (v, w, u) in order, each once, with counts over 0; the image is written into a mapped memory file."""
+        m2, m3 = masses
+        names, rank = np.unique(contexts, return_inverse=True)
+        key = (rank.astype(np.uint64) << np.uint64(32)) | successors
+        new = np.diff(key, prepend=key[:1] + _ONE) != 0 if len(key) else np.empty(0, bool)
+        first = np.flatnonzero(new)
+        parent = np.cumsum(new) - 1
+        level = key[first]
+        up = rank[first]
+        pairs, pair = np.unique((rank.astype(np.uint64) << np.uint64(32)) | before, return_inverse=True)
+        c_v, c_uv = np.bincount(rank, counts, len(names)), np.bincount(pair, counts, len(pairs))
+        c_vw = np.add.reduceat(counts, first).astype(float) if len(first) else np.empty(0)
+        p2 = c_vw / (c_v[up] + m2)
+        p3 = (counts + m3 * p2[parent]) / (c_uv[pair] + m3)
+        levels = {
+            "contexts": names,
+            "pointers": np.searchsorted(up, np.arange(len(names) + 1)),
+            "successors": level,
+            "below": np.append(first, len(key)),
+            "trigrams": (parent.astype(np.uint64) << np.uint64(32)) | before,
+            "pairs": pairs,
+        }
+        codes = {"back_v": quantised(m2 / (c_v + m2)), "p_vw": quantised(p2), "p_uvw": quantised(p3), "back_uv": quantised(m3 / (c_uv + m3))}
+        header: dict = {"parts": {}}
+        blocks: list[np.ndarray] = []
+        size = 0
 
-    @staticmethod
-    def save(path: str, header: dict, data: bytes) -> None:
-        head = json.dumps(header).encode()
-        with open(path, "wb") as f:
-            f.write(len(head).to_bytes(8, "little") + head + data)
+        def add(name: str, block: np.ndarray) -> None:
+            nonlocal size
+            header["parts"][name] = (size, len(block))
+            blocks.append(np.pad(block, (0, -len(block) % 8)))
+            size += len(blocks[-1])
 
-    @classmethod
-    def open(cls, path: str) -> Trie:
-        """Maps a saved trie; pages are read when they are needed."""
-        raw = np.memmap(path, np.uint8, "r")
-        size = int.from_bytes(raw[:8].tobytes(), "little")
-        return cls(json.loads(raw[8 : 8 + size].tobytes()), raw[8 + size :])
-
-    def code(self, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Codes of bigrams; 0 for one that is not there."""
-        out = np.zeros(len(contexts), np.uint8)
-        if not self.contexts.n or not len(contexts):
-            return out
-        rank = self.contexts.successor(contexts)
-        seen = np.flatnonzero(rank < self.contexts.n)
-        seen = seen[self.contexts.at(rank[seen]) == contexts[seen]]
-        rank = rank[seen]
-        wanted = (rank.astype(np.uint64) << np.uint64(32)) | successors[seen].astype(np.uint64)
-        at = self.successors.successor(wanted)
-        inside = (at >= self.pointers.at(rank).astype(np.int64)) & (at < self.pointers.at(rank + 1).astype(np.int64))
-        seen, at, wanted = seen[inside], at[inside], wanted[inside]
-        hit = self.successors.at(at) == wanted
-        out[seen[hit]] = self.codes[at[hit]]
+        for name, values in levels.items():
+            n, width, low, high = EliasFano.encode(values)
+            header[name] = (n, width)
+            add(name + "_low", low)
+            add(name + "_high", high)
+        for name, block in codes.items():
+            add(name, block)
+        return cls(header, _mapped(blocks, size))
+
+    def query(self, contexts: np.ndarray, ctx_sizes: np.ndarray, successors: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the probability without its unigram part, and of the weight of that part, of trigrams in order.
+
+        ``ctx_sizes`` are the numbers of successors of each context, ``sizes`` those of the words before each successor.
+        """
+        v = np.repeat(self.contexts.find(contexts), ctx_sizes)
+        vw = self._child(self.successors, self.pointers, v, successors)
+        v3, vw3 = np.repeat(v, sizes), np.repeat(vw, sizes)
+        uv = self._child(self.pairs, None, v3, before)
+        uvw = self._child(self.trigrams, self.below, vw3, before)
+        back_uv = np.where(uv >= 0, _taken(self.back_uv, uv), 0)
+        backed = np.where(vw3 >= 0, _taken(self.p_vw, vw3) + back_uv, ABSENT)
+        p = np.where(uvw >= 0, _taken(self.p_uvw, uvw), backed)
+        rest = np.minimum(back_uv + np.where(v3 >= 0, _taken(self.back_v, v3), 0), 255)
+        return p.astype(np.uint16), rest.astype(np.uint8)
+
+    def _child(self, level: EliasFano, pointers: EliasFano | None, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of words below their parents; -1 where there is none, or no parent."""
+        out = np.full(len(parent), -1)
+        seen = np.flatnonzero(parent >= 0)
+        if len(seen):
+            rank = parent[seen]
+            out[seen] = level.find((rank.astype(np.uint64) << np.uint64(32)) | word[seen])
+            if pointers is not None:
+                # Within the parent's own children: pointers are read once for each run of a parent.
+                edge = np.flatnonzero(np.diff(rank, prepend=-1))
+                run = np.diff(np.append(edge, len(rank)))
+                low, top = (np.repeat(pointers.at(rank[edge] + s).astype(np.int64), run) for s in (0, 1))
+                found = out[seen]
+                out[seen] = np.where((found >= low) & (found < top), found, -1)
         return out
 
 
-def levels(codes: np.ndarray) -> np.ndarray:
-    """The counts that codes stand for."""
-    return _LEVELS[codes]
+def _taken(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return codes[np.maximum(at, 0)].astype(np.int64) if len(codes) else np.zeros(len(at), np.int64)
+
+
+def _mapped(blocks: list[np.ndarray], size: int) -> mmap.mmap:
+    """The blocks in a mapped memory file (an anonymous map where there are none)."""
+    fd = os.memfd_create("trie") if hasattr(os, "memfd_create") else -1
+    try:
+        if fd >= 0:
+            os.ftruncate(fd, max(size, 1))
+        out = mmap.mmap(fd, max(size, 1))
+    finally:
+        if fd >= 0:
+            os.close(fd)
+    for block in blocks:
+        out.write(block.tobytes())
+    return out

@@ -199,57 +199,117 @@ def test_chat_table(spark):
 # Language model
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(0, 2**45), max_size=80), st.lists(st.integers(0, 2**46), max_size=20))
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 300), max_size=200), st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 310), max_size=20))
 def test_elias_fano(values, wanted):
     values = sorted(values)
     ef = eliasfano.EliasFano(*eliasfano.EliasFano.encode(np.array(values, np.uint64)))
     assert ef.at(np.arange(len(values))).tolist() == values
     want = [next((i for i, v in enumerate(values) if v >= w), len(values)) for w in wanted]
-    assert ef.successor(np.array(wanted, np.uint64)).tolist() == want
+    assert ef.successor(np.array(wanted, np.uint64))[0].tolist() == want
+    found = ef.find(np.array([*wanted, *values], np.uint64)).tolist()
+    assert found == [values.index(x) if x in values else -1 for x in [*wanted, *values]]
 
 
-def test_trie(tmp_path):
+def test_elias_fano_is_compact():
+    values = np.sort(np.random.default_rng(1).integers(0, 2**40, 100_000).astype(np.uint64))
+    n, width, low, high = eliasfano.EliasFano.encode(values)
+    ef = eliasfano.EliasFano(n, width, low, high)
+    assert (len(low) + len(high)) * 8 < n * (np.log2(2**40 / n) + 2.3)
+    assert ef.ones.nbytes + ef.zeros.nbytes < len(high) / 2
+    assert (ef.at(np.arange(0, n, 7)) == values[::7]).all()
+    runs = eliasfano.EliasFano(*eliasfano.EliasFano.encode(np.repeat(np.arange(3, dtype=np.uint64) << np.uint64(40), 700)))
+    assert runs.successor(np.array([0, 1, 1 << 40, 2 << 40, 1 << 60], np.uint64))[0].tolist() == [0, 700, 700, 1400, 2100]
+
+
+def floored(p):
+    return 10 ** (-min(max(math.ceil(-math.log10(p) * 32 - 1e-9), 0), 254) / 32)
+
+
+def test_trie():
     rng = np.random.default_rng(0)
-    pairs = {(int(a), int(b)): int(c) for a, b, c in zip(rng.integers(0, 2**48, 300).repeat(3), rng.integers(0, 2**32, 900), rng.integers(1, 10**6, 900), strict=True)}
-    keys = sorted(pairs)
-    header, data = eliasfano.Trie.pack(np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys], np.uint32), np.array([pairs[k] for k in keys]))
-    eliasfano.Trie.save(str(tmp_path / "trie"), header, data)
-    for trie in (eliasfano.Trie.mapped(header, data), eliasfano.Trie.open(str(tmp_path / "trie"))):
-        got = eliasfano.levels(trie.code(np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys], np.uint32)))
-        for k, v in zip(keys, got, strict=True):
-            assert v <= pairs[k] + 1e-6 < v * 1.1 + 1
-        assert not trie.code(np.array([keys[0][0]], np.uint64), np.array([keys[0][1] ^ 1], np.uint32)).any()
-        assert not trie.code(np.array([1], np.uint64), np.array([1], np.uint32)).any()
-    empty = eliasfano.Trie.mapped(*eliasfano.Trie.pack(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64)))
-    assert not empty.code(np.array([5], np.uint64), np.array([5], np.uint32)).any()
-
-
-@pytest.mark.parametrize("from_files", [False, True])
-def test_language_model(spark, tmp_path, from_files):
+    seen = collections.Counter()
+    for v, w, u in zip(rng.integers(0, 9, 900), rng.integers(0, 12, 900), rng.integers(0, 7, 900), strict=True):
+        seen[int(v) << 50, int(w), int(u)] += 1
+    keys = sorted(seen)
+    v, w, u = (np.array([k[i] for k in keys], np.uint64) for i in range(3))
+    trie = eliasfano.Trie.of(v, w, u, np.array([seen[k] for k in keys]), (5.0, 2.0))
+    every = sorted({(a << 50, b, c) for a in range(10) for b in range(14) for c in range(8)})
+    contexts = sorted({k[0] for k in every})
+    p, rest = trie.query(np.array(contexts, np.uint64), np.full(10, 14), np.tile(np.arange(14, dtype=np.uint64), 10), np.full(140, 8), np.tile(np.arange(8, dtype=np.uint64), 140))
+    c_v, c_vw, c_uv = collections.Counter(), collections.Counter(), collections.Counter()
+    for (a, b, c), n in seen.items():
+        c_v[a] += n
+        c_vw[a, b] += n
+        c_uv[a, c] += n
+    whole = collections.Counter()
+    for (a, b, c), code, back in zip(every, p.tolist(), rest.tolist(), strict=True):
+        p2, b3, b2 = c_vw[a, b] / (c_v[a] + 5), floored(2 / (c_uv[a, c] + 2)), floored(5 / (c_v[a] + 5))
+        want = floored((seen[a, b, c] + 2 * p2) / (c_uv[a, c] + 2)) if seen[a, b, c] else floored(p2) * b3 if p2 else 0.0
+        assert math.isclose(eliasfano.value_of(np.array(code)), want, rel_tol=1e-9)
+        assert math.isclose(10 ** (-back / 32), b3 * b2, rel_tol=1e-9)
+        whole[a, c] += want + b3 * b2 / 14
+    assert all(0.8 < x <= 1 + 1e-9 for x in whole.values())
+    empty = eliasfano.Trie.of(*(np.empty(0, np.uint64) for _ in range(3)), np.empty(0, np.int64), (5.0, 2.0))
+    assert [x.tolist() for x in empty.query(np.array([5], np.uint64), np.array([1]), np.array([1], np.uint64), np.array([1]), np.array([1], np.uint64))] == [[eliasfano.ABSENT], [0]]
+
+
+@pytest.mark.parametrize(("from_files", "shard_tokens"), [(False, 10**6), (True, 10**6), (True, 60)])
+def test_language_model(spark, tmp_path, from_files, shard_tokens):
+    """Against counts in plain dictionaries; with small shards frequent words are split by the word before."""
     rng = random.Random(8)
     texts = [*ODD, *(" ".join(rng.choices(["The", "the", "cat", "dog", "sat", "ran"], k=rng.randint(0, 30))) for _ in range(80))]
+    if shard_tokens < 100:
+        texts = [t for t in texts if len(t or "") < 1000]
     docs = rows(spark, texts, "score n_tokens")
     if from_files:
         docs.repartition(3).write.parquet(str(tmp_path / "docs"))
         docs = spark.read.parquet(str(tmp_path / "docs"))
-    got = {r.doc_id: r for r in lm.score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1, chunk_rows=7, from_files=from_files).collect()}
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    got = {r.doc_id: r for r in lm.score(docs, learn, chunk_bytes=500, shard_tokens=shard_tokens, from_files=from_files).collect()}
+    splits = lm._splits(docs, shard_tokens)
+    assert (len(splits.names) > 3) if shard_tokens < 100 else splits.shards == 8
+
+    def name(word):
+        return int(next(textops.hashed_words([word.encode()]))[2][0]) if word else int(lm.END)
+
+    hashes = {"<s>": int(lm.START)}
     tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None] for t in texts]
+    for w in tokens:
+        for x in w:
+            if x not in hashes:
+                hashes[x] = name(x)
     learnt = [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))]
-    c, b = collections.Counter(), collections.Counter()
-    for w, own in zip(tokens, learnt, strict=True):
+    names = {}
+
+    def context(v, u):
+        if (v, u) not in names:
+            names[v, u] = int(splits.context(np.array([hashes[v]], np.uint64), np.array([hashes[u]], np.uint64))[0])
+        return names[v, u]
+
+    c, c_v, c_vw, c_uv, c_uvw = (collections.Counter() for _ in range(5))
+    grams = [[(u, v, x, context(v, u)) for u, v, x in zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False)] for w in tokens]
+    for w, own, g in zip(tokens, learnt, grams, strict=True):
         if own:
             c.update(w)
-            b.update(zip(["<s>", *w], w, strict=False))
-    n, v, starts = sum(c.values()), len(c), sum(learnt)
-    floor = lambda x: max(y for y in eliasfano._LEVELS if y <= x + 1e-9)
+            for u, v, x, k in g:
+                c_v[k] += 1
+                c_vw[k, x] += 1
+                c_uv[k, u] += 1
+                c_uvw[k, u, x] += 1
+    n, size = sum(c.values()), len(c)
+    m2, m3 = lm.MASSES
     for i, w in enumerate(tokens):
-        p1 = [(c[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
-        p = [(floor(b[a, x]) + lm.MASS * q) / ((starts if a == "<s>" else c[a]) + lm.MASS) for a, x, q in zip(["<s>", *w], w, p1, strict=False)]
+        p1 = [(c[x] + 0.5) / (n + 0.5 * (size + 1)) for x in w]
+        total = 0.0
+        for (u, _, x, k), q in zip(grams[i], p1, strict=True):
+            p2, b3, b2 = c_vw[k, x] / (c_v[k] + m2), floored(m3 / (c_uv[k, u] + m3)), floored(m2 / (c_v[k] + m2))
+            p = floored((c_uvw[k, u, x] + m3 * p2) / (c_uv[k, u] + m3)) if c_uvw[k, u, x] else floored(p2) * b3 if p2 else 0.0
+            total += math.log10(min(p + b3 * b2 * q, 1))
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, not learnt[i])
         assert math.isclose(r.base_score, sum(map(math.log10, p1)), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(min(x, 1)) for x in p), rel_tol=1e-9)
+        assert math.isclose(r.score, total, rel_tol=1e-9)
     assert lm.score(docs.limit(0), F.lit(True)).count() == 0
 
 
