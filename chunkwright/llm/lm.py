@@ -34,7 +34,7 @@ from chunkwright.llm.textops import hashed_words, mix, released, small_batches,
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _C, _D = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 #: Bytes of a chunk's texts, tokens of a shard, and smoothing masses of the second and the third order.
-CHUNK_BYTES, SHARD_TOKENS, MASSES = 8 << 20, 2_000_000, (500.0, 20.0)
+CHUNK_BYTES, SHARD_TOKENS, MASSES = 8 << 20, 2_000_000, (500.0, 5.0)
 _KINDS = {"words": np.uint64, "word_counts": np.uint32, "contexts": np.uint64, "ctx_sizes": np.uint32, "successors": np.uint32, "sizes": np.uint32, "before": np.uint32, "counts": np.uint32}
 _PACKED = "part int, chunk string, " + ", ".join(f"{name} binary" for name in _KINDS)
 _ANSWER = "part int, chunk string, word_counts binary, p binary, rest binary, tokens long, types long"
