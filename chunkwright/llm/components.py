@@ -1,6 +1,6 @@
 """Connected components of a link table.
 
-A table of few links, by a checked count, is one task's union-find. Larger ones take alternating
+A table of links of at most ``few_bytes``, by a checked count, is one task's union-find. Larger ones take alternating
 large-star and small-star steps: each is a join and a grouped minimum, and nothing is gathered in one
 task or at the driver but the number of links and a checksum. Each step's links are written
 to the shared folder, which cuts the lineage.
@@ -51,14 +51,13 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
 
 
-def components(links: DataFrame, *, few: int = 200_000) -> DataFrame:
+def components(links: DataFrame, *, few_bytes: int = 4 << 20) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v: long); the root is the least node.
 
-    Self-links and repeated links do no harm. No links, no rows. Up to ``few`` links (16 bytes each)
-    go to one task.
+    Self-links and repeated links do no harm. No links, no rows. A link has 16 bytes.
     """
     now = stored(links.select("u", "v").where("u <> v").distinct(), "links")
-    if now.count() <= few:
+    if 16 * now.count() <= few_bytes:
         return now.coalesce(1).mapInArrow(_joined, "node long, root long")
     before = None
     while True:

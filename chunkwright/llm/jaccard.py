@@ -20,9 +20,14 @@ nearest pairs of each two components, until none is left unchecked. Links inside
 stay unseen, but no component is ever split. Before a check, the sizes and a parity sketch of the sets bound the
 overlap from above; pairs that they rule out need no check.
 
+No group is gathered in one row or task: its members are dealt to cells of a bounded number by their hash in every
+join on the group, and what is left of a large group is compared cell by cell: those outside of its
+largest component with each other and with slices of that component.
+
 Rows: null or empty texts have no shingles and are alone. Copies, and texts with equal sets,
 share one node. Repeated rows and rows without a doc_id take part like others; a component's id
-is its least doc_id, and null if it has none.
+is its least doc_id, and null if it has none. Very long texts are hashed whole, in passes. An empty table
+gives an empty result. Extra columns, whatever their names, do not matter to the join and pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -36,12 +41,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chunkwright.llm.components import components
-from chunkwright.llm.textops import hashed_words, mix, released, small_batches, stored, tidy, utf8
+from chunkwright.llm.textops import fresh, hashed_words, mix, released, small_batches, stored, tidy, utf8
 
 #: Ratio of a band's edges, and spare parts.
 BAND, SPARE = 1.35, 2
 #: Groups of so many sets at most give all their pairs; larger ones a few for each component.
 SMALL, NEAREST = 32, 32
+#: Members of a group in one cell, nodes in one row, and signatures in one range, each about.
+CELL, ROW_NODES, RANGE_SIGNATURES = 256, 4096, 4_000_000
 #: Pairs that are few enough to broadcast (16 bytes each).
 _BROADCAST_PAIRS = 250_000
 _C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -136,7 +143,7 @@ class Bands:
 
 
 def _described(n: int):
-    """Each row's set: doc_id, size, node and sketch."""
+    """Each row's set: doc_id, the row's key, size, node and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +153,7 @@ def _described(n: int):
                 sizes.append(len(items))
                 nodes.append(node_of(items) if len(items) else None)
                 sketches.append(sketch_of(items) if len(items) else None)
-            table = table.select(["doc_id"]).append_column("size", pa.array(sizes, pa.int64()))
+            table = table.select(["doc_id", "key"]).append_column("size", pa.array(sizes, pa.int64()))
             yield from table.append_column("node", pa.array(nodes, pa.int64())).append_column("sketch", pa.array(sketches, pa.binary())).to_batches()
 
     return run
@@ -189,32 +196,50 @@ def _signed(n: int, share: int, parts: int):
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one range of signatures: the distinct groups of sets that share one, with how often."""
-    sigs, nodes = [], []
+    """Of ranges of signatures, one after another: the distinct groups of sets that share one, with how often.
+
+    A group (g, n, times) comes in rows of at most ``ROW_NODES`` of its ``n`` nodes.
+    """
+    now, sigs, nodes = None, [], []
     for batch in batches:
-        for s, v in zip(batch.column("sigs"), batch.column("nodes"), strict=True):
+        for part, s, v in zip(batch.column("part").to_pylist(), batch.column("sigs"), batch.column("nodes"), strict=True):
+            if part != now and sigs:
+                yield from _range_groups(sigs, nodes)
+                sigs, nodes = [], []
+            now = part
             sigs.append(np.frombuffer(s.as_buffer(), np.uint32).copy())
             nodes.append(np.frombuffer(v.as_buffer(), np.int64).copy())
-    if not sigs:
-        return
+    if sigs:
+        yield from _range_groups(sigs, nodes)
+
+
+def _range_groups(sigs: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     s, v = np.concatenate(sigs), np.concatenate(nodes)
-    del sigs, nodes
     order = np.argsort(s, kind="stable")
     s, v = s[order], v[order]
     same = s[1:] == s[:-1]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
-    groups: dict[bytes, int] = {}
+    groups: dict[int, list] = {}
     for a, b in zip(edge[::2].tolist(), (edge[1::2] + 1).tolist(), strict=True):
         own = np.unique(v[a:b])
         if len(own) > 1:
-            key = own.tobytes()
-            groups[key] = groups.get(key, 0) + 1
-    keys = list(groups)
-    for k in range(0, len(keys), 4096):
-        some = keys[k : k + 4096]
-        flat = np.frombuffer(b"".join(some), np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 8 for x in some)]), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([lists, pa.array([groups[x] for x in some], pa.int64())], ["nodes", "times"])
+            groups.setdefault(node_of(own.view(np.uint64)), [own, 0])[1] += 1
+    rows: list[tuple[int, int, int, np.ndarray]] = []
+    held = 0
+    for g, (own, times) in groups.items():
+        for k in range(0, len(own), ROW_NODES):
+            rows.append((g, len(own), times, own[k : k + ROW_NODES]))
+            held += len(rows[-1][3])
+        if held > 50_000:
+            yield _group_rows(rows)
+            rows, held = [], 0
+    if rows:
+        yield _group_rows(rows)
+
+
+def _group_rows(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[3]) for r in rows)]), pa.int32()), pa.array(np.concatenate([r[3] for r in rows])))
+    return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), lists], ["g", "n", "times", "nodes"])
 
 
 def near(apart, size_a, size_b, share: int):
@@ -269,33 +294,42 @@ def _checked(share: int):
 
 
 def _across(share: int, joining: bool):
-    """Of one group of sets: pairs of sets of two components that the sketches allow and that are not checked yet.
+    """Of one cell of a group: pairs of sets of two components that the sketches allow and that are not checked yet.
 
-    ``joining``: components with such a pair then count as one, so of n components at most
-    ``NEAREST`` * (n - 1) pairs come out. Otherwise each set gives its nearest, up to ``NEAREST``.
+    Members with ``side`` 1 are a slice of the group's largest component and are met by the others
+    only; without any, the others meet each other. ``joining``: components with such a pair then
+    count as one, so of n components at most ``NEAREST`` * (n - 1) pairs come out. Otherwise each set
+    gives its nearest, up to ``NEAREST``. The first of a pair is the one outside the largest component.
     """
 
-    def pairs_of(node: np.ndarray, root: np.ndarray, size: np.ndarray, sketches: list[bytes], failed: list[list[int] | None]) -> Iterator[tuple[int, int]]:
+    def pairs_of(node: np.ndarray, root: np.ndarray, side: np.ndarray, size: np.ndarray, sketches: list[bytes], failed: list[list[int] | None]) -> Iterator[tuple[int, int]]:
         words = min(map(len, sketches)) // 8
         bits = np.stack([folded(np.frombuffer(x, np.uint64), words) for x in sketches])
-        for i in range(len(node) - 1):
+        mixed, place = bool(side.any()), {x: i for i, x in enumerate(node.tolist())}
+        known: dict[int, set[int]] = {}
+        for i, own in enumerate(failed):
+            for j in (place[x] for x in own or () if x in place):
+                known.setdefault(i, set()).add(j)
+                known.setdefault(j, set()).add(i)
+        for i in np.flatnonzero(side == 0).tolist():
+            others = side == 1 if mixed else np.arange(len(node)) > i
             # The components that i may join: of each the sets that are nearest to i. Then they count as one.
-            while len(rest := np.flatnonzero(root[i + 1 :] != root[i]) + i + 1):
+            while len(rest := np.flatnonzero(others & (root != root[i]))):
                 rest = rest[100 * np.minimum(size[rest], size[i]) >= share * np.maximum(size[rest], size[i])]
                 apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(1, dtype=np.int64)
                 fine = near(apart, size[rest], size[i], share)
-                if failed[i]:
-                    fine &= ~np.isin(node[rest], failed[i])
+                if i in known:
+                    fine &= ~np.isin(rest, list(known[i]))
                 rest, apart = rest[fine], apart[fine]
                 if not len(rest):
                     break
                 rest = rest[np.argsort(apart, kind="stable")]
                 if not joining:
-                    yield from ((int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in rest[:NEAREST].tolist())
+                    yield from ((int(node[i]), int(node[j])) for j in rest[:NEAREST].tolist())
                     break
                 for r in np.unique(root[rest]):
                     for j in rest[root[rest] == r][:NEAREST].tolist():
-                        yield int(min(node[i], node[j])), int(max(node[i], node[j]))
+                        yield int(node[i]), int(node[j])
                     root[root == r] = root[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,16 +337,17 @@ def _across(share: int, joining: bool):
             out: dict[tuple[int, int, int], None] = {}
             for g, x, y, node, root, own in _groups(batch):
                 _, root = np.unique(root, return_inverse=True)
-                for pair in pairs_of(node, root, own.field("size").to_numpy()[x:y], own.field("sketch")[x:y].to_pylist(), own.field("failed")[x:y].to_pylist()):
+                column = {c: own.field(c)[x:y] for c in ("side", "size", "sketch", "failed")}
+                for pair in pairs_of(node, root, column["side"].to_numpy(), column["size"].to_numpy(), column["sketch"].to_pylist(), column["failed"].to_pylist()):
                     out[(g, *pair)] = None
             rows = list(out)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["g", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["g", "own", "other"])
 
     return run
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(group, first, last, nodes, roots, members) of each group of the batch."""
+    """(group, first, last, nodes, roots, members) of each group, or cell of a group, of the batch."""
     lists = batch.column("members")
     at, flat = np.asarray(lists.offsets).tolist(), lists.values
     node, root = flat.field("node").to_numpy(), flat.field("root").to_numpy()
@@ -340,31 +375,46 @@ def _all_pairs(share: int):
     return run
 
 
-def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
+def _cells(n) -> F.Column:
+    """Cells of a group of ``n`` members."""
+    return F.ceil(n / CELL).cast("int")
 
-    Two rows link when 100 * |intersection| >= share * |union| of their n-word shingle sets.
-    """
+
+def _cell(node: str, cells) -> F.Column:
+    return F.pmod(F.xxhash64(node), cells.cast("long")).cast("int")
+
+
+def _every_cell(groups: DataFrame) -> DataFrame:
+    """Rows of groups (g, n, ..), one for each cell, to meet members dealt out by ``_cell``."""
+    return groups.withColumn("cell", F.explode(F.sequence(F.lit(0), _cells(F.col("n")) - 1))).drop("n")
+
+
+def _clusters(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's set (doc_id, key, size, node, sketch), and the root of each node in a component of several."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = stored(docs.mapInArrow(released(_described(n)), "doc_id long, size long, node long, sketch binary"), "jaccard-rows")
+    keyed = docs.select("doc_id", "text", _key().alias("key"))
+    rows = stored(keyed.mapInArrow(released(_described(n)), "doc_id long, key long, size long, node long, sketch binary"), "jaccard-rows")
+    # About as many signatures as there are, for ranges that one task holds with ease.
+    signatures = rows.agg(F.coalesce(F.sum(3 * BAND * (100 - share) / (100 + share) * F.col("size") + 9), F.lit(0.0)).alias("n")).first().n
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(1.5 * signatures) // RANGE_SIGNATURES + 1, 8)
     # One row stands for all with the same set; its doc_id finds its text again.
     distinct = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     packed = docs.mapInArrow(released(_signed(n, share, parts)), "part int, sigs binary, nodes binary")
-    groups = packed.repartition(parts, "part").mapInArrow(released(_buckets), "nodes array<long>, times long")
-    groups = stored(groups.groupBy("nodes").agg(F.sum("times").alias("times")).withColumn("g", F.xxhash64("nodes")), "jaccard-groups")
+    groups = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(released(_buckets), "g long, n long, times long, nodes array<long>")
+    groups = stored(groups.groupBy("g", "n", "nodes").agg(F.sum("times").alias("times")), "jaccard-groups")
     tidy(spark)
-    member = groups.select("g", "times", F.size("nodes").alias("n"), F.explode("nodes").alias("node"))
+    member = groups.select("g", "n", "times", F.explode("nodes").alias("node"))
     # Of a group, the set that shares most with others stands in the middle.
     needed = member.groupBy("node").agg(F.sum(F.col("times") * (F.col("n") - 1)).alias("shared"))
     needed = stored(needed.join(distinct, "node"), "jaccard-nodes")
     nameless = not needed.where("doc_id is null").isEmpty()
     facts = needed.select("node", "size", "sketch")
-    ranked = member.join(needed.select("node", "shared"), "node").select("g", "node", "times", "shared")
-    middle = ranked.groupBy("g").agg(F.max_by("node", F.struct("shared", "node")).alias("a"))
-    stars = ranked.join(middle, "g").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.sum("times").alias("times"))
+    ranked = member.join(needed.select("node", "shared"), "node")
+    middle = ranked.groupBy("g", "n").agg(F.max_by("node", F.struct("shared", "node")).alias("a"))
+    ranked = ranked.withColumn("cell", _cell("node", _cells(F.col("n")))).select("g", "cell", "node", "times")
+    stars = ranked.join(_every_cell(middle), ["g", "cell"]).where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.sum("times").alias("times"))
 
     def allowed(pairs: DataFrame) -> DataFrame:
         names = pairs.columns
@@ -373,8 +423,14 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
             pairs = pairs.join(facts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")), x)
         return pairs.mapInArrow(_sketch_filter(share, names), fields)
 
+    def paired(pairs: DataFrame) -> DataFrame:
+        """Pairs (own, other) as (a, b, own), each once; a failed one is later remembered at ``own``."""
+        return pairs.groupBy(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.min("own").alias("own"))
+
+    # Each set has one pair with a middle and remembers it, so that no middle remembers many.
     best = allowed(stars).groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
-    best = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
+    best = stored(paired(best.select(F.col("b").alias("own"), F.col("a").alias("other"))), "jaccard-stars")
+
     def sets_of(nodes: DataFrame, few: bool) -> DataFrame:
         """(node, items) of some nodes, from the text of one document each."""
         wanted = needed.join(nodes, "node").select("doc_id", "node")
@@ -382,26 +438,43 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
         sets = docs.join(F.broadcast(named) if few else named, "doc_id").select("node", "text").mapInArrow(_sets(n), "node long, items binary")
         if nameless:
             rest = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(_sets(n), "node long, items binary")
-            sets = sets.union(rest.join(wanted.where("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"]))
-        return stored(sets, "jaccard-sets")
+            sets = sets.union(rest.join(wanted.where("doc_id is null").select("node"), "node", "left_semi"))
+        return stored(sets.dropDuplicates(["node"]), "jaccard-sets")
 
     def check(pairs: DataFrame) -> DataFrame:
         few = pairs.count() <= _BROADCAST_PAIRS
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), few)
+        own = pairs
         if few:
             pairs = F.broadcast(pairs)
+        pairs = pairs.select("a", "b")
         for x in "ab":
             pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")), x)
-        done = stored(pairs.mapInArrow(_checked(share), "a long, b long, similar boolean").distinct(), "jaccard-pairs")
+        done = pairs.mapInArrow(_checked(share), "a long, b long, similar boolean")
+        done = stored(done.join(own, ["a", "b"]).select("a", "b", "own", "similar"), "jaccard-pairs")
         tidy(spark)
         return done
 
     def place(open_: DataFrame, roots: DataFrame) -> DataFrame:
-        """Members, with their roots, of groups that are not in one component."""
-        placed = open_.select("g", F.size("nodes").alias("n"), F.explode("nodes").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = placed.join(facts.select("node", "size"), "node")
-        torn = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-        return placed.join(torn, "g")
+        """Members, with their roots, of groups that are not in one component; their group's size too."""
+        placed = open_.select("g", "n", F.explode("nodes").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = placed.withColumn("cell", _cell("node", _cells(F.col("n"))))
+        torn = placed.groupBy("g", "n").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g", "n")
+        return placed.join(_every_cell(torn), ["g", "cell"]).join(facts.select("node", "size"), "node")
+
+    def dealt(members: DataFrame) -> DataFrame:
+        """Members of large groups in cells (g, i, j, members): those outside the largest component, slice by slice, with each other and with its slices."""
+        count = members.groupBy("g", "n", "root").agg(F.count("*").alias("c"))
+        main = count.groupBy("g", "n").agg(F.max(F.struct("c", "root")).alias("m")).select("g", "n", F.col("m.root").alias("main"), _cells(F.col("m.c")).alias("mains"), _cells(F.col("n") - F.col("m.c")).alias("rests"))
+        rows = members.drop("n").join(_every_cell(main), ["g", "cell"])
+        rows = rows.withColumn("side", (F.col("root") == F.col("main")).cast("int"))
+        own = _cell("node", F.when(F.col("side") == 1, F.col("mains")).otherwise(F.col("rests")))
+        rows = rows.withColumn("own", own)
+        others = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+        mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(F.col("own").alias("i"), (-1 - j).alias("j")))
+        as_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("own")).alias("j")))
+        rows = rows.withColumn("at", F.explode(F.when(F.col("side") == 1, as_main).otherwise(F.concat(others, mains))))
+        return rows.groupBy("g", "at.i", "at.j").agg(F.collect_list(F.struct("node", "root", "side", "size", "sketch", "failed")).alias("members"))
 
     def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         for x in "ab":
@@ -424,31 +497,48 @@ def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
         # Of listed pairs each two components check their nearest; large groups give theirs anew.
         left = rooted(listed.join(checked, ["a", "b"], "left_anti"), roots)
         place_of = F.row_number().over(W.partitionBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).orderBy("apart", "a", "b"))
-        picked = left.withColumn("n", place_of).where(F.col("n") <= NEAREST).select("a", "b")
-        wrong = checked.where("not similar").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
-        wrong = wrong.groupBy(F.col("p.a").alias("node")).agg(F.collect_list("p.b").alias("failed"))
+        picked = left.withColumn("n", place_of).where(F.col("n") <= NEAREST).select(F.col("a").alias("own"), F.col("b").alias("other"))
+        wrong = checked.where("not similar").select(F.col("own").alias("node"), F.when(F.col("own") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
+        wrong = wrong.groupBy("node").agg(F.collect_list("other").alias("failed"))
         members = open_.join(facts.drop("size").join(wrong, "node", "left"), "node")
-        members = members.groupBy("g").agg(F.collect_list(F.struct("node", "root", "size", "sketch", "failed")).alias("members"))
-        found = stored(members.mapInArrow(released(_across(share, first)), "g long, a long, b long"), "jaccard-open")
+        found = stored(dealt(members).mapInArrow(released(_across(share, first)), "g long, own long, other long"), "jaccard-open")
         large = found.select("g").distinct()
-        pairs = stored(picked.union(found.select("a", "b")).distinct(), "jaccard-next")
+        pairs = stored(paired(picked.union(found.select("own", "other"))), "jaccard-next")
         if pairs.isEmpty():
-            break
+            return rows, roots
         checked = checked.union(check(pairs))
-    linked = rows.join(roots, "node")
-    ids = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = roots.join(ids, "root").select("node", "component_id")
-    alone = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own_id"))
-    named = alone.join(by_node, "node", "left").select("node", F.coalesce("component_id", "own_id").alias("component_id"))
+
+
+def _key():
+    """Names a row by its doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def join_sets(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
+
+    Two rows link when 100 * |intersection| >= share * |union| of their n-word shingle sets.
+    """
+    rows, roots = _clusters(docs, n, share)
+    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own_id"))
+    placed = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = placed.groupBy("root").agg(F.min("own_id").alias("component_id"))
+    named = placed.join(ids, "root").select("node", "component_id")
+    # A node may have many rows: adaptive execution splits such a key of the left side.
     out = rows.join(named, "node", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, n: int = 4, share: int = 85) -> DataFrame:
-    """``docs`` with one row of each component: the one with the least doc_id.
+    """``docs`` with one row of each component: one with the least doc_id (rows without one come last).
 
-    Rows without a doc_id cannot be named and stay. Repeated rows become one.
+    Rows without words are alone and stay. Rows with the same doc_id and text become one.
     """
-    ids = join_sets(docs, n=n, share=share).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    rows, roots = _clusters(docs, n, share)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
+    least = rows.where("node is not null").groupBy("node").agg(first.alias("x")).join(roots, "node", "left")
+    best = least.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("x").alias("x")).select(F.col("x.key").alias("k"))
+    alone = rows.where("node is null").select(F.col("key").alias("k")).distinct()
+    key = fresh(docs, "key")
+    kept = docs.withColumn(key, _key()).join(best.union(alone).withColumnRenamed("k", key), key, "left_semi")
+    return kept.dropDuplicates([key]).select(docs.columns)

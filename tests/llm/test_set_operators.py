@@ -79,6 +79,8 @@ def test_jaccard_join(spark, n, share, seed):
 def test_large_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 3)
     monkeypatch.setattr(jaccard, "NEAREST", 2)
+    monkeypatch.setattr(jaccard, "CELL", 8)
+    monkeypatch.setattr(jaccard, "ROW_NODES", 5)
     texts = dict(enumerate(near_copies(9, bases=2, copies=70)))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_sets(docs).collect()}
@@ -101,7 +103,12 @@ def test_join_of_odd_tables(spark):
     got = collections.Counter(map(tuple, jaccard.join_sets(spark.createDataFrame(rows, schema)).collect()))
     assert got == collections.Counter([(7, 37, 3), (7, 37, 3), (None, 37, 3), (3, 38, 3), (None, 2, None), (9, 0, 9), (None, 0, None)])
     kept = jaccard.keep_one(spark.createDataFrame(rows, schema)).collect()
-    assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == [3, 9]
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in kept if r.text) == [(False, 3, text + " more"), (True, None, "quite another text of words")]
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept if not r.text) == [(False, 9), (True, None)]
+    more = [(1, text, "a"), (2, text, "b"), (2, "another text", "c"), (None, "no id one two", "d"), (None, "no id one two", "e"), (None, "no id one two", "f")]
+    kept = jaccard.keep_one(spark.createDataFrame(more, "doc_id long, text string, node string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "no id one two"), (1, text), (2, "another text")]
+    assert all(r.node in "abcdef" for r in kept)
 
 
 @settings(max_examples=100, deadline=None)
@@ -124,16 +131,16 @@ def test_signatures_lose_no_link(size, edits, rng, share):
         assert jaccard.near(int(np.bitwise_count(jaccard.folded(p, n) ^ jaccard.folded(q, n)).sum()), len(a), len(b), share)
 
 
-@pytest.mark.parametrize("few", [0, 1000])
+@pytest.mark.parametrize("few", [0, 16_000])
 def test_components(spark, few):
     rng = random.Random(6)
     links = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(k, k + 1) for k in range(200, 260)] + [(500, k) for k in range(501, 540)] + [(5, 5)]
     found = Union({x for link in links for x in link})
     for a, b in links:
         found.join(a, b)
-    got = dict(map(tuple, components.components(spark.createDataFrame(links, "u long, v long"), few=few).collect()))
+    got = dict(map(tuple, components.components(spark.createDataFrame(links, "u long, v long"), few_bytes=few).collect()))
     assert got == {x: found.root(x) for a, b in links if a != b for x in (a, b)}
-    assert components.components(spark.createDataFrame([], "u long, v long"), few=few).count() == 0
+    assert components.components(spark.createDataFrame([], "u long, v long"), few_bytes=few).count() == 0
 
 
 # Search
