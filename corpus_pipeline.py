@@ -2,8 +2,17 @@
 
 Each stage's rows are written as Parquet in the folder that all executors share and read
 again. Toxic documents, documents of low quality, all but one of each group of near
-copies, and documents contaminated by benchmark items go; of the rest the last stage
-mixes the sources to their target weights.
+copies, and documents contaminated by benchmark items go; shorter passages of benchmark items are cut
+from the texts that stay. Of the rest the last stage mixes the sources to their target weights,
+by documents' expected grades.
+
+Rows: a null or empty text is neither toxic nor contaminated nor anyone's copy; the quality model
+judges it by its threshold alone, and the mix, which takes words, leaves it out. Very long texts are read
+whole. Rows with the same doc_id and text become one; of equal texts under several ids the least id stays (a
+row without an id only if no other has one). A null source is a source of its own. An empty table gives
+an empty table at every stage, and empty ``labels`` or ``benchmark`` let every row pass. Extra columns pass
+unchanged through all stages but the last, whatever their names; the last adds size, source_size, target and
+taken, and replaces columns of these names.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwright.llm import decontam, jaccard, mixing, quality, toxicity
-from chunkwright.llm.textops import stored
+from chunkwright.llm.textops import fresh, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +33,11 @@ def _training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scorer = toxicity.train(docs, _training_labels(spark, sf_dir))
-    return toxicity.add_scores(docs, scorer).where("predicted = 0").select(docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.train(docs, _training_labels(spark, sf_dir)))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(docs, _training_labels(spark, sf_dir), "quality")
-    return quality.add_grades(docs, model).where(quality.passes()).select(docs.columns)
+    return quality.drop_low(docs, quality.train(docs, _training_labels(spark, sf_dir), "quality"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +45,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return decontam.remove_spans(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, keep_text=True).where("taken > 0")
+    """Grades come from a model of the whole ``documents``, as rows of low quality are gone here."""
+    model = quality.train(_table(spark, sf_dir, "documents"), _training_labels(spark, sf_dir), "quality")
+    grade, tails = fresh(docs, "expected_grade"), fresh(docs, "tail_probabilities")
+    graded = quality.add_grades(docs, model, names=(grade, tails)).drop(tails)
+    return mixing.mix(graded, weight=grade, keep_text=True).where("taken > 0").drop(grade)
 
 
 STAGES = [
@@ -53,7 +64,7 @@ STAGES = [
     ("source_mixing", mix_sources),
 ]
 
-#: The stages' models cannot be written in SQL; tests hold ``run`` against a brute-force version.
+#: The stages' models cannot be written in SQL; tests hold each stage against planted cases and brute force.
 ORACLE_SQL = None
 
 
