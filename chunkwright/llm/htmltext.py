@@ -7,16 +7,22 @@ to the main text. Decoding goes down the tree: an element is dropped with everyt
 below it, or kept open, so that no descendant of a dropped element is kept; of all such
 choices the one with the highest total likelihood is taken, bottom-up.
 
-Rows: a null or empty page gives an empty text. Very long pages are parsed whole, in linear
+What is not shown is no text: scripts, styles, templates, the head, form fields and buttons, and what
+stands in for graphics (svg, canvas, object). Text in ``math`` is; its annotations are not. A tag that the
+page's end cuts off is markup, not text.
+
+Rows: a null or empty page gives an empty text. Very long and broken pages are parsed whole, in linear
 time and without recursion. Repeated rows each get the same result. An empty table gives an
 empty result. Extra columns pass through; ``text`` and ``n_chars`` are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +35,7 @@ from chunkwright.llm.textops import small_batches
 # Fixed values of HTML: elements without content, with raw content, and that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-UNSEEN = frozenset("script style template head title noscript iframe svg math object canvas textarea select option button xmp noembed noframes".split())
+UNSEEN = frozenset("script style template head title noscript iframe svg object canvas annotation annotation-xml textarea select option button xmp noembed noframes".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -48,8 +54,12 @@ _IMPLIED = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/>\"']+)")
+# No part of these patterns is read twice: what a repetition has taken it never gives back.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)>")
+_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+_RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
@@ -91,76 +101,108 @@ class Tree:
         return len(self.tag) - 1
 
 
+def _markup(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(first, last, name, closing, attributes) of each piece of markup; the name is None for comments and the like.
+
+    To go on after a raw element, send the place.
+    """
+    at, n, quoted = 0, len(page), True
+    while (at := page.find("<", at)) >= 0:
+        start, after = _START.match(page, at), page[at + 1 : at + 2]
+        if start:
+            m = _TAG.match(page, at) if quoted else None
+            if m:
+                end, attrs = m.end(), m[3]
+            else:
+                # A quote that nothing closes hides all that follows: from here on, quotes count no more.
+                quoted = False
+                end = page.find(">", at) + 1 or n
+                attrs = page[start.end() : end - 1]
+            whole = page[end - 1] == ">"
+            to = yield at, end, start[2].lower() if whole else None, bool(start[1]), attrs
+        elif page.startswith("<!--", at):
+            empty = next((x for x in ("<!-->", "<!--->") if page.startswith(x, at)), None)
+            m = None if empty else _COMMENT_END.search(page, at + 4)
+            to = yield at, at + len(empty) if empty else m.end() if m else n, None, False, ""
+        elif after and after in "!?/":
+            to = yield at, page.find(">", at) + 1 or n, None, False, ""
+        else:
+            at += 1
+            continue
+        at = to
+
+
 def parse(page: str) -> Tree:
-    tree, stack, at, n = Tree(), [0], 0, len(page)
+    tree, stack = Tree(), [0]
     flow, tags = tree.flow, tree.tag
+    where: dict[str, list[int]] = {}  # places in the stack by tag
+    blocks: list[int] = []  # places in the stack of block elements
+    absent: set[str] = set()  # raw elements that nothing closes any more
 
     def close(k: int) -> None:
         for node in stack[k:]:
             if tags[node] in BLOCK:
                 flow.append((node, None))
-        del stack[k:]
-
-    while at < n:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else n
-        if end > at:
-            flow.append((stack[-1], page[at:end]))
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if not name:
-            continue
-        name = name.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == name:
-                    close(k)
-                    break
-                if name not in BLOCK and tags[stack[k]] in BLOCK:
-                    break
-            continue
-        if name in _IMPLIED:
-            ends, limits = _IMPLIED[name]
-            low = len(stack)
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in limits:
-                    break
-                if tags[stack[k]] in ends:
-                    low = k
-            close(low)
-        elif name in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                t = tags[stack[k]]
-                if t == "p":
-                    close(k)
-                    break
-                if t in BLOCK:
-                    break
-        node = tree.open(name, stack[-1], m[3])
-        if name in BLOCK:
-            flow.append((node, None))
-        if name == "br":
-            flow.append((stack[-1], " "))
-        if name in VOID:
-            continue
-        if name in RAW and not m[3].endswith("/"):
-            found = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if found:
-                at = found.end()
-            elif name in ("script", "style", "textarea", "title", "xmp"):
-                at = n
-            continue
-        stack.append(node)
+        while len(stack) > k:
+            tag = tags[stack.pop()]
+            where[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
+
+    def last(tag: str) -> int:
+        return where[tag][-1] if where.get(tag) else 0
+
+    pieces, at = _markup(page), 0
+    piece = next(pieces, None)
+    while piece:
+        start, end, name, closing, attrs = piece
+        if start > at:
+            flow.append((stack[-1], page[at:start]))
+        if name and closing:
+            k = last(name)
+            if k and (name in BLOCK or not blocks or k > blocks[-1]):
+                close(k)
+        elif name:
+            if name in _IMPLIED:
+                ends, limits = _IMPLIED[name]
+                limit = max(map(last, limits))
+                low = min((own[i] for t in ends if (own := where.get(t)) and (i := bisect_right(own, limit)) < len(own)), default=len(stack))
+                close(low)
+            elif name in _CLOSES_P and blocks and tags[stack[blocks[-1]]] == "p":
+                close(blocks[-1])
+            node = tree.open(name, stack[-1], attrs)
+            if name in BLOCK:
+                flow.append((node, None))
+            if name == "br":
+                flow.append((stack[-1], " "))
+            if name in RAW and not attrs.endswith("/"):
+                found = None if name in absent else _RAW_END[name].search(page, end)
+                if found:
+                    end = found.end()
+                else:
+                    absent.add(name)
+                    if name in ("script", "style", "textarea", "title", "xmp"):
+                        end = len(page)
+            elif name not in VOID:
+                where.setdefault(name, []).append(len(stack))
+                if name in BLOCK:
+                    blocks.append(len(stack))
+                stack.append(node)
+        at = end
+        try:
+            piece = pieces.send(at)
+        except StopIteration:
+            piece = None
+    if at < len(page):
+        flow.append((stack[-1], page[at:]))
     return tree
 
 
 def hints(attrs: str) -> np.ndarray:
     out = np.zeros(N_HINTS)
     if attrs:
-        for name, a, b, c, bare in _ATTR.findall(attrs):
-            name = (name or bare).lower()
+        for name, a, b, c in _ATTR.findall(attrs):
+            name = name.lower()
             if name in ("class", "id", "role", "itemprop", "aria-label", "data-component", "data-role", "data-testid"):
                 for word in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", html.unescape(a or b or c)).lower()):
                     for k in _HINT_OF.get(word, ()):
@@ -236,10 +278,13 @@ def features(tree: Tree) -> np.ndarray:
 
 
 class Boosted:
-    """Gradient-boosted regression trees of fixed depth on quantile-binned features, logistic loss."""
+    """Gradient-boosted regression trees of fixed depth on quantile-binned features, logistic loss.
+
+    Each tree is grown on a random share of the rows.
+    """
 
-    def __init__(self, depth: int = 4, rounds: int = 60, rate: float = 0.25, bins: int = 32) -> None:
-        self.depth, self.rounds, self.rate, self.bins = depth, rounds, rate, bins
+    def __init__(self, depth: int = 4, rounds: int = 80, rate: float = 0.25, bins: int = 32, share: float = 0.35) -> None:
+        self.depth, self.rounds, self.rate, self.bins, self.share = depth, rounds, rate, bins, share
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.start = 0.0
 
@@ -251,18 +296,20 @@ class Boosted:
         flat = coded + np.arange(d) * width
         rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.start = float(np.log(rate / (1 - rate)))
-        value = np.full(n, self.start)
+        value, rng = np.full(n, self.start), np.random.default_rng(0)
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-value))
-            g, h = y - p, p * (1 - p)
-            at = np.zeros(n, np.int64)
+            some = np.sort(rng.choice(n, max(int(n * self.share), 1), replace=False))
+            p = 1 / (1 + np.exp(-value[some]))
+            g, h = y[some] - p, p * (1 - p)
+            wide_g, wide_h, own, xs = np.repeat(g, d), np.repeat(h, d), flat[some], x[some]
+            at, every = np.zeros(len(some), np.int64), np.arange(len(some))
             which, edge = np.zeros(2**self.depth, np.int64), np.full(2**self.depth, np.inf)
             for level in range(self.depth):
                 leaves = 2**level
-                key = (at[:, None] * (d * width) + flat).ravel()
+                key = (at[:, None] * (d * width) + own).ravel()
                 shape = (leaves, d, width)
-                sg = np.bincount(key, np.repeat(g, d), leaves * d * width).reshape(shape).cumsum(2)
-                sh = np.bincount(key, np.repeat(h, d), leaves * d * width).reshape(shape).cumsum(2)
+                sg = np.bincount(key, wide_g, leaves * d * width).reshape(shape).cumsum(2)
+                sh = np.bincount(key, wide_h, leaves * d * width).reshape(shape).cumsum(2)
                 tg, th = sg[:, :1, -1:], sh[:, :1, -1:]
                 gain = sg**2 / (sh + 1) + (tg - sg) ** 2 / (th - sh + 1) - tg**2 / (th + 1)
                 gain[(sh < 1) | (th - sh < 1)] = -1
@@ -275,20 +322,23 @@ class Boosted:
                     which[node] = feature[leaf]
                     if gain[leaf, feature[leaf], cut[leaf]] > 1e-6:
                         edge[node] = cuts[feature[leaf]][cut[leaf]]
-                at = at * 2 + (x[np.arange(n), which[leaves + at]] > edge[leaves + at])
+                at = at * 2 + (xs[every, which[leaves + at]] > edge[leaves + at])
             out = self.rate * np.bincount(at, g, 2**self.depth) / (np.bincount(at, h, 2**self.depth) + 1)
             self.trees.append((which, edge, out))
-            value += out[at]
+            value += out[self._leaf(which, edge, x)]
         return self
 
+    def _leaf(self, which: np.ndarray, edge: np.ndarray, x: np.ndarray) -> np.ndarray:
+        at, rows = np.ones(len(x), np.int64), np.arange(len(x))
+        for _ in range(self.depth):
+            at = at * 2 + (x[rows, which[at]] > edge[at])
+        return at - 2**self.depth
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of each row."""
-        value, rows = np.full(len(x), self.start), np.arange(len(x))
+        value = np.full(len(x), self.start)
         for which, edge, out in self.trees:
-            at = np.ones(len(x), np.int64)
-            for _ in range(self.depth):
-                at = at * 2 + (x[rows, which[at]] > edge[at])
-            value += out[at - 2**self.depth]
+            value += out[self._leaf(which, edge, x)]
         return value
 
 
@@ -377,6 +427,14 @@ def _inline(rng: random.Random, text: str) -> str:
     return " ".join(words)
 
 
+def _linked(rng: random.Random, text: str) -> str:
+    """Prose with several links."""
+    words = text.split(" ")
+    for k in sorted(rng.sample(range(len(words)), min(len(words), rng.randint(2, 7)))):
+        words[k] = f'<a href="/{k}">{words[k]}</a>'
+    return " ".join(words)
+
+
 def _attr(rng: random.Random, kind: str) -> str:
     if rng.random() < 0.15:
         return ""
@@ -435,10 +493,13 @@ def _main(rng: random.Random) -> list[tuple[str, bool]]:
     """Pieces of the main part with their labels."""
     head = rng.choice(["h1", "h1", "h1", "h2", 'h1 class="title"', 'h2 class="entry-title"', 'h1 class="page-title"', 'h1 class="post-header"'])
     parts = [(f"<{head}>{_inline(rng, _sentence(rng, 2, 12))}</{head.split()[0]}>", True)] if rng.random() < 0.85 else []
+    if parts and rng.random() < 0.25:
+        below = rng.choice(["", "", f"<p>{_sentence(rng, 3, 20)}</p>", f"<h2>{_sentence(rng, 2, 9)}</h2>"])
+        parts = [(f"<header{rng.choice(['', '', _attr(rng, 'main'), _attr(rng, 'head')])}>{parts[0][0]}{below}</header>", True)]
     for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14])):
         r = rng.random()
         if r < 0.68:
-            text = _inline(rng, _prose(rng))
+            text = _linked(rng, _prose(rng)) if rng.random() < 0.2 else _inline(rng, _prose(rng))
             text = f"<b>{text}<br>" if rng.random() < 0.12 else text
             text = rng.choice(["", "", "", "", "", ' class="lead"', ' class="intro text"', ' class="has-drop-cap"']) + ">" + text
             parts.append((f"<p{text}" + ("</p>" if rng.random() < 0.85 else ""), True))
@@ -460,8 +521,6 @@ def _main(rng: random.Random) -> list[tuple[str, bool]]:
     return parts
 
 
-
-
 def _page(rng: random.Random) -> str:
     """A page in which ``data-keep`` tells the label of each piece."""
 
@@ -487,6 +546,7 @@ def _page(rng: random.Random) -> str:
     return f"<html><head><title>{_sentence(rng, 2, 8)}</title></head><body{attr}>{whole}</body></html>"
 
 
+@functools.lru_cache(maxsize=2)
 def train(*, pages: int = 900, seed: int = 7) -> Boosted:
     """Trees fitted to generated pages; the same seed gives the same trees."""
     rng = random.Random(seed)
