@@ -283,7 +283,7 @@ class Boosted:
     Each tree is grown on a random share of the rows.
     """
 
-    def __init__(self, depth: int = 4, rounds: int = 80, rate: float = 0.25, bins: int = 32, share: float = 0.35) -> None:
+    def __init__(self, depth: int = 4, rounds: int = 60, rate: float = 0.25, bins: int = 32, share: float = 0.35) -> None:
         self.depth, self.rounds, self.rate, self.bins, self.share = depth, rounds, rate, bins, share
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.start = 0.0
