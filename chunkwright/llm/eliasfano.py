@@ -7,35 +7,51 @@ import os
 
 import numpy as np
 
-#: Bits between two samples of the rank directory, and 64-bit words in them.
-_STEP, _WORDS = 512, 8
 _ONE = np.uint64(1)
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Of each byte the places of its set bits, in order.
+_PLACES = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    _set = [k for k in range(8) if _byte >> k & 1]
+    _PLACES[_byte, : len(_set)] = _set
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Values of ``width`` bits, one after another, least bit first; 8 spare bytes at the end."""
+    """Values of ``width`` bits, one after another, least bit first, as bytes of whole 64-bit words; one word more at the end."""
     if not width or not len(values):
-        return np.zeros(8, np.uint8)
+        return np.zeros(16, np.uint8)
     out = []
     step = 1 << 16  # a multiple of 8 values ends on a byte
     for k in range(0, len(values), step):
         bits = (values[k : k + step, None] >> np.arange(width, dtype=np.uint64)) & _ONE
         out.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"))
-    return np.concatenate([*out, np.zeros(8, np.uint8)])
+    return np.concatenate([*out, np.zeros(8 + -sum(map(len, out)) % 8, np.uint8)])
+
+
+def _in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th set bit of each word: byte sums by one multiplication, then a table."""
+    s = words - ((words >> _ONE) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    k = k.astype(np.uint64)
+    place = np.bitwise_count(((k * _BYTES | _TOPS) - s) & _TOPS).astype(np.uint64) << np.uint64(3)
+    rest = k - (((s << np.uint64(8)) >> place) & np.uint64(255))
+    return place.astype(np.int64) + _PLACES[(words >> place) & np.uint64(255), rest]
 
 
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary; ``width`` is below 57.
 
-    The unary bits stay packed. Selection goes by ranks sampled every ``_STEP`` bits, then by population counts.
+    The unary bits stay packed. Selection goes by the rank before each word, then within the word.
     """
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray) -> None:
-        self.n, self.width, self.low = n, width, low
-        self.words = high.view(np.uint64).reshape(-1, _WORDS)
-        self.flat = self.words.ravel()
-        self.ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words).sum(1, dtype=np.int64))))
-        self.zeros = np.arange(len(self.ones)) * _STEP - self.ones
+        self.n, self.width, self.low, self.words = n, width, low.view(np.uint64), high.view(np.uint64)
+        kind = np.uint32 if len(high) < 1 << 28 else np.int64
+        self.ones = np.zeros(len(self.words), kind)
+        np.cumsum(np.bitwise_count(self.words)[:-1], out=self.ones[1:])
+        self.zeros = (np.arange(len(self.words)) * 64 - self.ones).astype(kind)
+        self.last = int(self.at(np.array([n - 1]))[0]) >> width if n else -1
 
     @staticmethod
     def encode(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -44,62 +60,59 @@ class EliasFano:
         width = min(max(0, (int(values[-1]) // n).bit_length() - 1), 56) if n else 0
         high = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         # A zero and a whole word at least follow the last one.
-        bits = np.zeros(-(-(int(high[-1]) + 66 if n else 1) // _STEP) * _STEP, np.uint8)
+        bits = np.zeros(-(-(int(high[-1]) + 130 if n else 1) // 64) * 64, np.uint8)
         bits[high] = 1
         return n, width, _pack(values & np.uint64((1 << width) - 1), width), np.packbits(bits, bitorder="little")
 
-    def _select(self, k: np.ndarray, samples: np.ndarray, flip: bool) -> np.ndarray:
-        """Places of the k-th set bits (or, with ``flip``, unset bits), from 0."""
-        block = np.searchsorted(samples, k, "right") - 1
-        rest = (k - samples[block]).astype(np.int64)
-        words = self.words[block]
-        if flip:
-            words = ~words
-        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        at = (upto <= rest[:, None]).sum(1)
-        every = np.arange(len(k))
-        rest -= np.where(at > 0, upto[every, at - 1], 0)
-        word, place = words[every, at], block * _STEP + at * 64
-        for width in (32, 16, 8, 4, 2, 1):
-            low = word & np.uint64((1 << width) - 1)
-            n = np.bitwise_count(low)
-            right = rest >= n
-            rest -= np.where(right, n, 0)
-            word = np.where(right, word >> np.uint64(width), low)
-            place += np.where(right, width, 0)
-        return place
+    def _one(self, k: np.ndarray) -> np.ndarray:
+        """Places of the k-th set bits, from 0."""
+        word = np.searchsorted(self.ones, k.astype(self.ones.dtype), "right") - 1
+        return word * 64 + _in_word(self.words[word], k - self.ones[word])
+
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Places of the k-th unset bits, from 0."""
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1
+        return word * 64 + _in_word(~self.words[word], k - self.zeros[word])
+
+    def _after(self, at: np.ndarray) -> np.ndarray:
+        """64 bits from each place on."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        return (self.words[word] >> shift) | ((self.words[np.minimum(word + 1, len(self.words) - 1)] << _ONE) << (np.uint64(63) - shift))
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(at), np.uint64)
         bit = at * self.width
-        # Eight bytes hold any value of up to 56 bits whatever its shift.
-        wide = self.low[(bit >> 3)[:, None] + np.arange(8)].view(np.uint64).ravel()
-        return (wide >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        return ((self.low[word] >> shift) | ((self.low[word + 1] << _ONE) << (np.uint64(63) - shift))) & np.uint64((1 << self.width) - 1)
 
     def at(self, k: np.ndarray) -> np.ndarray:
-        return ((self._select(k, self.ones, False) - k).astype(np.uint64) << np.uint64(self.width)) | self._lows(k)
+        return ((self._one(k) - k).astype(np.uint64) << np.uint64(self.width)) | self._lows(k)
+
+    def both(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k-th element and the one after it."""
+        first = self._one(k)
+        ahead = self._after(first + 1)
+        second = first + 1 + np.bitwise_count((ahead & (~ahead + _ONE)) - _ONE).astype(np.int64)
+        if len(far := np.flatnonzero(ahead == 0)):
+            second[far] = self._one(k[far] + 1)
+        return tuple(((place - j).astype(np.uint64) << np.uint64(self.width)) | self._lows(j) for place, j in ((first, k), (second, k + 1)))
 
     def _range(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last (exclusive) element whose high part is ``high``: the ones after a zero."""
-        before = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, True), -1)
-        first = before + 1 - high
-        at = before + 1
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
-        more = np.where(shift > 0, self.flat[np.minimum(word + 1, len(self.flat) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        ends = ~((self.flat[word] >> shift) | more)
+        at = np.where(high > 0, self._zero(np.maximum(high - 1, 0)), -1) + 1
+        ends = ~self._after(at)
         size = np.bitwise_count((ends & (~ends + _ONE)) - _ONE).astype(np.int64)
         if len(long := np.flatnonzero(ends == 0)):
-            size[long] = self._select(high[long], self.zeros, True) - at[long]
-        return first, first + size
+            size[long] = self._zero(high[long]) - at[long]
+        return at - high, at - high + size
 
     def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each value the place of the first element that is not less (``n`` if there is none), and whether it is equal."""
         if not self.n or not len(values):
             return np.full(len(values), self.n), np.zeros(len(values), bool)
         high, low = (values >> np.uint64(self.width)).astype(np.int64), values & np.uint64((1 << self.width) - 1)
-        last = int(self.at(np.array([self.n - 1]))[0]) >> self.width
-        inside = high <= last
+        inside = high <= self.last
         a, b = self._range(np.where(inside, high, 0))
         a, b = np.where(inside, a, self.n), np.where(inside, b, self.n)
         top = b.copy()
@@ -229,7 +242,7 @@ class Trie:
                 # Within the parent's own children: pointers are read once for each run of a parent.
                 edge = np.flatnonzero(np.diff(rank, prepend=-1))
                 run = np.diff(np.append(edge, len(rank)))
-                low, top = (np.repeat(pointers.at(rank[edge] + s).astype(np.int64), run) for s in (0, 1))
+                low, top = (np.repeat(x.astype(np.int64), run) for x in pointers.both(rank[edge]))
                 found = out[seen]
                 out[seen] = np.where((found >= low) & (found < top), found, -1)
         return out

@@ -35,12 +35,32 @@ START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _C, _D = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 #: Bytes of a chunk's texts, tokens of a shard, and smoothing masses of the second and the third order.
 CHUNK_BYTES, SHARD_TOKENS, MASSES = 8 << 20, 2_000_000, (500.0, 5.0)
-_KINDS = {"words": np.uint64, "word_counts": np.uint32, "contexts": np.uint64, "ctx_sizes": np.uint32, "successors": np.uint32, "sizes": np.uint32, "before": np.uint32, "counts": np.uint32}
+#: What a chunk sends; None stands for numbers that are mostly small.
+_KINDS = {"words": np.uint64, "word_counts": None, "contexts": np.uint64, "ctx_sizes": None, "successors": np.uint32, "sizes": None, "before": np.uint32, "counts": None}
+#: A task passes over words that it has seen less often; a word to be split has some hundred thousand times as many.
+_RARE = 4
 _PACKED = "part int, chunk string, " + ", ".join(f"{name} binary" for name in _KINDS)
 _ANSWER = "part int, chunk string, word_counts binary, p binary, rest binary, tokens long, types long"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
+def _sent(values: np.ndarray, kind) -> bytes:
+    """Bytes of an array; of small numbers a byte each, 255 for larger ones, which follow."""
+    if kind:
+        return values.tobytes()
+    large = values[values >= 255]
+    return len(values).to_bytes(4, "little") + np.minimum(values, 255).astype(np.uint8).tobytes() + large.astype(np.uint32).tobytes()
+
+
+def _got(raw: bytes, kind) -> np.ndarray:
+    if kind:
+        return np.frombuffer(raw, kind)
+    n = int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(raw, np.uint8, n, 4).astype(np.uint32)
+    out[out == 255] = np.frombuffer(raw[4 + n :], np.uint32)
+    return out
+
+
 class Splits:
     """Which words v are split, in how many ways; and the shards."""
 
@@ -118,7 +138,7 @@ class Chunk:
         cuts = (by_word, by_word, by_v, by_v, by_vw, by_vw, by_gram, by_gram)
         full = np.flatnonzero((np.diff(by_word) > 0) | (np.diff(by_gram) > 0)).tolist()
         columns = [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.string())]
-        columns += [pa.array([x[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()) for x, at in zip(values.values(), cuts, strict=True)]
+        columns += [pa.array([_sent(values[name][at[p] : at[p + 1]], kind) for p in full], pa.binary()) for (name, kind), at in zip(_KINDS.items(), cuts, strict=True)]
         return pa.RecordBatch.from_arrays(columns, ["part", "chunk", *values])
 
 
@@ -165,8 +185,8 @@ def _named(chunk_bytes: int):
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words (ends included) with how often a task has them; merged as it goes."""
-    names, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    """The words that a task has seen often, with how often, and (null) all that it has seen, ends included."""
+    names, counts, total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
     held: list[np.ndarray] = []
 
     def merge() -> None:
@@ -178,24 +198,28 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for _, _, h, at in hashed_words(utf8(batch.column(0))):
-            held += [h, np.full(len(at) - 1, END)]
+            held.append(h)
+            total += len(h) + len(at) - 1
             if sum(map(len, held)) > 1_000_000:
                 merge()
     if held:
         merge()
-    for k in range(0, len(names), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], ["word", "n"])
+    often = counts >= _RARE
+    words = pa.concat_arrays([pa.array([None], pa.int64()), pa.array(names[often].view(np.int64))])
+    table = pa.table([words, pa.array(np.append(total, counts[often]))], ["word", "n"])
+    yield from table.to_batches(max_chunksize=100_000)
 
 
 def _splits(rows: DataFrame, shard_tokens: int) -> Splits:
     """Shards by a count of all tokens; words with more than a quarter of a shard's share are split."""
-    counted = stored(rows.select("text").mapInArrow(released(_word_counts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    counted = rows.select("text").mapInArrow(released(_word_counts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "lm-words")
+    total = counted.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     shards = max(-(-total // shard_tokens), 8)
     share = max(total / (4 * shards), 1)
     # Fewer than 4 * shards words can have more than that share.
-    found = counted.where(F.col("n") > share).collect()
-    return Splits({r.word % (1 << 64): int(-(-r.n // share)) for r in found if r.word % (1 << 64) != int(END)}, shards)
+    found = counted.where(F.col("word").isNotNull() & (F.col("n") > share)).collect()
+    return Splits({r.word % (1 << 64): int(-(-r.n // share)) for r in found}, shards)
 
 
 def _answers(masses: tuple[float, float]):
@@ -209,7 +233,7 @@ def _answers(masses: tuple[float, float]):
                     yield from _shard(now, rows, masses)
                     rows = []
                 now = part
-                rows.append((chunk, *(np.frombuffer(batch.column(2 + i)[k].as_py(), kind) for i, kind in enumerate(_KINDS.values()))))
+                rows.append((chunk, *(_got(batch.column(2 + i)[k].as_py(), kind) for i, kind in enumerate(_KINDS.values()))))
         if rows:
             yield from _shard(now, rows, masses)
 
