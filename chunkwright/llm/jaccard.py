@@ -32,6 +32,7 @@ gives an empty result. Extra columns, whatever their names, do not matter to the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ BAND, SPARE = 1.35, 2
 #: Groups of so many sets at most give all their pairs; larger ones a few for each component.
 SMALL, NEAREST = 32, 32
 #: Members of a group in one cell, nodes in one row, and signatures in one range, each about.
-CELL, ROW_NODES, RANGE_SIGNATURES = 256, 4096, 4_000_000
+CELL, ROW_NODES, RANGE_SIGNATURES = 2048, 4096, 4_000_000
 #: Pairs that are few enough to broadcast (16 bytes each).
 _BROADCAST_PAIRS = 250_000
 _C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -219,14 +220,17 @@ def _range_groups(sigs: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[p
     s, v = s[order], v[order]
     same = s[1:] == s[:-1]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
-    groups: dict[int, list] = {}
+    groups: dict[bytes, int] = {}
     for a, b in zip(edge[::2].tolist(), (edge[1::2] + 1).tolist(), strict=True):
         own = np.unique(v[a:b])
         if len(own) > 1:
-            groups.setdefault(node_of(own.view(np.uint64)), [own, 0])[1] += 1
+            key = own.tobytes()
+            groups[key] = groups.get(key, 0) + 1
     rows: list[tuple[int, int, int, np.ndarray]] = []
     held = 0
-    for g, (own, times) in groups.items():
+    for key, times in groups.items():
+        own = np.frombuffer(key, np.int64)
+        g = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True)
         for k in range(0, len(own), ROW_NODES):
             rows.append((g, len(own), times, own[k : k + ROW_NODES]))
             held += len(rows[-1][3])
