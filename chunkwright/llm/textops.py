@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -193,6 +194,11 @@ def released(run):
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets the driver notice now which shuffles no query needs any more, so that their files go."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets the driver notice now which shuffles no query needs any more, so that their files go.
+
+    What the first collection lets go of may be all that holds a shuffle, so there is a second one.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
