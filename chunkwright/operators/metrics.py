@@ -130,6 +130,11 @@ def with_metric(runs: DataFrame, key: str) -> DataFrame:
     return runs.where(F.map_contains_key("metrics", key))
 
 
+def named_like(runs: DataFrame, part: str) -> DataFrame:
+    """Runs whose name contains a text, whatever its case."""
+    return runs.where(F.lower("name").contains(part.lower()))
+
+
 def target_assessment(runs: DataFrame, target: float) -> DataFrame:
     """By class: how many runs reach a throughput."""
     out = runs.groupBy(X.benchmark_class(F.col("name")).alias("class")).agg(F.count_if(F.col("throughput") >= target).alias("met"), F.count("*").alias("total"))

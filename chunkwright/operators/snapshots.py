@@ -63,7 +63,7 @@ def first_files(files: DataFrame, n: int = 20) -> DataFrame:
 
 
 def files_of(files: DataFrame, snapshot: str) -> DataFrame:
-    """A snapshot's files with their place in path order; the literal prunes partitions."""
+    """A snapshot's files with their place in path order."""
     return files.where(F.col("snapshot_id") == snapshot).withColumn("place", F.row_number().over(W.partitionBy("snapshot_id").orderBy("path")))
 
 
@@ -102,6 +102,12 @@ def filtered(snapshots: DataFrame, *, name: str | None = None, since: Column | N
     return snapshots
 
 
+def of_last_days(snapshots: DataFrame, days: int) -> DataFrame:
+    """Snapshots of the ``days`` up to the newest one."""
+    newest = snapshots.agg(F.max("created_at").alias("_newest"))
+    return snapshots.join(newest).where(F.col("created_at") >= F.col("_newest") - F.make_dt_interval(F.lit(days))).drop("_newest")
+
+
 def retained(snapshots: DataFrame, unit: str = "day", keep: int | None = None, *, first: bool = False) -> DataFrame:
     """Of each day, week or month the last snapshot (or the first); of the latest ``keep`` units."""
     bucket = F.date_trunc(unit, "created_at")

@@ -603,24 +603,24 @@ def stream_counters(spark, sf):
 
 def _finished(spark, stream, mode):
     """The rows of a stream over all that is there now."""
-    import uuid
+    home = _home(spark, "stream")
+
+    def keep(batch, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/batch={number:08d}")
 
-    name = f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{home}/batch=*")
+    last = found.select(F.max(F.regexp_extract("_metadata.file_path", "batch=([0-9]+)", 1)).alias("b")).first().b
+    return spark.read.parquet(f"{home}/batch={last}")
 
 
 @query("files file_chunks chunks", "SELECT hash, size FROM chunks")
 def stream_ingest_dedup(spark, sf):
     """Chunks written as a stream's files, ingested twice; the store has each once."""
-    import uuid
-
     from chunkwright.sources.store import Store
     from chunkwright.streaming.ingest import ingest_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    home = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    home = _home(spark, "ingest")
     rows = T.file_chunks(spark, sf, keep_content=True).select(F.col("chunk_hash").alias("hash"), F.col("chunk_size").cast("long").alias("size"), "content")
     rows.write.parquet(f"{home}/in")
     store = Store(spark, f"{home}/store")
@@ -629,3 +629,114 @@ def stream_ingest_dedup(spark, sf):
     return store.table("chunks").select("hash", "size")
 
 
+
+
+# Through the store
+
+
+def _home(spark, name):
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _ranges(spark, sf, size):
+    """The files of snapshot s2 as (path, modified_time, chunk_order, content) in ranges of ``size`` bytes."""
+    rows = T.files(spark, sf).where("snapshot_id = 's2'").select("path", F.timestamp_millis("modified_ms").alias("modified_time"), F.encode("body", "UTF-8").alias("b"))
+    n = F.greatest(F.ceil(F.octet_length("b") / size), F.lit(1)).cast("int")
+    rows = rows.withColumn("chunk_order", F.explode(F.sequence(F.lit(0), n - 1)))
+    return rows.select("path", "modified_time", "chunk_order", F.substring(F.col("b"), F.col("chunk_order") * size + 1, F.lit(size)).alias("content"))
+
+
+def _stored(spark, sf, name="s2"):
+    from chunkwright.sources.store import Store
+
+    store = Store(spark, _home(spark, "store"))
+    store.ingest(name, _ranges(spark, sf, 2 * T.K), chunk=T.K, range_bytes=2 * T.K)
+    return store
+
+
+@query("files", "SELECT id, snapshot_id, path, size, file_hash FROM files WHERE snapshot_id = 's2'")
+def store_ingest_files(spark, sf):
+    """Files that come in ranges: sizes and whole-file hashes as recorded by the store."""
+    rows = _stored(spark, sf).table("files")
+    return rows.select(F.concat(F.lit("s2:"), F.regexp_extract("path", r"([0-9]+)\.txt$", 1)).alias("id"), "snapshot_id", "path", "size", "file_hash")
+
+
+@query("files file_chunks", "SELECT f.path, chunk_order, chunk_size, chunk_hash FROM file_chunks JOIN files f ON f.id = file_id WHERE file_id LIKE 's2:%'")
+def store_ingest_chunk_lists(spark, sf):
+    store = _stored(spark, sf)
+    rows = store.table("file_chunks").join(store.table("files").select(F.col("id").alias("file_id"), "path"), "file_id")
+    return rows.select("path", "chunk_order", "chunk_size", "chunk_hash")
+
+
+@query("files file_chunks", "SELECT DISTINCT chunk_hash AS hash, chunk_size::BIGINT AS size, true AS sound FROM file_chunks WHERE file_id LIKE 's2:%'")
+def store_blobs_sound(spark, sf):
+    """Each distinct chunk is stored once, and its content has its hash."""
+    return _stored(spark, sf).table("blobs").select("hash", F.octet_length("content").cast("long").alias("size"), (F.sha2("content", 256) == F.col("hash")).alias("sound"))
+
+
+@query("files file_chunks", "SELECT chunk_hash AS hash, max(chunk_size)::BIGINT AS size FROM file_chunks WHERE file_id LIKE 's2:%' AND chunk_hash NOT LIKE 'a%' GROUP BY 1")
+def store_delete_and_collect(spark, sf):
+    """The chunk table once no file has chunks whose hash starts with a, and orphans are collected."""
+    store = _stored(spark, sf)
+    store.commit(replaced={"file_chunks": store.table("file_chunks").where("chunk_hash not like 'a%'")})
+    store.collect_garbage()
+    return store.table("chunks").select("hash", "size")
+
+
+@query("files", "SELECT path, size, modified_ms, file_hash FROM files WHERE snapshot_id = 's2'")
+def store_incremental_ingest(spark, sf):
+    """A second snapshot of the same files, of which only those of one language are read again; the rest is carried over."""
+    store = _stored(spark, sf)
+    now = store.table("files").select("path", (F.col("size") + F.when(F.col("path").like("/fr/%"), 1).otherwise(0)).alias("size"), "modified_time")
+    body = _ranges(spark, sf, 2 * T.K).select("path", "chunk_order", "content")
+    store.ingest_changes("again", "s2", now, lambda new: body.join(new.select("path"), "path", "left_semi"), chunk=T.K, range_bytes=2 * T.K)
+    rows = store.table("files").where("snapshot_id = 'again'")
+    return rows.select("path", "size", F.unix_millis("modified_time").alias("modified_ms"), "file_hash")
+
+
+@query("files", "SELECT id, path, size, file_hash FROM files WHERE id = 's2:4'")
+def file_by_id(spark, sf):
+    return snapshots.find(T.files(spark, sf), "id", "s2:4").select("id", "path", "size", "file_hash")
+
+
+@query(
+    "",
+    """SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' ELSE regexp_replace(printf('%.1f', b / CASE WHEN b < 1048576 THEN 1024 ELSE 1048576 END), '[.]0$', '') || CASE WHEN b < 1048576 THEN ' KB' ELSE ' MB' END END AS shown
+FROM (SELECT o_orderkey, o_custkey * 512 AS b FROM orders WHERE o_custkey * 512 < 1024000)""",
+)
+def format_sizes_short(spark, sf):
+    size = F.col("o_custkey") * 512
+    return T.read(spark, sf, "orders").where(size < 1_024_000).select("o_orderkey", X.format_size(size).alias("shown"))
+
+
+@query("", "SELECT p_partkey, round(p_partkey / (p_size / 1000.0), 6) AS per_second, p_partkey - p_size AS round_trip_ms FROM part")
+def operations_and_round_trips(spark, sf):
+    c = F.col
+    return T.read(spark, sf, "part").select("p_partkey", F.round(X.operations_per_second(c("p_partkey"), c("p_size")), 6).alias("per_second"), X.round_trip(c("p_size"), c("p_partkey")).alias("round_trip_ms"))
+
+
+@query("files", "SELECT 's1' AS hash, path FROM files WHERE snapshot_id = 's1'")
+def index_round_trip(spark, sf):
+    """Index lines written to a file and read back."""
+    from chunkwright.sources import indexfile
+
+    path = _home(spark, "index")
+    indexfile.write_index(T.files(spark, sf).where("snapshot_id = 's1'").select(F.col("snapshot_id").alias("hash"), "path"), path)
+    return indexfile.read_index(spark, path)
+
+
+@query("m_snapshots", "SELECT id, name FROM m_snapshots WHERE created_at >= (SELECT max(created_at) FROM m_snapshots) - INTERVAL 30 DAY")
+def snapshots_of_last_days(spark, sf):
+    return snapshots.of_last_days(T.m_snapshots(spark, sf), 30).select("id", "name")
+
+
+@query("runs", "SELECT name, count(*) AS n FROM runs WHERE contains(lower(name), 'run') GROUP BY 1")
+def benchmark_name_contains(spark, sf):
+    return metrics.named_like(_runs(spark, sf), "RUN").groupBy("name").agg(F.count("*").alias("n"))

@@ -1,13 +1,15 @@
 """A directory tree as a table: the ``fsscan`` data source.
 
 Spark's own file source leaves out hidden and empty files and follows links silently, so the
-tree is walked here. Top-level entries are dealt to tasks. A directory that cannot be read, or whose
+tree is walked here. Top-level entries are dealt to tasks. Hidden directories, and those that ``prune`` matches, are not
+entered if so asked. A directory that cannot be read, or whose
 real path is its own ancestor, gives a row with ``error`` and the scan goes on.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import stat
 from collections.abc import Iterator
 
@@ -35,6 +37,12 @@ class _Reader(DataSourceReader):
         self.follow = options.get("followlinks", "false").lower() == "true"
         self.depth = int(options.get("maxdepth", str(1 << 30)))
         self.tasks = int(options.get("tasks", "32"))
+        self.hidden = options.get("hidden", "true").lower() == "true"
+        self.prune = re.compile(options["prune"]) if options.get("prune") else None
+
+    def enters(self, rel: str) -> bool:
+        """False for a directory whose whole subtree is skipped."""
+        return (self.hidden or not os.path.basename(rel).startswith(".")) and not (self.prune and self.prune.search(rel))
 
     def partitions(self) -> list[_Entry]:
         names = sorted(os.listdir(self.root))
@@ -51,6 +59,8 @@ class _Reader(DataSourceReader):
                 to = os.stat(full) if link else own
                 real = os.path.realpath(full)
                 if stat.S_ISDIR(to.st_mode) and (not link or self.follow):
+                    if not self.enters(rel):
+                        continue
                     if real in above:
                         raise OSError(f"cycle: {real}")
                     if depth < self.depth:
@@ -62,7 +72,7 @@ class _Reader(DataSourceReader):
 
 
 class FsScan(DataSource):
-    """``spark.read.format("fsscan").option("path", root)``; options followLinks, maxDepth, tasks."""
+    """``spark.read.format("fsscan").option("path", root)``; options followLinks, maxDepth, tasks, hidden, prune (a regular expression over directories' paths)."""
 
     @classmethod
     def name(cls) -> str:
@@ -75,10 +85,13 @@ class FsScan(DataSource):
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
-def scan(spark: SparkSession, root: str, *, links: str = "SKIP", max_depth: int | None = None, tasks: int = 32) -> DataFrame:
+def scan(spark: SparkSession, root: str, *, links: str = "SKIP", max_depth: int | None = None, tasks: int = 32, hidden: bool = True, prune: str | None = None) -> DataFrame:
     """All entries but directories. ``links``: SKIP, RECORD, or FOLLOW (each real file behind links once)."""
     spark.dataSource.register(FsScan)
     reader = spark.read.format("fsscan").option("path", root).option("tasks", tasks).option("followLinks", links == "FOLLOW")
+    reader = reader.option("hidden", hidden)
+    if prune is not None:
+        reader = reader.option("prune", prune)
     if max_depth is not None:
         reader = reader.option("maxDepth", max_depth)
     return with_links(reader.load(), links)

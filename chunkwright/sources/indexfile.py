@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    index.select(F.concat_ws("|", "hash", "path").alias("value")).write.mode("overwrite").text(path)
+    """Written aside first, so that the old index stays until the new one is whole."""
+    spark = index.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    index.select(F.concat_ws("|", "hash", "path").alias("value")).write.text(aside)
+    fs.delete(place(path), True)
+    if not fs.rename(place(aside), place(path)):
+        raise RuntimeError(f"{path} is there again: another writer has been faster")
 
 
 def retain(index: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:

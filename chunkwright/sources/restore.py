@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -19,7 +20,9 @@ def restore(store: Store, snapshot: str, target: str, *, overwrite: bool = False
     """(path, status, n_bytes) of each file: written, skipped, or failed with the reason.
 
     A file's chunks come in order from rows sorted within its partition and are written one by one to a
-    file beside the target, which takes its place only when its hash is right.
+    file beside the target, under the attempt's own name, which takes its place only when its hash is right.
+    The files are written once, now; the rows returned are what was written then, however often they are
+    read. A path that leaves the target is a failure of that file.
     """
     files = store.table("files").where(F.col("snapshot_id") == snapshot).where(selected(F.col("path"), include, exclude, strict=strict))
     lists = store.table("file_chunks").withColumnRenamed("file_id", "id")
@@ -34,12 +37,14 @@ def restore(store: Store, snapshot: str, target: str, *, overwrite: bool = False
         import pandas as pd
 
         def close(now: dict) -> tuple[str, str, int]:
-            now["out"].close()
+            if now["out"]:
+                now["out"].close()
             full, aside = now["full"], now["aside"]
             if not now["error"] and check and now["hash"].hexdigest() != now["want"]:
                 now["error"] = "failed: file hash"
             if now["error"]:
-                os.unlink(aside)
+                if aside:
+                    os.unlink(aside)
                 return now["path"], now["error"], 0
             if os.path.lexists(full):
                 if backup:
@@ -55,9 +60,9 @@ def restore(store: Store, snapshot: str, target: str, *, overwrite: bool = False
         def begin(row) -> dict:
             full = os.path.normpath(os.path.join(target, row.path.lstrip("/")))
             if not full.startswith(os.path.normpath(target) + os.sep):
-                raise ValueError(f"{row.path} leaves the target")
+                return {"id": row.id, "path": row.path, "full": full, "aside": None, "out": None, "hash": hashlib.sha256(), "want": None, "error": "failed: path leaves the target", "n": 0, "ms": None}
             os.makedirs(os.path.dirname(full), exist_ok=True)
-            aside = f"{full}.restoring"
+            aside = f"{full}.{uuid.uuid4().hex}.restoring"
             ms = None if pd.isna(row.modified_ms) else float(row.modified_ms)
             return {"id": row.id, "path": row.path, "full": full, "aside": aside, "out": open(aside, "wb"), "hash": hashlib.sha256(), "want": row.file_hash, "error": None, "n": 0, "ms": ms}  # noqa: SIM115
 
@@ -68,7 +73,7 @@ def restore(store: Store, snapshot: str, target: str, *, overwrite: bool = False
                     if now is not None:
                         done.append(close(now))
                     now = begin(row)
-                if row.chunk_hash is None:
+                if row.chunk_hash is None or now["out"] is None:
                     continue
                 if row.content is None:
                     now["error"] = "failed: missing chunk"
@@ -85,7 +90,9 @@ def restore(store: Store, snapshot: str, target: str, *, overwrite: bool = False
             done.append(close(now))
         yield pd.DataFrame(done, columns=["path", "status", "n_bytes"])
 
-    return ordered.mapInPandas(run, STATUS)
+    kept = f"{store.path}/_restored/{uuid.uuid4().hex}"
+    ordered.mapInPandas(run, STATUS).write.parquet(kept)
+    return store.spark.read.schema(STATUS).parquet(kept)
 
 
 def totals(status: DataFrame) -> DataFrame:

@@ -138,3 +138,74 @@ def test_reports(spark, tmp_path):
     assert {r.n for r in spark.read.json(str(tmp_path / "json")).collect()} == {1, None}
     reports.write_text(rows, str(tmp_path / "text"), 4)
     assert {r.value for r in spark.read.text(str(tmp_path / "text")).collect()} == {"a    1    -", "b    -    x"}
+
+
+def test_files_in_ranges(spark, tmp_path):
+    root = tmp_path / "big"
+    root.mkdir()
+    (root / "large").write_bytes(bytes(range(256)) * 1200 + b"end")
+    (root / "exact").write_bytes(b"x" * 100_000)
+    (root / "none").write_bytes(b"")
+    store = Store(spark, str(tmp_path / "store"))
+    rows = fsscan.scan(spark, str(root)).withColumn("modified_time", F.timestamp_millis("modified_ms"))
+
+    def read(some):
+        wanted = rows.join(some.select("path"), "path", "left_semi")
+        return fsscan.contents(wanted, str(root), range_bytes=100_000)
+
+    bodies = read(rows).join(rows.select("path", "modified_time"), "path")
+    store.ingest("one", bodies, chunk=10_000, range_bytes=100_000)
+    files = {r.path: r for r in store.table("files").collect()}
+    assert {p: r["size"] for p, r in files.items()} == {"large": 307_203, "exact": 100_000, "none": 0}
+    assert [r.chunk_order for r in store.table("file_chunks").where("file_id = 'one:large'").orderBy("chunk_order").collect()] == list(range(31))
+    done = restore.restore(store, "one", str(tmp_path / "out"))
+    assert {r.status for r in done.collect()} == {r.status for r in done.collect()} == {"written"}
+    for name in files:
+        assert (tmp_path / "out" / name).read_bytes() == (root / name).read_bytes()
+    with pytest.raises(ValueError, match="more than once"):
+        store.ingest("twice", bodies.union(bodies), chunk=10_000, range_bytes=100_000)
+    with pytest.raises(ValueError, match="multiple"):
+        store.ingest("odd", bodies, chunk=10_000, range_bytes=15_000)
+    (root / "exact").write_bytes(b"y" * 5)
+    os.utime(root / "exact", (1, 1))
+    seen = []
+    later = fsscan.scan(spark, str(root)).select("path", "size", F.timestamp_millis("modified_ms").alias("modified_time"))
+    store.ingest_changes("two", "one", later, lambda new: seen.append({r.path for r in new.collect()}) or read(new), chunk=10_000, range_bytes=100_000)
+    assert seen == [{"exact"}]
+    restore.restore(store, "two", str(tmp_path / "out2"))
+    for name in files:
+        assert (tmp_path / "out2" / name).read_bytes() == (root / name).read_bytes()
+
+
+def test_garbage_frees_bytes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rng = __import__("random").Random(1)
+    bodies = spark.createDataFrame([(f"f{k}", bytearray(rng.randbytes(50_000))) for k in range(6)], "path string, content binary").withColumn("modified_time", F.current_timestamp())
+    store.ingest("keep", bodies.where("path = 'f0'"), chunk=10_000)
+    store.ingest("drop", bodies, chunk=10_000)
+
+    def size():
+        return sum(p.stat().st_size for p in (tmp_path / "store").rglob("*") if p.is_file())
+
+    before = size()
+    store.delete_snapshot("drop")
+    assert store.collect_garbage() == 25
+    assert size() < before / 3
+    assert store.table("blobs").count() == 5
+    assert not store.problems() and store.version() == 2 and not store.migrate()
+
+
+def test_restore_outside_of_the_target(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("../evil", bytearray(b"a")), ("fine", bytearray(b"b"))], "path string, content binary").withColumn("modified_time", F.current_timestamp())
+    store.ingest("one", rows)
+    got = {r.path: r.status for r in restore.restore(store, "one", str(tmp_path / "out")).collect()}
+    assert got == {"../evil": "failed: path leaves the target", "fine": "written"}
+
+
+def test_pruned_scan(spark, tree):
+    (tree / ".git").mkdir()
+    (tree / ".git" / "x").write_bytes(b"1")
+    assert any(r.path == ".git/x" for r in fsscan.scan(spark, str(tree)).collect())
+    assert not any(r.path == ".git/x" for r in fsscan.scan(spark, str(tree), hidden=False).collect())
+    assert {r.path for r in fsscan.scan(spark, str(tree), prune="^level1/level2$").collect()} == {"a.txt", "empty", ".hidden", ".git/x", "_under.txt", "level1/b b.txt"}
