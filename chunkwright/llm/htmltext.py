@@ -198,21 +198,29 @@ def parse(page: str) -> Tree:
     return tree
 
 
-def hints(attrs: str) -> np.ndarray:
-    out = np.zeros(N_HINTS)
-    if attrs:
-        for name, a, b, c in _ATTR.findall(attrs):
-            name = name.lower()
-            if name in ("class", "id", "role", "itemprop", "aria-label", "data-component", "data-role", "data-testid"):
-                for word in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", html.unescape(a or b or c)).lower()):
-                    for k in _HINT_OF.get(word, ()):
-                        out[k] = 1
-            elif name == "hidden" or name == "aria-hidden" and "true" in (a, b, c) or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a or b or c):
-                out[9] = 1
+def hints(attrs: str) -> int:
+    """What the attributes say of an element: a bit for each kind of ``HINTS``."""
+    return _short_hints(attrs) if len(attrs) < 200 else _hints(attrs)
+
+
+def _hints(attrs: str) -> int:
+    out = 0
+    for name, a, b, c in _ATTR.findall(attrs):
+        name = name.lower()
+        if name in ("class", "id", "role", "itemprop", "aria-label", "data-component", "data-role", "data-testid"):
+            for word in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", html.unescape(a or b or c)).lower()):
+                for k in _HINT_OF.get(word, ()):
+                    out |= 1 << k
+        elif name == "hidden" or name == "aria-hidden" and "true" in (a, b, c) or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a or b or c):
+            out |= 1 << 9
     return out
 
 
+_short_hints = functools.lru_cache(maxsize=8192)(_hints)
+
+
 NUMERIC = 15
+_ASIDE = frozenset("nav aside footer header form".split())
 _RIGHTS = re.compile(r"©|&copy;|copyright|all rights reserved|privacy policy|terms of (?:use|service)", re.I)
 N_FEATURES = len(TAGS) + 2 * N_HINTS + NUMERIC + 3
 
@@ -229,26 +237,26 @@ def features(tree: Tree) -> np.ndarray:
             words[node] += text.count(" ") if size else 0
             stops[node] += text.count(".") + text.count(",")
             rights[node] += bool(_RIGHTS.search(text))
-    tag, parent = tree.tag, tree.parent
-    depth, chars = np.zeros(n), own.copy()
-    base, extra = len(TAGS), len(TAGS) + N_HINTS
-    at_numeric = len(TAGS) + 2 * N_HINTS
-    block = np.zeros(n)
+    tag, parent, attrs = tree.tag, tree.parent, tree.attrs
+    chars = own.copy()
+    mask, above, inside, article, deep = ([0] * n for _ in range(5))
     for i in range(1, n):
-        p = parent[i]
-        depth[i] = depth[p] + 1
-        k = _TAG_AT.get(tag[i])
-        if k is not None:
-            x[i, k] = 1
-        if tree.attrs[i]:
-            x[i, base : base + N_HINTS] = hints(tree.attrs[i])
-        x[i, extra : extra + N_HINTS] = np.maximum(x[p, base : base + N_HINTS], x[p, extra : extra + N_HINTS])
-        for j, t in enumerate(("nav", "aside", "footer", "header", "form", "article")):
-            if tag[i] == t:
-                block[i] = j + 1
-        x[i, at_numeric + NUMERIC] = 1.0 if 1 <= block[i] <= 5 else x[p, at_numeric + NUMERIC]
-        x[i, at_numeric + NUMERIC + 1] = 1.0 if tag[i] in ("article", "main") else x[p, at_numeric + NUMERIC + 1]
-        kids[p] += 1
+        p, t = parent[i], tag[i]
+        if attrs[i]:
+            mask[i] = hints(attrs[i])
+        above[i] = mask[p] | above[p]
+        inside[i] = 1 if t in _ASIDE else inside[p]
+        article[i] = 1 if t in ("article", "main") else article[p]
+        deep[i] = deep[p] + 1
+    np.add.at(kids, parent[1:], 1)
+    base, at_numeric, bits = len(TAGS), len(TAGS) + 2 * N_HINTS, np.arange(N_HINTS)
+    depth = np.array(deep, float)
+    named = [(i, k) for i, t in enumerate(tag) if (k := _TAG_AT.get(t)) is not None]
+    if named:
+        x[tuple(np.array(named).T)] = 1
+    x[:, base : base + N_HINTS] = np.array(mask)[:, None] >> bits & 1
+    x[:, base + N_HINTS : at_numeric] = np.array(above)[:, None] >> bits & 1
+    x[:, at_numeric + NUMERIC], x[:, at_numeric + NUMERIC + 1] = inside, article
     links += np.where([t == "a" for t in tag], own, 0)
     for i in range(n - 1, 0, -1):
         p = parent[i]
@@ -342,7 +350,7 @@ class Boosted:
         return value
 
 
-_JUNK = [k for k, name in enumerate(HINTS) if name not in ("main", "meta", "head")]
+_JUNK = sum(1 << k for k, name in enumerate(HINTS) if name not in ("main", "meta", "head"))
 
 
 def decode(tree: Tree, odds: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -352,7 +360,7 @@ def decode(tree: Tree, odds: np.ndarray, weight: np.ndarray) -> np.ndarray:
     and its text counts there, unless its attributes say that it is no part of the text.
     """
     n, weight = len(tree.tag), weight.copy()
-    tied = np.array([t not in BLOCK and t not in UNSEEN and not (a and hints(a)[_JUNK].any()) for t, a in zip(tree.tag, tree.attrs, strict=True)])
+    tied = np.array([t not in BLOCK and t not in UNSEEN and not (a and hints(a) & _JUNK) for t, a in zip(tree.tag, tree.attrs, strict=True)])
     tied[0] = False
     for i in np.flatnonzero(tied)[::-1].tolist():
         weight[tree.parent[i]] += weight[i]
