@@ -497,12 +497,12 @@ def _junk(rng: random.Random, where: str) -> str:
     return f"<{tag}{attr}>{body}</{tag}>"
 
 
-def _main(rng: random.Random) -> list[tuple[str, bool]]:
-    """Pieces of the main part with their labels."""
+def _main(rng: random.Random, headed: bool) -> list[tuple[str, bool]]:
+    """Pieces of the main part with their labels; ``headed``: its title may be in a header of its own."""
     head = rng.choice(["h1", "h1", "h1", "h2", 'h1 class="title"', 'h2 class="entry-title"', 'h1 class="page-title"', 'h1 class="post-header"'])
     parts = [(f"<{head}>{_inline(rng, _sentence(rng, 2, 12))}</{head.split()[0]}>", True)] if rng.random() < 0.85 else []
-    if parts and rng.random() < 0.25:
-        below = rng.choice(["", "", f"<p>{_sentence(rng, 3, 20)}</p>", f"<h2>{_sentence(rng, 2, 9)}</h2>"])
+    if parts and headed and rng.random() < 0.4:
+        below = rng.choice(["", f"<p>{_sentence(rng, 2, 20)}</p>", f"<p>{_sentence(rng, 3, 20)}</p>", f"<h2>{_sentence(rng, 2, 9)}</h2>"])
         parts = [(f"<header{rng.choice(['', '', _attr(rng, 'main'), _attr(rng, 'head')])}>{parts[0][0]}{below}</header>", True)]
     for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14])):
         r = rng.random()
@@ -537,8 +537,8 @@ def _page(rng: random.Random) -> str:
 
     top = "".join(mark(_junk(rng, "top"), False) for _ in range(rng.randint(0, 4)))
     end = "".join(mark(_junk(rng, "end"), False) for _ in range(rng.randint(0, 5)))
-    body = "".join(mark(*p) for p in _main(rng))
     wrap = rng.choice(["article", "article", "main", "div", "div", "section", ""])
+    body = "".join(mark(*p) for p in _main(rng, wrap in ("article", "main")))
     if wrap:
         attr = _attr(rng, "main") if wrap in ("div", "section") or rng.random() < 0.3 else ""
         if rng.random() < 0.25:

@@ -305,3 +305,38 @@ def test_pipeline(spark, tmp_path):
         assert abs(taken[s] - t) < 0.02 * t
     final = {(r.doc_id, r.taken) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert final == {(r.doc_id, r.taken) for r in docs.collect()}
+
+
+def test_mixing_by_weights(spark, monkeypatch):
+    """Heavier documents are taken more often; the caller's columns keep their values; no broadcast is needed."""
+    monkeypatch.setattr(mixing, "_BROADCAST_ROWS", 0)
+    rows = [(i, "w " * 10, s, [0.1, 1.0][i % 2], "mine") for k, s in enumerate("stu") for i in range(1000 * k, 1000 * k + 500)]
+    rows += [(9000, "w", None, None, "mine"), (9001, "w", None, float("nan"), "mine"), (9002, "w", None, float("inf"), "mine"), (9003, "w", None, -1.0, "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double, _key string")
+    got = mixing.mix(docs, weight="weight").collect()
+    assert {r._key for r in got} == {"mine"}
+    part = [r for r in got if r.source == "t"]
+    extra = {w: sum(r.taken - min(x.taken for x in part) for r in part if r.weight == w) for w in (0.1, 1.0)}
+    assert extra[1.0] > 1.4 * extra[0.1]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", None, 5, "x"), (1, text, "en", None, 5, "x"), (2, text, None, "s", None, None), (None, text, "en", "s", 1, "y"), (None, None, None, None, None, "z"), (7, "", "en", "s", 0, "e"), (8, "word " * 60_000, "en", "s", 0, "long")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, n_hit string, key string, expected_grade string"
+    docs = spark.createDataFrame([(*r, "kept", "kept", "kept") for r in rows], schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        sizes.append(docs.count())
+        assert all(r.n_hit == r.key == r.expected_grade == "kept" for r in docs.collect())
+    assert sizes[:4] == [7, 7, 4, 4]
+    assert {r.doc_id for r in docs.collect()} <= {1, 8}

@@ -394,3 +394,181 @@ def test_vocabulary_counts(spark):
     encode = tokencounts._encoding(open(path, "rb").read(), tokencounts.PIECES).encode_ordinary  # noqa: SIM115
     got = {r.doc_id: r.n_tokens for r in tokencounts.count_tokens(rows(spark, ODD), path).collect()}
     assert got == {i: len(encode(t)) if t else 0 for i, t in enumerate(ODD)}
+
+
+PAGES = [
+    (
+        '<html><body><header><h1>Site</h1><nav><a href="/">Home</a></nav></header><article><header><h1>Title of the piece</h1><p>A subtitle for it.</p></header>'
+        "<p>This is <a href=1>first</a> and <a href=2>second</a> and also <a href=3>third</a> in prose.</p><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is here, as everybody knows.</p>"
+        "</article><footer>&copy; 2020 Foo. All rights reserved.</footer></body></html>",
+        "Title of the piece\nA subtitle for it.\nThis is first and second and also third in prose.\nEnergy E=m is here, as everybody knows.",
+    ),
+    (
+        "<body><div id=sidebar><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div><div class='content'><h1>Hello</h1><p>Some text goes here, with more words.</p>"
+        "<ul><li>item one is here</li><li>item two is there</li></ul></div><div class='comments'><h3>Comments</h3><div class=comment>Nice post!</div></div>"
+        "<div class=cookie-banner>We use cookies. <button>OK</button></div></body>",
+        "Hello\nSome text goes here, with more words.\nitem one is here\nitem two is there",
+    ),
+    ("<div>5 < 6 and 7 > 3</div><a href=", "5 < 6 and 7 > 3"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PAGES)
+def test_html_by_hand(trees, page, text):
+    assert htmltext.extract(page, trees) == text
+
+
+@pytest.mark.parametrize(
+    "form", ["<a ", "<noscript>", "<", '<a b="x ', "<!-- ", "<p>", "<div>", "<ul><li>", "<!x", "<table><tr><td>", "<script>", '<a =">x<a =\'>', "<a b='\"", "</i>", "<b></i>", "&amp", "<math>"]
+)
+def test_broken_pages_are_parsed_in_linear_time(form):
+    import time
+
+    began = time.time()
+    htmltext.parse("<i><div>" + form * (1_000_000 // len(form)))
+    assert time.time() - began < 20
+
+
+# Toxicity: the decoder and its bounds
+
+
+def every_reading(token):
+    """All plain words that the channel allows, with their costs."""
+    out = {"": 0.0}
+    found = {("", ""): 0.0}
+    for i, c in enumerate(token):
+        run = i and c == token[i - 1] and (token[i + 1 : i + 2] == c or token[i - 2 : i - 1] == c)
+        new = {}
+        for (word, last), cost in found.items():
+            options = [(x, toxicity._SWAP) for x in toxicity.LOOKALIKES.get(c, "")]
+            if c.isalpha():
+                options.append((c, 0.0 if c not in toxicity.LOOKALIKES else toxicity._KEEP))
+            elif c.isdigit():
+                options.append((c, toxicity._KEEP))
+            moves = [((word + x, c), cost + k) for x, k in options]
+            if not c.isalnum():
+                moves.append(((word, last), cost + toxicity._DROP))
+            elif run and last == c:
+                moves.append(((word, last), cost + toxicity._REPEAT))
+            for key, k in moves:
+                new[key] = max(new.get(key, -math.inf), k)
+        found = new or found
+    out = {}
+    for (word, _), cost in found.items():
+        out[word] = max(out.get(word, -math.inf), cost)
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab013@.aaa", min_size=1, max_size=7))
+def test_viterbi_finds_the_best_reading(token):
+    grams = collections.Counter(g for w in ("abba", "baa", "aib", "eab", "aeo", "bbb") for g in toxicity.grams_of(w))
+    model = toxicity.CharModel.of(grams)
+
+    def value(word, cost):
+        padded = "^^^" + word + "$"
+        return cost + sum(model.logp(padded[i : i + 3], padded[i + 3]) for i in range(len(word) + 1))
+
+    readings = every_reading(token)
+    best = max(value(w, c) for w, c in readings.items())
+    got = toxicity.restore(token, model)
+    assert math.isclose(value(got, readings[got]), best, rel_tol=1e-9)
+
+
+def test_long_runs_score_in_linear_time():
+    import time
+
+    grams = {"^^^a": 5, "^^ab": 3, "^abc": 3, "abc$": 2}
+    own = toxicity.Scorer({"abc": (3.0, True)}, 0.0, (1.0, 1.0, 1.0), grams).ready()
+    for sep in " \t.,-_*/@$!|+(&":
+        began = time.time()
+        for text in ("a b c " + sep * 100_000 + "ab", "a" + sep * 100_000 + "a", ("a" + sep) * 50_000, (sep + "1") * 50_000):
+            own.score(text)
+        assert time.time() - began < 10, sep
+
+
+def test_disguised_words_are_learnt(spark):
+    rng = random.Random(4)
+    corpus = toxic_corpus(600, 3)
+    hide = {"gromble": "gr0mble", "vexard": "v.exard", "plunkhead": "plunkkkhead"}
+    texts = [" ".join(hide[w] if w in hide and rng.random() < 0.5 else w for w in t.split()) for t, _ in corpus]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(corpus)], "doc_id long, toxic int")
+    docs = rows(spark, [*texts, None, ""]).union(rows(spark, texts).where("doc_id < 50"))
+    scorer = toxicity.train(docs, labels.union(spark.createDataFrame([(600, 0), (601, 0)], labels.schema)))
+    again = toxicity.train(docs.repartition(3), labels.repartition(2).union(spark.createDataFrame([(600, 0), (601, 0)], labels.schema)))
+    assert scorer.rules == again.rules
+    assert scorer.weights == again.weights
+    assert {"gromble", "vexard", "plunkhead"} <= {r.rstrip("*") for r in scorer.rules} | {w for r in scorer.rules for w in hide if r.endswith("*") and w.startswith(r[:-1])}
+    clash = rows(spark, ["this gromble gromble gromble text", "fine"], "score predicted")
+    kept = toxicity.drop_toxic(clash, scorer)
+    assert kept.columns == clash.columns
+    assert [tuple(r) for r in kept.collect()] == [(1, "fine", "mine", "mine")]
+
+
+# Quality: bounds, ties, slopes
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i} of words") for i in range(300)] + [(2, "same"), (3, "same")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 2)], "doc_id long, grade int")
+    a, b = (quality.train(docs.repartition(k), labels, "grade", max_rows=400, rounds=5) for k in (2, 5))
+    assert a.grades == [1, 2]
+    assert (a.words == b.words).all()
+    assert (a.thresholds == b.thresholds).all()
+    kept = textops.bounded(docs.withColumn("k", F.xxhash64("text")), F.col("k"), 10)
+    assert kept.count() == 10
+    low = quality.drop_low(rows(spark, ["text 1 of words"], "expected_grade tail_probabilities"), a)
+    assert low.columns == ["doc_id", "text", "expected_grade", "tail_probabilities"]
+
+
+def test_likelihood_slopes():
+    rng = np.random.default_rng(5)
+    n, k, width = 12, 4, 7
+    y, sizes = rng.integers(0, k, n), rng.integers(1, 5, n)
+    keys, times, pairs = rng.integers(0, width, sizes.sum()), rng.random(sizes.sum()), rng.random((n, 3))
+    params = [rng.normal(size=width) * 0.1, rng.normal(size=3) * 0.01, rng.normal(size=k - 1) * 0.3]  # far from where likelihoods are floored
+    args = (y, k, np.repeat(np.arange(n), sizes), keys, times, pairs, 0.01)
+    _, slopes = quality.loss_and_slopes(params, *args)
+    for p, slope in zip(params, slopes, strict=True):
+        for i in range(len(p)):
+            up, down = ([q.copy() for q in params] for _ in range(2))
+            at = next(j for j, q in enumerate(params) if q is p)
+            up[at][i] += 1e-6
+            down[at][i] -= 1e-6
+            assert math.isclose((quality.loss_and_slopes(up, *args)[0] - quality.loss_and_slopes(down, *args)[0]) / 2e-6, slope[i], rel_tol=1e-4, abs_tol=1e-6)
+
+
+# Token counts: batch ids, compaction, counts against plain code
+
+
+def test_rollup_ids_and_compaction(spark, tmp_path):
+    rollup = tokencounts.Rollup(spark, str(tmp_path / "rollup"))
+    one = spark.createDataFrame([("a", "en", 3)], "source string, lang string, n_tokens long")
+    for name in ("2024/01", "../x", "", "é%2F ", "batch=1"):
+        assert rollup.commit(name, tokencounts.changes(one, "w"))
+        assert rollup.committed(name)
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "w", 5, 15)]
+    rollup.compact()
+    assert not rollup.commit("2024/01", tokencounts.changes(one, "w"))
+    assert rollup.commit("later", tokencounts.changes(one, "w", -1))
+    rollup.compact()
+    rollup.compact()
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "w", 4, 12)]
+    assert not rollup.commit("later", tokencounts.changes(one, "w"))
+
+
+def test_op2_query(spark, tmp_path):
+    from chunkwright.llm import queries
+
+    texts = [*ODD, *(f"some words {i} " * (i % 7) for i in range(60))]
+    data = [(i if i != 4 else None, t, [None, "s1", "s2"][i % 3], ["en", None][i % 2]) for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = collections.Counter()
+    encode = tokencounts._encoding(open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb").read(), tokencounts.PIECES).encode_ordinary  # noqa: SIM115
+    for _, t, s, lang in data:
+        for name, n in (("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))), ("byte_bpe_50k", len(encode(t or "")))):
+            want[s, lang, name, "docs"] += 1
+            want[s, lang, name, "tokens"] += n
+    got = queries.op2_token_counts(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) / 2
+    assert all((r.n_docs, r.n_tokens) == (want[r.source, r.lang, r.tokenizer, "docs"], want[r.source, r.lang, r.tokenizer, "tokens"]) for r in got)
