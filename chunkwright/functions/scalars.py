@@ -25,10 +25,6 @@ def chunk_offset(index: Column, chunk: int) -> Column:
     return index.cast("long") * chunk
 
 
-def chunk_length(size: Column, index: Column, chunk: int) -> Column:
-    return F.least(F.lit(chunk).cast("long"), size - chunk_offset(index, chunk))
-
-
 def is_last_chunk(offset: Column, size: Column, total: Column) -> Column:
     return offset + size >= total
 
