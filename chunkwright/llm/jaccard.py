@@ -49,7 +49,7 @@ BAND, SPARE = 1.35, 2
 #: Groups of so many sets at most give all their pairs; larger ones a few for each component.
 SMALL, NEAREST = 32, 32
 #: Members of a group in one cell, nodes in one row, and signatures in one range, each about.
-CELL, ROW_NODES, RANGE_SIGNATURES = 2048, 4096, 4_000_000
+CELL, ROW_NODES, RANGE_SIGNATURES = 4096, 4096, 4_000_000
 #: Pairs that are few enough to broadcast (16 bytes each).
 _BROADCAST_PAIRS = 250_000
 _C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -467,7 +467,12 @@ def _clusters(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame
         return placed.join(_every_cell(torn), ["g", "cell"]).join(facts.select("node", "size"), "node")
 
     def dealt(members: DataFrame) -> DataFrame:
-        """Members of large groups in cells (g, i, j, members): those outside the largest component, slice by slice, with each other and with its slices."""
+        """Members of large groups in cells (g, i, j, members): those outside the largest component, slice by slice, with each other and with its slices.
+
+        A group that fits one cell is one, and none of its members is copied.
+        """
+        whole = members.where(F.col("n") <= CELL).select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", F.lit(0).alias("side"), "size", "sketch", "failed")
+        members = members.where(F.col("n") > CELL)
         count = members.groupBy("g", "n", "root").agg(F.count("*").alias("c"))
         main = count.groupBy("g", "n").agg(F.max(F.struct("c", "root")).alias("m")).select("g", "n", F.col("m.root").alias("main"), _cells(F.col("m.c")).alias("mains"), _cells(F.col("n") - F.col("m.c")).alias("rests"))
         rows = members.drop("n").join(_every_cell(main), ["g", "cell"])
@@ -478,7 +483,8 @@ def _clusters(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame
         mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(F.col("own").alias("i"), (-1 - j).alias("j")))
         as_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("own")).alias("j")))
         rows = rows.withColumn("at", F.explode(F.when(F.col("side") == 1, as_main).otherwise(F.concat(others, mains))))
-        return rows.groupBy("g", "at.i", "at.j").agg(F.collect_list(F.struct("node", "root", "side", "size", "sketch", "failed")).alias("members"))
+        rows = rows.select("g", "at.i", "at.j", "node", "root", "side", "size", "sketch", "failed").union(whole)
+        return rows.groupBy("g", "i", "j").agg(F.collect_list(F.struct("node", "root", "side", "size", "sketch", "failed")).alias("members"))
 
     def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         for x in "ab":
