@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chunkwright.functions import scalars as X
 
 CHUNK = 65_536
+Chunker = Callable[[DataFrame], DataFrame]
 
 
 def sha256(content: Column) -> Column:
@@ -30,6 +31,19 @@ def chunks_of(files: DataFrame, content: Column, keys: list[str], *, chunk: int
     return out if keep_content else out.drop("content")
 
 
+def fixed_size(chunk: int = CHUNK) -> Chunker:
+    """A chunker gives each row with a ``_body`` one row a piece: its number ``k`` from 0 and its bytes ``content``, in order and
+    without gaps. An empty or null body gives one row whose content is null. This one cuts pieces of ``chunk`` bytes."""
+
+    def cut(rows: DataFrame) -> DataFrame:
+        empty = F.coalesce(F.octet_length("_body"), F.lit(0)) == 0
+        n = F.when(empty, 1).otherwise(X.chunk_count(F.octet_length("_body"), chunk)).cast("int")
+        piece = F.when(~empty, F.substring(F.col("_body"), F.col("k") * chunk + 1, F.lit(chunk)))
+        return rows.withColumn("k", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("content", piece)
+
+    return cut
+
+
 def file_hashes(files: DataFrame, content: Column, keys: list[str], *, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     return files.select(*keys, F.octet_length(content).cast("long").alias("size"), digest(content).alias("file_hash"))
 

@@ -601,8 +601,8 @@ def stream_counters(spark, sf):
     return _finished(spark, transfers.running_counters(stream_source(spark, sf)), "complete")
 
 
-def _finished(spark, stream, mode):
-    """The rows of a stream over all that is there now."""
+def _finished(spark, stream, mode, keys=()):
+    """The rows of a stream over all that is there now: in update mode the last of each key, in append mode all."""
     home = _home(spark, "stream")
 
     def keep(batch, number: int) -> None:
@@ -610,6 +610,11 @@ def _finished(spark, stream, mode):
 
     stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     found = spark.read.parquet(f"{home}/batch=*")
+    if mode == "append":
+        return found
+    if mode == "update":
+        batch = F.regexp_extract("_metadata.file_path", "batch=([0-9]+)", 1)
+        return found.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in found.columns if c not in keys)), batch).alias("_r")).select(*keys, "_r.*")
     last = found.select(F.max(F.regexp_extract("_metadata.file_path", "batch=([0-9]+)", 1)).alias("b")).first().b
     return spark.read.parquet(f"{home}/batch={last}")
 
@@ -740,3 +745,85 @@ def snapshots_of_last_days(spark, sf):
 @query("runs", "SELECT name, count(*) AS n FROM runs WHERE contains(lower(name), 'run') GROUP BY 1")
 def benchmark_name_contains(spark, sf):
     return metrics.named_like(_runs(spark, sf), "RUN").groupBy("name").agg(F.count("*").alias("n"))
+
+
+# Streams of transfers
+
+
+@query(
+    "transfers",
+    """, r AS (SELECT *, row_number() OVER (PARTITION BY transfer_id ORDER BY ts, event_id) AS k FROM transfers),
+e AS (SELECT *, min(k) FILTER (state IN ('COMPLETED', 'FAILED', 'CANCELLED')) OVER (PARTITION BY transfer_id) AS stop, min(k) FILTER (state = 'IN_PROGRESS') OVER (PARTITION BY transfer_id) AS begun FROM r),
+a AS (SELECT *, state IS NOT NULL AND k <= coalesce(stop, k) AND NOT (state = 'PENDING' AND k > coalesce(begun, k)) AS applied FROM e)
+SELECT transfer_id, coalesce(arg_max(state, k) FILTER (applied), 'PENDING') AS state, coalesce(sum(bytes) FILTER (applied), 0)::BIGINT AS bytes, count(*) FILTER (applied) AS n_applied FROM a GROUP BY 1""",
+)
+def stream_transfer_states(spark, sf):
+    """The state machine of each transfer: events that may not follow its state are passed over."""
+    from chunkwright.streaming import transfers
+
+    return _finished(spark, transfers.states(stream_source(spark, sf)), "update", ["transfer_id"])
+
+
+@query("transfers", "SELECT DISTINCT transfer_id, bytes // 1024 AS chunk FROM transfers")
+def stream_acknowledged_once(spark, sf):
+    """Acknowledgements of a chunk of a transfer, each once."""
+    from chunkwright.streaming import transfers
+
+    acks = stream_source(spark, sf).select("transfer_id", F.expr("bytes div 1024").alias("offset"), "ts", (F.col("state") != "FAILED").alias("ok"))
+    return _finished(spark, transfers.acknowledged_once(acks).select("transfer_id", F.col("offset").alias("chunk")), "append")
+
+
+@query("transfers", "SELECT strftime(ts, '%Y-%m-%d') AS day, state, count(*) AS n_messages, sum(bytes)::BIGINT AS n_bytes FROM transfers GROUP BY 1, 2")
+def stream_daily_counters(spark, sf):
+    """Messages and bytes by window of a day, with a watermark."""
+    from chunkwright.streaming import transfers
+
+    counters = transfers.windowed_counters(stream_source(spark, sf))
+    return _finished(spark, counters.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "state", "n_messages", "n_bytes"), "update", ["day", "state"])
+
+
+# More through the store
+
+
+@query("files", "SELECT path, size, file_hash FROM files WHERE snapshot_id = 's2'")
+def store_restore_and_scan(spark, sf):
+    """Files restored from the store to a directory, which is then scanned and read in ranges. The shared folder must be a mounted one."""
+    from chunkwright.operators.chunking import hash_ranges
+    from chunkwright.sources import restore
+
+    store = _stored(spark, sf)
+    target = _home(spark, "tree").removeprefix("file:")
+    restore.restore(store, "s2", target)
+    rows = fsscan.scan(spark, target)
+    hashes = hash_ranges(fsscan.contents(rows, target, range_bytes=2 * T.K).withColumnRenamed("path", "file_id"))
+    return rows.join(hashes.withColumnRenamed("file_id", "path"), "path").select(F.concat(F.lit("/"), "path").alias("path"), "size", "file_hash")
+
+
+@query("files file_chunks", "SELECT DISTINCT chunk_hash AS hash, chunk_hash LIKE 'a%' AS touched FROM file_chunks WHERE file_id LIKE 's2:%'")
+def store_touch(spark, sf):
+    store = _stored(spark, sf)
+    store.touch(store.table("chunks").where("hash like 'a%'").select("hash"))
+    return store.table("chunks").select("hash", (F.col("last_accessed") > F.col("first_seen")).alias("touched"))
+
+
+@query("files file_chunks", "SELECT chunk_hash AS hash, max(chunk_size)::BIGINT AS size FROM file_chunks WHERE file_id LIKE 's2:%' GROUP BY 1")
+def store_repair(spark, sf):
+    """Chunk rows that were lost come back from their blobs."""
+    store = _stored(spark, sf)
+    store.commit(replaced={"chunks": store.table("chunks").where("hash not like 'a%'")})
+    store.repair()
+    return store.table("chunks").select("hash", "size")
+
+
+@query("files file_chunks", "SELECT chunk_hash AS hash, max(chunk_size)::BIGINT AS size, true AS sound FROM file_chunks WHERE file_id LIKE 's2:%' GROUP BY 1 ORDER BY 1 LIMIT 1")
+def store_chunk_by_hash(spark, sf):
+    store = _stored(spark, sf)
+    least = store.table("chunks").agg(F.min("hash")).first()[0]
+    return store.get(least).select("hash", F.octet_length("content").cast("long").alias("size"), "sound")
+
+
+@query("files file_chunks", "SELECT chunk_hash AS hash, max(chunk_size)::BIGINT AS size FROM file_chunks WHERE file_id LIKE 's2:%' GROUP BY 1 ORDER BY 1 OFFSET 1")
+def store_delete_chunk(spark, sf):
+    store = _stored(spark, sf)
+    store.delete_chunk(store.table("chunks").agg(F.min("hash")).first()[0])
+    return store.table("blobs").select("hash", F.octet_length("content").cast("long").alias("size"))

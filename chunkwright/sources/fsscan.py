@@ -8,11 +8,14 @@ real path is its own ancestor, gives a row with ``error`` and the scan goes on.
 
 from __future__ import annotations
 
+import base64
 import os
+import pickle
 import re
 import stat
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from chunkwright.functions.globs import selected
 
+#: What a visitor may answer: enter a directory or give a row, leave out this entry or subtree, end the scan before it.
+CONTINUE, SKIP, STOP = "continue", "skip", "stop"
 SCHEMA = (
     "path string, size long, modified_ms long, is_regular boolean, is_symlink boolean, link_target string, real_path string, "
     "allocated long, depth int, error string"
@@ -39,6 +44,7 @@ class _Reader(DataSourceReader):
         self.tasks = int(options.get("tasks", "32"))
         self.hidden = options.get("hidden", "true").lower() == "true"
         self.prune = re.compile(options["prune"]) if options.get("prune") else None
+        self.visit = pickle.loads(base64.b64decode(options["visit"])) if options.get("visit") else lambda path, directory: CONTINUE
 
     def enters(self, rel: str) -> bool:
         """False for a directory whose whole subtree is skipped."""
@@ -59,13 +65,21 @@ class _Reader(DataSourceReader):
                 to = os.stat(full) if link else own
                 real = os.path.realpath(full)
                 if stat.S_ISDIR(to.st_mode) and (not link or self.follow):
-                    if not self.enters(rel):
+                    answer = self.visit(rel, True)
+                    if answer == STOP:
+                        return
+                    if answer == SKIP or not self.enters(rel):
                         continue
                     if real in above:
                         raise OSError(f"cycle: {real}")
                     if depth < self.depth:
                         work += [(os.path.join(rel, n), depth + 1, (*above, real)) for n in sorted(os.listdir(full), reverse=True)]
                     continue
+                answer = self.visit(rel, False)
+                if answer == STOP:
+                    return
+                if answer == SKIP:
+                    continue
                 yield (rel, to.st_size, to.st_mtime_ns // 1_000_000, stat.S_ISREG(to.st_mode), link, os.readlink(full) if link else None, real, to.st_blocks * 512, depth, None)
             except OSError as e:
                 yield (rel, None, None, False, os.path.islink(full), None, None, None, depth, str(e))
@@ -85,13 +99,19 @@ class FsScan(DataSource):
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
-def scan(spark: SparkSession, root: str, *, links: str = "SKIP", max_depth: int | None = None, tasks: int = 32, hidden: bool = True, prune: str | None = None) -> DataFrame:
-    """All entries but directories. ``links``: SKIP, RECORD, or FOLLOW (each real file behind links once)."""
+def scan(spark: SparkSession, root: str, *, links: str = "SKIP", max_depth: int | None = None, tasks: int = 32, hidden: bool = True, prune: str | None = None, visit: Callable[[str, bool], str] | None = None) -> DataFrame:
+    """All entries but directories. ``links``: SKIP, RECORD, or FOLLOW (each real file behind links once).
+
+    ``visit`` answers CONTINUE, SKIP or STOP for each path (and whether it is a directory), in path order within a directory; as STOP ends
+    the whole scan, one task then walks the tree. Without STOP, ``prune`` does the same in many tasks.
+    """
     spark.dataSource.register(FsScan)
-    reader = spark.read.format("fsscan").option("path", root).option("tasks", tasks).option("followLinks", links == "FOLLOW")
+    reader = spark.read.format("fsscan").option("path", root).option("tasks", 1 if visit else tasks).option("followLinks", links == "FOLLOW")
     reader = reader.option("hidden", hidden)
     if prune is not None:
         reader = reader.option("prune", prune)
+    if visit is not None:
+        reader = reader.option("visit", base64.b64encode(CloudPickleSerializer().dumps(visit)).decode())
     if max_depth is not None:
         reader = reader.option("maxDepth", max_depth)
     return with_links(reader.load(), links)

@@ -90,9 +90,7 @@ def restore(store: Store, snapshot: str, target: str, *, overwrite: bool = False
             done.append(close(now))
         yield pd.DataFrame(done, columns=["path", "status", "n_bytes"])
 
-    kept = f"{store.path}/_restored/{uuid.uuid4().hex}"
-    ordered.mapInPandas(run, STATUS).write.parquet(kept)
-    return store.spark.read.schema(STATUS).parquet(kept)
+    return store._stage(ordered.mapInPandas(run, STATUS), "_restored")[0]
 
 
 def totals(status: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwright.operators import model, snapshots, verify
-from chunkwright.operators.chunking import CHUNK, hash_ranges, sha256
+from chunkwright.operators.chunking import CHUNK, Chunker, fixed_size, hash_ranges, sha256
 
 
 class Store:
@@ -112,6 +112,12 @@ class Store:
                 now[name] = [*now.get(name, []), folder] if kind == "a" else [folder]
         self._publish(number, now)
 
+    def _stage(self, rows: DataFrame, home: str = "_staged") -> tuple[DataFrame, str | None]:
+        """The rows written aside, and the folder where they are."""
+        aside = f"{self.path}/{home}/{uuid.uuid4().hex}"
+        rows.write.parquet(aside)
+        return self.spark.read.schema(rows.schema).parquet(aside), aside
+
     # Content
 
     def put(self, chunks: DataFrame) -> None:
@@ -161,42 +167,40 @@ class Store:
 
     # Snapshots
 
-    def ingest(self, name: str, bodies: DataFrame, content: Column | str = "content", *, chunk: int = CHUNK, description: str | None = None, digest: Callable[[Column], Column] = sha256, range_bytes: int | None = None, base: str | None = None) -> None:
+    def ingest(self, name: str, bodies: DataFrame, content: Column | str = "content", *, chunk: int = CHUNK, description: str | None = None, digest: Callable[[Column], Column] = sha256, chunker: Chunker | None = None, range_bytes: int | None = None, base: str | None = None) -> None:
         """A new snapshot of ``bodies`` (path, modified_time, content). Name and snapshot id are the same.
 
         With ``range_bytes``, a multiple of ``chunk``, a file may come in ranges of that size, numbered by
         ``chunk_order``, so that no row holds a large file; the file's hash is then streamed over its chunks in
         order. ``base`` names an earlier snapshot whose unchanged files (``carry`` true in ``bodies``, content null) keep
         their hashes and chunk lists without being read. The source is read once: chunks are written aside,
-        and every table comes from there.
+        and every table comes from there. Another ``chunker`` than that of fixed sizes needs whole files.
         """
         if not name or not name.strip():
             raise ValueError("a snapshot needs a name")
         if not snapshots.find(self.table("snapshots"), "name", name).isEmpty():
             raise ValueError(f"snapshot {name!r} exists")
+        if chunker is not None and range_bytes is not None:
+            raise ValueError("a chunker of your own needs whole files, not ranges")
         if range_bytes is not None and (range_bytes <= 0 or range_bytes % chunk):
             raise ValueError("a range must be a multiple of the chunk size")
         body = F.col(content) if isinstance(content, str) else content
         number = F.col("chunk_order").cast("long") if "chunk_order" in bodies.columns else F.lit(0).cast("long")
         carry = F.coalesce(F.col("carry"), F.lit(False)) if "carry" in bodies.columns else F.lit(False)
         rows = bodies.select(F.concat_ws(":", F.lit(name), "path").alias("id"), "path", "modified_time", number.alias("_range"), carry.alias("carry"), body.alias("_body"))
-        empty = F.coalesce(F.octet_length("_body"), F.lit(0)) == 0
-        n = F.when(empty, 1).otherwise(F.ceil(F.octet_length("_body") / F.lit(chunk))).cast("int")
-        rows = rows.withColumn("whole_hash", F.when(~F.col("carry"), digest(F.coalesce("_body", F.lit(b"").cast("binary"))))).withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
-        piece = F.when(~empty, F.substring(F.col("_body"), F.col("k") * chunk + 1, F.lit(chunk)))
+        rows = rows.withColumn("whole_hash", F.when(~F.col("carry"), digest(F.coalesce("_body", F.lit(b"").cast("binary"))))).transform(chunker or fixed_size(chunk))
         first = (F.col("_range") * ((range_bytes or chunk) // chunk)).cast("int")
-        rows = rows.select("id", "path", "modified_time", "carry", "whole_hash", "_range", (first + F.col("k")).alias("chunk_order"), piece.alias("content"))
+        rows = rows.select("id", "path", "modified_time", "carry", "whole_hash", "_range", (first + F.col("k")).alias("chunk_order"), "content")
         rows = rows.withColumns({"chunk_size": F.octet_length("content").cast("int"), "chunk_hash": F.when(F.col("content").isNotNull(), digest(F.col("content")))})
-        aside = f"{self.path}/_staged/{uuid.uuid4().hex}"
-        rows.write.parquet(aside)
-        staged = self.spark.read.schema(rows.schema).parquet(aside)
+        staged, aside = self._stage(rows)
         try:
             if not staged.groupBy("id", "chunk_order").count().where("count > 1").isEmpty():
                 raise ValueError("a path, or a range of one, comes more than once")
             self._ingest_staged(name, staged, description, base)
         finally:
-            fs, place = self._fs()
-            fs.delete(place(aside), True)
+            if aside:
+                fs, place = self._fs()
+                fs.delete(place(aside), True)
 
     def _ingest_staged(self, name: str, staged: DataFrame, description: str | None, base: str | None) -> None:
         by_file = staged.where("not carry").groupBy("id", "path").agg(F.max("modified_time").alias("modified_time"), F.coalesce(F.sum("chunk_size"), F.lit(0)).cast("long").alias("size"), F.max("_range").alias("_ranges"), F.max("whole_hash").alias("whole_hash"))

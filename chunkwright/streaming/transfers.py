@@ -35,7 +35,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     for to, size in zip(rows["state"], rows["bytes"], strict=True):
         if to in NEXT.get(now, ()):
             now = to
-            total += int(size or 0)
+            total += 0 if pd.isna(size) else int(size)
             n += 1
     state.update((now, total, n))
     yield pd.DataFrame([(key[0], now, total, n)], columns=["transfer_id", "state", "bytes", "n_applied"])
