@@ -45,8 +45,8 @@ def format_size(size: Column) -> Column:
 
 
 def format_size_fixed(size: Column) -> Column:
-    """Like ``format_size`` with exactly one decimal and no group marks."""
-    return _scaled(size, lambda v: F.format_string("%.1f", v))
+    """Like ``format_size`` with exactly one decimal, ties to the even digit, and no group marks."""
+    return _scaled(size, lambda v: F.bround(v.cast("decimal(38,18)"), 1).cast("string"))
 
 
 def truncate(text: Column, n: int) -> Column:

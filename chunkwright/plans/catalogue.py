@@ -438,7 +438,7 @@ def message_validity(spark, sf):
 FROM (SELECT o_orderkey, (o_totalprice * o_totalprice / 16)::BIGINT AS b FROM orders)""",
 )
 def format_sizes(spark, sf):
-    size = F.round(F.col("o_totalprice") * F.col("o_totalprice") / 16).cast("long")
+    size = F.rint(F.col("o_totalprice") * F.col("o_totalprice") / 16).cast("long")
     return T.read(spark, sf, "orders").select("o_orderkey", X.format_size_fixed(size).alias("fixed"))
 
 

@@ -21,6 +21,12 @@ def test_format_size(spark, size, text):
     assert one(spark, X.format_size(F.lit(size)))[0] == text
 
 
+def test_format_size_fixed_ties(spark):
+    """One decimal of exact ties as SQL's printf has it: the even digit."""
+    sizes = {268544: "262.2 KB", 268800: "262.5 KB", 321126400: "306.2 MB", 6710886400: "6.2 GB", 1024: "1.0 KB", 1792: "1.8 KB", 1023: "1023 B", 10**15: "931322.6 GB"}
+    assert {n: one(spark, X.format_size_fixed(F.lit(n)))[0] for n in sizes} == sizes
+
+
 @pytest.mark.parametrize(("s", "text"), [(0, "0s"), (59, "59s"), (61, "1m 1s"), (3600, "1h 0m 0s"), (93784, "1d 2h 3m 4s")])
 def test_uptime(spark, s, text):
     assert one(spark, X.format_uptime(F.lit(s)))[0] == text
