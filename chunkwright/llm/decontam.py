@@ -20,6 +20,7 @@ An empty benchmark hits nothing; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from chunkwright.llm.textops import ASCII_LOWER, fresh, hashed_words, mix, relea
 #: Everything below 0x80 but letters and digits separates words.
 _WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in ASCII_LOWER)
 
-#: Blocks whose steps run in one stage.
+#: Blocks that one step holds.
 _STEPS = 2
 #: Most slots of a block's first filter (a byte each), and automata that a task keeps.
 _SLOTS, _KEPT = 1 << 24, 512
@@ -269,42 +270,51 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, max_bl
     """Adds ``ADDED`` to each row of ``docs`` (column ``text``), under ``names``.
 
     Test items are read in blocks of at most ``max_block_bytes`` (one longer item makes a
-    block of its own); each block is shipped with its own narrow step over the documents, and
-    after a few blocks the rows are written and read again. So what a task
+    block of its own); a few blocks are shipped with one narrow step over the documents, and
+    between such steps the rows are written and read again. So what a task
     holds does not grow with the benchmark. ``item_ids`` are the sorted ids, as strings, of items with an
     occurring window.
     """
+    return _scanned(docs, benchmark, window, max_block_bytes, names or ADDED.names)
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, max_block_bytes: int, names: list[str], finish=None) -> DataFrame:
+    """``find_hits``; ``finish`` turns each table with its hits into rows of ``docs``, in the step of the last blocks."""
     small_batches(docs.sparkSession)
-    names = names or ADDED.names
     out = docs.drop(*names)
     added = [T.StructField(name, f.dataType) for name, f in zip(names, ADDED.fields, strict=True)]
     schema = T.StructType([*out.schema.fields, *added])
-    for k, items in enumerate(_blocks(benchmark, max_block_bytes)):
-        if k and not k % _STEPS:
+    blocks = _blocks(benchmark, max_block_bytes)
+    step, first = list(islice(blocks, _STEPS)), True
+    while step:
+        after = list(islice(blocks, 1))
+        last = finish if not after else None
+        out = out.mapInArrow(released(_scanner(step, window, names, first, last)), docs.schema if last else schema)
+        if after:
             out = stored(out, "decontam")
-        out = out.mapInArrow(released(_scanner(items, window, names, not k)), schema)
+        step, first = after + list(islice(blocks, _STEPS - 1 if after else 0)), False
     return out
 
 
-def _scanner(items: list[tuple[str, bytes]], window: int, names: list[str], first: bool):
+def _scanner(step: list[list[tuple[str, bytes]]], window: int, names: list[str], first: bool, finish=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(items, window)
+        blocks = [Block(items, window) for items in step]
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            counts, hits, spans, ids = [], [], [], []
-            before = [] if first else table.select(names[2:]).to_pylist()
-            for k, (n, span, found) in enumerate(block.scan(utf8(table.column("text")))):
-                if not first and before[k][names[2]]:
-                    span = _merge(span, before[k][names[2]])
-                    found = found | {*before[k][names[3]]}
-                counts.append(n)
-                hits.append(sum(e - s for s, e in span))
-                spans.append(span)
-                ids.append(sorted(found))
+            texts = utf8(table.column("text"))
+            before = [(r[names[2]], {*r[names[3]]}) for r in table.select(names[2:]).to_pylist()] if not first else [([], set())] * len(texts)
+            for block in blocks:
+                counts, found = [], []
+                for (old, had), (n, span, own) in zip(before, block.scan(texts), strict=True):
+                    counts.append(n)
+                    found.append((_merge(span, old) if old else span, own | had))
+                before = found
+            hits = [sum(e - s for s, e in span) for span, _ in before]
             table = table.select([c for c in table.column_names if c not in names])
-            for name, values, kind in zip(names, (counts, hits, spans, ids), (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())), strict=True):
+            columns = (counts, hits, [span for span, _ in before], [sorted(ids) for _, ids in before])
+            for name, values, kind in zip(names, columns, (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())), strict=True):
                 table = table.append_column(name, pa.array(values, kind))
-            yield from table.to_batches()
+            yield from (finish(table) if finish else table).to_batches()
 
     return run
 
@@ -314,32 +324,31 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words", coverage: fl
     return (F.col(n_hit) > 0) & (F.col(n_hit) >= F.lit(coverage) * F.col(n_words) - 1e-9)
 
 
-def _clean(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float) -> tuple[DataFrame, str]:
-    names = [fresh(docs, n) for n in ADDED.names]
-    hits = find_hits(docs, benchmark, window=window, names=names)
-    return hits.where(~is_contaminated(names[1], names[0], coverage)), names[2]
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, coverage: float = 0.05) -> DataFrame:
     """Drops the contaminated rows of ``docs``; the others come out unchanged."""
-    return _clean(docs, benchmark, window, coverage)[0].select(docs.columns)
+    names = [fresh(docs, n) for n in ADDED.names]
+    hits = find_hits(docs, benchmark, window=window, names=names)
+    return hits.where(~is_contaminated(names[1], names[0], coverage)).select(docs.columns)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, coverage: float = 0.05) -> DataFrame:
-    """Drops contaminated rows and cuts the hit spans, separators included, from the texts of the others."""
-    kept, hit = _clean(docs, benchmark, window, coverage)
-    names = docs.columns
+def remove_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, coverage: float = 0.05, max_block_bytes: int = 8 << 20) -> DataFrame:
+    """Drops contaminated rows and cuts the hit spans, separators included, from the texts of the others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            raw, spans = table.column("text").to_pylist(), table.column(hit).to_pylist()
-            texts = [cut(t, s) if s else t for t, s in zip(raw, spans, strict=True)]
+    The step that finds the last spans cuts them too, so that a task needs one Python worker and no text is copied twice.
+    """
+    names, columns = [fresh(docs, n) for n in ADDED.names], docs.columns
+
+    def finish(table: pa.Table) -> pa.Table:
+        n, hit = (table.column(c).to_pylist() for c in names[:2])
+        table = table.filter(pa.array([not (h > 0 and h >= coverage * k - 1e-9) for k, h in zip(n, hit, strict=True)], pa.bool_()))
+        spans = table.column(names[2]).to_pylist()
+        if any(spans):
+            texts = [cut(t, s) if s else t for t, s in zip(table.column("text").to_pylist(), spans, strict=True)]
             at = table.column_names.index("text")
             table = table.set_column(at, "text", pa.array(texts, table.schema.field("text").type))
-            yield from table.select(names).to_batches()
+        return table.select(columns)
 
-    return kept.mapInArrow(released(run), docs.schema)
+    return _scanned(docs, benchmark, window, max_block_bytes, names, finish)
 
 
 def cut(text: str, spans: list[list[int]]) -> str:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 #: Lower-cases A-Z and leaves every other byte alone.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -202,3 +203,13 @@ def tidy(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
+
+
+def relieved(spark: SparkSession) -> None:
+    """Has the executors give back heap that earlier steps have grown and no longer need.
+
+    Their heaps only shrink when all garbage is collected, so what each step needs at most would add up with
+    what the Python workers of the next one hold.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).collect()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwright.llm import decontam, jaccard, mixing, quality, toxicity
-from chunkwright.llm.textops import fresh, stored
+from chunkwright.llm.textops import fresh, relieved, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,23 +33,28 @@ def _training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieved(spark)
     return toxicity.drop_toxic(docs, toxicity.train(docs, _training_labels(spark, sf_dir)))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieved(spark)
     return quality.drop_low(docs, quality.train(docs, _training_labels(spark, sf_dir), "quality"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieved(spark)
     return jaccard.keep_one(docs, n=5, share=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieved(spark)
     return decontam.remove_spans(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Grades come from a model of the whole ``documents``, as rows of low quality are gone here."""
+    relieved(spark)
     model = quality.train(_table(spark, sf_dir, "documents"), _training_labels(spark, sf_dir), "quality")
     grade, tails = fresh(docs, "expected_grade"), fresh(docs, "tail_probabilities")
     graded = quality.add_grades(docs, model, names=(grade, tails)).drop(tails)

@@ -103,6 +103,20 @@ def test_decontamination(spark):
     assert decontam.find_hits(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_spans_go_in_the_step_that_finds_them(spark):
+    rng = random.Random(9)
+    items = [" ".join(rng.choices(LETTERS, k=14)) for _ in range(12)]
+    texts = [" ".join([*rng.choices("pqrst", k=400), items[i % 12], "end"]) for i in range(24)] + [None, "", items[3], "p q"]
+    docs, bench = rows(spark, texts, "n_hit"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    once = decontam.remove_spans(docs, bench)
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = {i: t.replace(items[i % 12] + " ", "") for i, t in enumerate(texts) if t} | {24: None, 25: ""}
+    del want[26]
+    assert {r.doc_id: r.text for r in once.collect()} == want
+    assert {r.doc_id: r.text for r in decontam.remove_spans(docs, bench, max_block_bytes=60).collect()} == want
+    assert once.columns == docs.columns
+
+
 # Toxicity
 
 
