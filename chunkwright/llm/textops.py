@@ -162,6 +162,11 @@ def stored(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(table, most: int = 250_000):
+    """The table (of a few bytes a row), to be broadcast in a join if a count shows that it has at most ``most`` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def bounded(table, key, most: int):
     """At most ``most`` rows of a stored table, those with the least values of ``key`` (a column of distinct hashes)."""
     if table.count() <= most:
@@ -178,6 +183,14 @@ def fresh(df, name: str) -> str:
     return name
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+
 def released(run):
     """A step over Arrow batches that gives freed memory back to the system when its task ends.
 
@@ -186,10 +199,7 @@ def released(run):
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+        trim()
 
     return own
 

@@ -23,7 +23,6 @@ gives an empty result. Extra columns pass through; columns named like the result
 
 from __future__ import annotations
 
-import bisect
 import math
 import re
 import unicodedata
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwright.llm.textops import bounded, fresh, hashed_words, mix, released, small_batches, stored, utf8
+from chunkwright.llm.textops import fresh, hashed_words, mix, released, small, small_batches, stored, utf8
 
 #: What a written character may stand for.
 LOOKALIKES = {
@@ -282,18 +281,30 @@ def features_of(group: str) -> set[str]:
     return {f for w in group.split(_JOINT) for f in features(w)}
 
 
-def _count(rows: DataFrame, of_row, *, at_least: int) -> dict[str, int]:
-    """How many rows (of one column) have each key; summed in each task before the shuffle."""
+#: Keys that a task counts before it hands their counts on.
+_KEYS = 200_000
+
+
+def _counted(rows: DataFrame, add, names: list[str]) -> DataFrame:
+    """Sums by key over all rows: ``add`` puts a row's counts, one for each name, into a dict. Summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: dict[str, list[int]] = {}
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                counts.update(of_row(value))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns, strict=True):
+                add(counts, *row)
+                if len(counts) > _KEYS:
+                    yield packed(counts)
+                    counts = {}
+        yield packed(counts)
 
-    summed = rows.mapInArrow(released(run), "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {r.key: r.n for r in summed.where(F.col("n") >= at_least).collect()}
+    def packed(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        sums = [pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *sums], ["key", *names])
+
+    schema = "key string, " + ", ".join(f"{n} long" for n in names)
+    return rows.mapInArrow(released(run), schema).groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def chance(hits: int, n: int, rate: float) -> float:
@@ -305,63 +316,76 @@ def chance(hits: int, n: int, rate: float) -> float:
     return math.exp(-n * (p * math.log(p / rate) + rest))
 
 
-Row = tuple[bool, int, dict[str, int]]
-
+def rules_of(found: dict[str, tuple[int, int, int, int]], tries: dict[int, int], texts: tuple[int, int], words: tuple[int, int], lift: float, level: float = 0.05) -> dict[str, tuple[float, bool]]:
+    """Rules from counts: ``found`` has of each feature the clean and toxic texts with it and its occurrences in both.
 
-def fit(rows: list[Row], *, able: frozenset[str], support: list[int], lift: float, grams: dict[str, int], level: float = 0.05) -> Scorer:
-    """A scorer from rows of (toxic, words, occurrences of each group of forms).
-
-    A feature gets a rule if its texts are toxic ``lift`` times as often as others (``able`` has those
-    that are), and far more often than chance allows after as many tries as features are in as many
-    toxic texts (``support`` has the number of toxic texts of every feature). Of a word and its
-    beginnings, a shorter one goes where a longer one explains nearly the same toxic texts.
+    A feature gets a rule if its texts are toxic ``lift`` times as often as others, and far more often
+    than chance allows after as many tries as features are in as many toxic texts (``tries``, by the number of
+    toxic texts). Of a word and its beginnings, a shorter one goes where a longer one, whose texts
+    all have the shorter one too, explains nearly the same toxic texts.
     """
-    docs: dict[str, set[int]] = defaultdict(set)
-    times = (Counter(), Counter())
-    for i, (y, _, found) in enumerate(rows):
-        for group, n in found.items():
-            for f in features_of(group) & able:
-                docs[f].add(i)
-                times[y][f] += n
-    toxic = {i for i, row in enumerate(rows) if row[0]}
-    if not toxic or len(toxic) == len(rows):
-        return Scorer({}, 0.0, (0.0, 0.0, 30.0 if toxic else -30.0), grams)
-    share = len(toxic) / len(rows)
-    hits = {f: len(d & toxic) for f, d in docs.items()}
-    support = sorted(support)
-    tries = {k: len(support) - bisect.bisect_left(support, k) for k in set(hits.values())}
-    good = {f for f, d in docs.items() if hits[f] >= lift * share * len(d) and chance(hits[f], len(d), share) * max(tries[hits[f]], 1) < level}
-    longer: dict[str, list[str]] = defaultdict(list)
+    share, upto, more = texts[1] / sum(texts), {}, 0
+    for k in sorted(tries, reverse=True):
+        more += tries[k]
+        upto[k] = more
+    good = {f for f, (clean, toxic, *_) in found.items() if toxic >= lift * share * (clean + toxic) and chance(toxic, clean + toxic, share) * max(upto.get(toxic, 0), 1) < level}
+    longest: dict[str, int] = defaultdict(int)
     for f in good:
         for n in _PREFIXES:
             if len(f.rstrip("*")) > n:
-                longer[f"{f[:n]}*"].append(f)
-    kept = sorted(f for f in good if not any(len(docs[g] & docs[f] & toxic) >= 0.9 * hits[f] for g in longer.get(f, ())))
-    words = [sum(n for y, n, _ in rows if y is side) or 1 for side in (False, True)]
-    odds = words[0] / words[1]
-    rules = {f: (math.log((times[1][f] + 0.5) / (times[0][f] / odds + 0.5 / odds)), (hits[f] + 1) / (len(docs[f]) + 2) >= 0.98) for f in kept}
-    rules = {f: r for f, r in rules.items() if r[0] > 1}
-    probe = Scorer(rules, 0.0, (0.0, 0.0, 0.0), {}).ready()
-    each = []
-    for y, n, found in rows:
-        sums, few = [0.0, 0.0], 0
-        for group, c in found.items():
-            if r := strongest([r for w in group.split(_JOINT) for r in probe.of_word(w)]):
-                sums[r[1]] += c * r[0]
-                few += 0 if r[1] else c
-        each.append((y, n, sums[1], sums[0], few))
-    weak = [(few, n) for y, n, *_, few in each if y and few]
-    rate = sum(c for c, _ in weak) / max(sum(n for _, n in weak), 1)
-    x = np.array([[*combined(strict, s, n, rate), 1.0] for _, n, strict, s, _ in each])
-    y = np.array([float(t) for t, *_ in each])
+                longest[f"{f[:n]}*"] = max(longest[f"{f[:n]}*"], found[f][1])
+    odds, rules = max(words[0], 1) / max(words[1], 1), {}
+    for f in sorted(f for f in good if longest.get(f, 0) < 0.9 * found[f][1]):
+        clean, toxic, t0, t1 = found[f]
+        ratio = math.log((t1 + 0.5) / (t0 / odds + 0.5 / odds))
+        if ratio > 1:
+            rules[f] = (ratio, (toxic + 1) / (clean + toxic + 2) >= 0.98)
+    return rules
+
+
+def _weights(inputs: DataFrame, most: int = 100_000) -> tuple[float, float, float]:
+    """Logistic weights of (y, x1, x2, n rows): Newton's steps with a small penalty over all rows.
+
+    Where a count shows at most ``most`` rows the driver adds them up, else each step is one aggregation. Sums are exact
+    or of decimals, so that their order does not matter.
+    """
+    sums = _sums_of(inputs.toArrow()) if inputs.count() <= most else _sums_by_spark(inputs)
     w = np.zeros(3)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (y - p) - 0.05 * w)
+        found = sums(w)
+        curve = np.zeros((3, 3))
+        curve[np.triu_indices(3)] = found[3:]
+        curve = curve + np.triu(curve, 1).T
+        step = np.linalg.solve(curve + 0.05 * np.eye(3), np.array(found[:3]) - 0.05 * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return Scorer(rules, rate, tuple(map(float, w)), grams)
+    return tuple(map(float, w))
+
+
+def _sums_of(table: pa.Table):
+    y, x1, x2, n = (table.column(c).to_numpy().astype(float) for c in ("y", "x1", "x2", "n"))
+    x = [x1, x2, np.ones(len(y))]
+
+    def sums(w: np.ndarray) -> list[float]:
+        p = 1 / (1 + np.exp(-np.clip(w[0] * x1 + w[1] * x2 + w[2], -30, 30)))
+        terms = [n * (y - p) * c for c in x] + [n * p * (1 - p) * x[i] * x[j] for i in range(3) for j in range(i, 3)]
+        return [math.fsum(t) for t in terms]
+
+    return sums
+
+
+def _sums_by_spark(inputs: DataFrame):
+    x = [F.col("x1"), F.col("x2"), F.lit(1.0)]
+
+    def sums(w: np.ndarray) -> list[float]:
+        z = sum((F.lit(float(k)) * c for k, c in zip(w, x, strict=True)), F.lit(0.0))
+        rows = inputs.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
+        terms = [F.col("n") * (F.col("y") - F.col("p")) * c for c in x]
+        terms += [F.col("n") * F.col("p") * (1 - F.col("p")) * x[i] * x[j] for i in range(3) for j in range(i, 3)]
+        return [float(v or 0) for v in rows.agg(*(F.sum(t.cast("decimal(38,15)")).alias(f"s{k}") for k, t in enumerate(terms))).first()]
+
+    return sums
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,25 +405,42 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.to_batches()
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, support: int = 3, lift: float = 3.0) -> Scorer:
+def _grams(counts: dict[str, list[int]], text: str) -> None:
+    for word in {plain(t) for t in set(text.split())}:
+        if word.isalpha() and len(word) <= LETTERS:
+            for g in grams_of(word):
+                counts.setdefault(g, [0])[0] += 1
+
+
+def _feature_counts(counts: dict[str, list[int]], toxic: bool, groups: list[str], times: list[int]) -> None:
+    seen: set[str] = set()
+    for group, n in zip(groups, times, strict=True):
+        for f in features_of(group):
+            own = counts.setdefault(f, [0, 0, 0, 0])
+            own[2 + toxic] += n
+            if f not in seen:
+                seen.add(f)
+                own[toxic] += 1
+
+
+def train(docs: DataFrame, labels: DataFrame, *, support: int = 3, lift: float = 3.0) -> Scorer:
     """Learns from ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic).
 
-    At most ``max_rows`` labelled rows are used, picked by a hash; that is the one bound, and all
-    that is learnt from them is used. Labels are picked by doc_id first, so that their table is small
-    enough to broadcast, and the rows that they meet are bounded again. Of copies
-    and near copies, found by two min-hashes, one counts. Rows are sorted before the fit, so
-    that reruns agree.
+    All labelled rows are used. Of copies and near copies, found by two min-hashes, one counts. Counts of
+    letters and features, and the steps of the logistic fit, are aggregations over all rows; the driver gets
+    the letter model, the features that are toxic often enough, and sums. These do not depend on the order of
+    rows, so that reruns agree.
     """
-    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = one.count()
-    if n > max_rows:
-        one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(one), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    picked = picked.mapInArrow(_sketched, "text string, toxic int, k0 long, k1 long")
+    small_batches(docs.sparkSession)
+    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(one), "doc_id").select("text", "toxic", F.xxhash64("text").alias("h"))
+    sketched = picked.mapInArrow(released(_sketched), "text string, toxic int, h long, k0 long, k1 long")
+    rows = stored(sketched.withColumn("id", F.monotonically_increasing_id()), "toxicity-rows")
+    kept = rows.drop("text")
     for key in ("k0", "k1"):
-        picked = picked.groupBy(key).agg(F.max_by(F.struct("text", "k0", "k1"), F.struct("toxic", "text")).alias("x"), F.max("toxic").alias("toxic")).select("x.*", "toxic")
-    sample = bounded(stored(picked.select("text", "toxic"), "toxicity-sample"), F.xxhash64("text"), max_rows)
-    grams = _count(sample.select("text"), lambda text: [g for w in {plain(t) for t in set(text.split())} if w.isalpha() and len(w) <= LETTERS for g in grams_of(w)], at_least=2)
+        kept = kept.groupBy(key).agg(F.max_by(F.struct("id", "h", "k0", "k1"), F.struct("toxic", "h", "id")).alias("x"), F.max("toxic").alias("toxic")).select("x.*", "toxic")
+    texts = stored(rows.select("id", "text").join(kept.select("id", "toxic"), "id").select("text", "toxic"), "toxicity-texts")
+    grams = {r.key: r.n for r in _counted(texts.select("text"), _grams, ["n"]).where("n >= 2").collect()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = CharModel.of(grams) if grams else None, {}
@@ -409,33 +450,48 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, support:
                 found.append(forms(text, model, memo))
                 if len(memo) > 100_000:
                     memo.clear()
-            arrays = [pa.array(y > 0 for y in table.column("toxic").to_pylist()), table.column("k").combine_chunks(), pa.array([n for n, _ in found], pa.int64())]
+            arrays = [pa.array(y > 0 for y in table.column("toxic").to_pylist()), pa.array([n for n, _ in found], pa.int64())]
             arrays += [pa.array([list(c) for _, c in found], pa.list_(pa.string())), pa.array([list(c.values()) for _, c in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["toxic", "k", "size", "names", "times"])
-
-    rows = "toxic boolean, k long, size long, names array<string>, times array<long>"
-    decoded = stored(sample.select("text", "toxic", F.xxhash64("text").alias("k")).mapInArrow(released(decode), rows), "toxicity-decoded")
-
-    def of_row(groups: list[str]) -> set[str]:
-        return {f for g in groups for f in features_of(g)}
-
-    hits = _count(decoded.where("toxic").select("names"), of_row, at_least=support)
-    names = frozenset(hits)
-    clean = _count(decoded.where("not toxic").select("names"), lambda groups: of_row(groups) & names, at_least=1)
-    size = decoded.agg(F.count("*").alias("n"), F.count_if("toxic").alias("toxic")).first()
-    share = (size.toxic or 0) / max(size.n, 1)
-    able = frozenset(f for f, n in hits.items() if n >= lift * share * (n + clean.get(f, 0)))
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays(arrays, ["toxic", "size", "names", "times"])
+
+    decoded = stored(texts.mapInArrow(released(decode), "toxic boolean, size long, names array<string>, times array<long>"), "toxicity-decoded")
+    sizes = {r.toxic: (r.n, r["size"]) for r in decoded.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+    of_texts, of_words = zip(*(sizes.get(y, (0, 0)) for y in (False, True)), strict=True)
+    if not all(of_texts):
+        return Scorer({}, 0.0, (0.0, 0.0, 30.0 if of_texts[1] else -30.0), grams)
+    counts = _counted(decoded.select("toxic", "names", "times"), _feature_counts, ["clean", "toxic", "t0", "t1"]).where(F.col("toxic") >= support)
+    counts = stored(counts, "toxicity-features")
+    tries = {r.toxic: r["count"] for r in counts.groupBy("toxic").count().collect()}
+    able = counts.where(F.col("toxic") >= lift * of_texts[1] / sum(of_texts) * (F.col("clean") + F.col("toxic"))).collect()
+    rules = rules_of({r.key: (r.clean, r.toxic, r.t0, r.t1) for r in able}, tries, of_texts, of_words, lift)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probe, known = Scorer(rules, 0.0, (0.0, 0.0, 0.0), {}).ready(), {}
         for batch in batches:
-            table, pairs = pa.Table.from_batches([batch]), []
-            for groups, times in zip(table.column("names").to_pylist(), table.column("times").to_pylist(), strict=True):
-                pairs.append([(g, c) for g, c in zip(groups, times, strict=True) if not able.isdisjoint(features_of(g))])
-            table = table.select(["toxic", "k", "size"]).append_column("names", pa.array([[g for g, _ in p] for p in pairs], pa.list_(pa.string())))
-            yield from table.append_column("times", pa.array([[c for _, c in p] for p in pairs], pa.list_(pa.int64()))).to_batches()
-
-    found = sorted(decoded.mapInArrow(released(kept), rows).collect(), key=lambda r: (r.k, r["size"], r.names))
-    return fit([(r.toxic, r["size"], dict(zip(r.names, r.times, strict=True))) for r in found], able=able, support=list(hits.values()), lift=lift, grams=grams)
+            strict, weak, few = [], [], []
+            for groups, times in zip(batch.column("names").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                sums, n = [0.0, 0.0], 0
+                for group, c in zip(groups, times, strict=True):
+                    if group not in known:
+                        known[group] = strongest([r for w in group.split(_JOINT) for r in probe.of_word(w)])
+                    if r := known[group]:
+                        sums[r[1]] += c * r[0]
+                        n += 0 if r[1] else c
+                strict.append(sums[1])
+                weak.append(sums[0])
+                few.append(n)
+                if len(known) > 100_000:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("size"), pa.array(strict, pa.float64()), pa.array(weak, pa.float64()), pa.array(few, pa.int64())], ["toxic", "size", "strict", "weak", "few"])
+
+    each = stored(decoded.mapInArrow(released(evidence), "toxic boolean, size long, strict double, weak double, few long"), "toxicity-evidence")
+    used = each.where("toxic and few > 0").agg(F.sum("few").alias("few"), F.sum("size").alias("size")).first()
+    rate = (used.few or 0) / max(used["size"] or 0, 1)
+    over = F.col("weak") - rate * F.col("size")
+    soft = F.when(over > 0, 30 * over / (30 + F.abs(over))).otherwise(10 * over / (10 + F.abs(over)))
+    inputs = each.select(F.col("toxic").cast("double").alias("y"), (20 * F.col("strict") / (20 + F.col("strict"))).alias("x1"), F.when(F.col("weak") == 0, -5.0).otherwise(soft).alias("x2"))
+    weights = _weights(stored(inputs.groupBy("y", "x1", "x2").agg(F.count("*").alias("n")), "toxicity-inputs"))
+    return Scorer(rules, rate, weights, grams)
 
 
 def add_scores(docs: DataFrame, scorer: Scorer, *, threshold: float = 0.7, score: str = "score", predicted: str = "predicted") -> DataFrame:

@@ -519,9 +519,49 @@ def test_disguised_words_are_learnt(spark):
     assert [tuple(r) for r in kept.collect()] == [(1, "fine", "mine", "mine")]
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """A word of the few toxic rows among more than 8,000 is learnt from all of them; counts in small parts are the same."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("aeioulnrst", k=6)) for _ in range(300)]
+    texts = [" ".join([*rng.choices(words, k=8), *(["zqualm"] if i % 1700 == 0 else [])]) for i in range(17_000)]
+    labels = spark.createDataFrame([(i, int(i % 1700 == 0)) for i in range(17_000)], "doc_id long, toxic int")
+    scorer = toxicity.train(rows(spark, texts), labels)
+    ratio = math.log(10.5 / (0.5 / ((16_990 * 8) / (10 * 9))))
+    assert any(math.isclose(r[0], ratio, rel_tol=0.02) for f, r in scorer.rules.items() if f.startswith("zqu"))
+    counts = toxicity._counted(rows(spark, texts[:300]).select("text"), toxicity._grams, ["n"])
+    want = {r.key: r.n for r in counts.collect()}
+    assert want["zqua"] == sum("zqualm" in t for t in texts[:300])
+    few = toxicity._counted(rows(spark, texts[:300]).repartition(1).select("text"), toxicity._grams, ["n"])
+    assert {r.key: r.n for r in few.collect()} == want
+
+
+def test_logistic_steps_agree(spark):
+    rng = random.Random(3)
+    points = [(float(y), y * rng.random() * 9, rng.gauss(3 * y - 2, 2), rng.randint(1, 4)) for y in (0, 1) for _ in range(40)]
+    inputs = spark.createDataFrame(points, "y double, x1 double, x2 double, n long")
+    a, b = (toxicity._weights(inputs, most=k) for k in (100, 10))
+    assert np.allclose(a, b, rtol=1e-8)
+    x = np.array([[p[1], p[2], 1.0] for p in points])
+    n, y = np.array([p[3] for p in points]), np.array([p[0] for p in points])
+    assert np.abs(x.T @ (n * (y - 1 / (1 + np.exp(-x @ a)))) - 0.05 * np.array(a)).max() < 1e-6
+
+
 # Quality: bounds, ties, slopes
 
 
+def test_quality_learns_from_all_rows(spark):
+    """Rows beyond one shard count: each of 30 words marks two rows of low quality, and all are learnt."""
+    rng = random.Random(8)
+    common = [f"w{i}" for i in range(40)]
+    marks = ["".join(rng.choices("xyzqk", k=7)) for _ in range(30)]
+    texts = [" ".join([*rng.choices(common, k=10), *([marks[i % 30]] * 5 if i < 60 else [])]) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(600)], "doc_id long, grade int")
+    a, b = (quality.train(rows(spark, texts).repartition(k), labels, "grade", max_rows=100) for k in (2, 5))
+    assert (a.words == b.words).all()
+    assert (a.thresholds == b.thresholds).all()
+    assert (a.values([(m + " ").encode() for m in marks]) < a.values([b"w1 w2 w3"])[0]).all()
+
+
 def test_quality_sample_is_bounded(spark):
     docs = spark.createDataFrame([(1, f"text {i} of words") for i in range(300)] + [(2, "same"), (3, "same")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 2)], "doc_id long, grade int")
