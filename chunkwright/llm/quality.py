@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwright.llm.textops import bounded, fresh, hashed_words, released, small_batches, stored, utf8
+from chunkwright.llm.textops import fresh, hashed_words, released, small, small_batches, stored, trim, utf8
 
 BITS = 16
 #: Pairs of byte classes, then shares of words that repeat the word one, two and three places before.
@@ -86,32 +86,58 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(k)
                 times.append(n / max(int(at[i + 1] - at[i]), 1))
                 pairs.append(shape_of(texts[first + i], h[at[i] : at[i + 1]]))
-        cols = [table.column("k").combine_chunks(), table.column("grade").combine_chunks(), *(pa.array(x, pa.list_(kind)) for x, kind in ((keys, pa.int64()), (times, pa.float64()), (pairs, pa.float64())))]
+        cols = [table.column("k").combine_chunks(), table.column("grade").combine_chunks(), *(pa.array(x, pa.list_(kind)) for x, kind in ((keys, pa.int32()), (times, pa.float64()), (pairs, pa.float64())))]
         yield pa.RecordBatch.from_arrays(cols, ["k", "grade", "keys", "times", "pairs"])
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: str, *, max_rows: int = 6000, rounds: int = 120, decay: float = 1e-3) -> Model:
-    """Fits ``docs`` (doc_id, text) with ``labels`` (doc_id, ``grade``).
+    """Fits ``docs`` (doc_id, text) with ``labels`` (doc_id, ``grade``), on all labelled rows.
 
-    At most ``max_rows`` labelled rows are used, picked by a hash; that is the one bound, so
-    features of that many texts fit at the driver. Labels are picked by doc_id first, so that their
-    table is small enough to broadcast, and the rows that they meet are bounded again. Of equal doc_ids
-    in the labels, and of equal texts, the highest grade counts. Rows are sorted before the fit, so
-    that reruns agree.
+    Rows are dealt by a hash of their text to shards of about ``max_rows``, each shard is fitted in one task,
+    and the parameters are averaged, weighted by rows. Parameters are summed as whole numbers of
+    ``_STEP``, and a shard's rows are sorted before its fit, so that reruns agree. The driver gets a
+    bounded number of sums, whatever the number of rows. Of equal doc_ids in the labels, and of equal texts, the
+    highest grade counts.
     """
+    small_batches(docs.sparkSession)
     one = labels.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull()).groupBy("doc_id").agg(F.max(grade).cast("int").alias("grade"))
-    n = one.count()
-    if n > max_rows:
-        one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    picked = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").groupBy("text").agg(F.max("grade").alias("grade"))
-    sample = bounded(stored(picked, "quality-sample").withColumn("k", F.xxhash64("text")), F.col("k"), max_rows)
-    rows = sample.mapInArrow(released(_features), "k long, grade int, keys array<long>, times array<double>, pairs array<double>").toArrow().sort_by([("k", "ascending"), ("grade", "ascending")])
-    y = rows.column("grade").to_numpy()
-    grades = sorted({*y.tolist()})
+    picked = docs.select("doc_id", "text").join(small(one), "doc_id").groupBy("text").agg(F.max("grade").alias("grade"))
+    rows = stored(picked.withColumn("k", F.xxhash64("text")), "quality-rows")
+    sizes = rows.groupBy("grade").count().collect()
+    grades, n = sorted(r.grade for r in sizes), sum(r["count"] for r in sizes)
     if len(grades) < 2:
         return Model(grades or [0], np.zeros(1 << BITS), np.zeros(_PAIRS), np.zeros(0))
-    keys, times, pairs = (rows.column(c).combine_chunks() for c in ("keys", "times", "pairs"))
-    return fit(np.searchsorted(grades, y), grades, np.asarray(keys.flatten()), np.asarray(times.flatten()), np.diff(np.asarray(keys.offsets)), np.asarray(pairs.flatten()).reshape(-1, _PAIRS), rounds, decay)
+
+    def shard(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("k", "ascending"), ("grade", "ascending")])
+        keys, times, pairs = (table.column(c).combine_chunks() for c in ("keys", "times", "pairs"))
+        y = np.searchsorted(grades, table.column("grade").to_numpy())
+        params = fit(y, len(grades), np.asarray(keys.flatten()), np.asarray(times.flatten()), np.diff(np.asarray(keys.offsets)), np.asarray(pairs.flatten()).reshape(-1, _PAIRS), rounds, decay)
+        del table, keys, times, pairs
+        trim()
+        return _sums([np.rint(np.concatenate(params) / _STEP).astype(np.int64) * len(y)])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sums(x for batch in batches if batch.num_rows for x in np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)).to_batches()
+
+    features = rows.mapInArrow(released(_features), "k long, grade int, keys array<int>, times array<double>, pairs array<double>")
+    dealt = features.withColumn("shard", F.pmod("k", F.lit(-(-n // max_rows)))).groupBy("shard")
+    sums = stored(dealt.applyInArrow(shard, "sums array<long>"), "quality-shards").coalesce(_PARTIALS).mapInArrow(released(added), "sums array<long>").collect()
+    total = np.sum([np.array(r.sums, np.int64) for r in sums if r.sums], axis=0) * (_STEP / n)
+    words, pairs, edges = np.split(total, [1 << BITS, (1 << BITS) + _PAIRS])
+    return Model(grades, words, pairs, edges)
+
+
+#: Parameters are summed in whole multiples of this (a sum over 2**32 rows of values up to 2**10 fits), in so many parts at most.
+_STEP, _PARTIALS = 2.0**-20, 8
+
+
+def _sums(arrays) -> pa.Table:
+    """One row with the sum of whole-number arrays; no row without any."""
+    total = None
+    for x in arrays:
+        total = x.copy() if total is None else total + x
+    return pa.table({"sums": pa.array([] if total is None else [total], pa.list_(pa.int64()))})
 
 
 #: Scales of the two kinds of features, by which one learning rate suits both.
@@ -144,9 +170,9 @@ def loss_and_slopes(params: list[np.ndarray], y: np.ndarray, k: int, row: np.nda
     return float(-np.log(p).mean() + decay / 2 * ((words**2).sum() + (wide**2).sum())), slopes
 
 
-def fit(y: np.ndarray, grades: list[int], keys: np.ndarray, times: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, rounds: int, decay: float) -> Model:
-    """Maximum likelihood with a quadratic penalty, by Adam on all rows at once."""
-    row, k = np.repeat(np.arange(len(y)), sizes), len(grades)
+def fit(y: np.ndarray, k: int, keys: np.ndarray, times: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, rounds: int, decay: float) -> list[np.ndarray]:
+    """Weights of words and pairs, and thresholds of ``k`` grades: maximum likelihood with a quadratic penalty, by Adam on all of a shard's rows at once."""
+    row = np.repeat(np.arange(len(y)), sizes)
     counts = np.array([(y >= j).mean() for j in range(1, k)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(counts / (1 - counts))
     params = [np.zeros(1 << BITS), np.zeros(_PAIRS), np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-3))))]
@@ -157,7 +183,7 @@ def fit(y: np.ndarray, grades: list[int], keys: np.ndarray, times: np.ndarray, s
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             q -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return Model(grades, params[0] * _SCALE[0], params[1] * _SCALE[1], thresholds_of(params[2]))
+    return [params[0] * _SCALE[0], params[1] * _SCALE[1], thresholds_of(params[2])]
 
 
 def add_grades(docs: DataFrame, model: Model, *, names: tuple[str, str] = ("expected_grade", "tail_probabilities")) -> DataFrame:
