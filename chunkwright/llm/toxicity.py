@@ -23,6 +23,7 @@ gives an empty result. Extra columns pass through; columns named like the result
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -276,9 +277,10 @@ def logistic(x: tuple[float, float], w: tuple[float, float, float]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] * x[0] + w[1] * x[1] + w[2]))))
 
 
-def features_of(group: str) -> set[str]:
+@functools.lru_cache(maxsize=1 << 15)
+def features_of(group: str) -> frozenset[str]:
     """The features of a group of forms."""
-    return {f for w in group.split(_JOINT) for f in features(w)}
+    return frozenset(f for w in group.split(_JOINT) for f in features(w))
 
 
 #: Keys that a task counts before it hands their counts on.
