@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chunkwright.llm.components import components
-from chunkwright.llm.textops import fresh, hashed_words, mix, released, small_batches, stored, tidy, utf8
+from chunkwright.llm.textops import fresh, hashed_words, mix, released, relieved, small_batches, stored, tidy, utf8
 
 #: Ratio of a band's edges, and spare parts.
 BAND, SPARE = 1.35, 2
@@ -409,6 +409,7 @@ def _clusters(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame
     groups = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(released(_buckets), "g long, n long, times long, nodes array<long>")
     groups = stored(groups.groupBy("g", "n", "nodes").agg(F.sum("times").alias("times")), "jaccard-groups")
     tidy(spark)
+    relieved(spark)
     member = groups.select("g", "n", "times", F.explode("nodes").alias("node"))
     # Of a group, the set that shares most with others stands in the middle.
     needed = member.groupBy("node").agg(F.sum(F.col("times") * (F.col("n") - 1)).alias("shared"))
@@ -457,6 +458,7 @@ def _clusters(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame
         done = pairs.mapInArrow(_checked(share), "a long, b long, similar boolean")
         done = stored(done.join(own, ["a", "b"]).select("a", "b", "own", "similar"), "jaccard-pairs")
         tidy(spark)
+        relieved(spark)
         return done
 
     def place(open_: DataFrame, roots: DataFrame) -> DataFrame:
@@ -501,6 +503,7 @@ def _clusters(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame
             few = open_.where(F.col("n") <= SMALL).groupBy("g").agg(F.collect_list(F.struct("node", "root", "size")).alias("members"))
             listed = stored(allowed(few.mapInArrow(released(_all_pairs(share)), "a long, b long").distinct()), "jaccard-listed")
             tidy(spark)
+            relieved(spark)
             open_ = open_.where(F.col("n") > SMALL)
         else:
             open_ = place(groups.join(large, "g", "left_semi"), roots)

@@ -34,7 +34,9 @@ def _training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     relieved(spark)
-    return toxicity.drop_toxic(docs, toxicity.train(docs, _training_labels(spark, sf_dir)))
+    scorer = toxicity.train(docs, _training_labels(spark, sf_dir))
+    relieved(spark)
+    return toxicity.drop_toxic(docs, scorer)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -340,3 +340,13 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         assert all(r.n_hit == r.key == r.expected_grade == "kept" for r in docs.collect())
     assert sizes[:4] == [7, 7, 4, 4]
     assert {r.doc_id for r in docs.collect()} <= {1, 8}
+
+
+def test_rounds_give_back_heap(spark, monkeypatch):
+    """Between the steps of the join the executors give back heap, so that what single steps need does not add up."""
+    given = []
+    monkeypatch.setattr(jaccard, "relieved", given.append, raising=False)
+    texts = [" ".join(f"w{(i // 4) * 50 + k}" for k in range(40)) + f" end{i}" for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in jaccard.join_sets(docs).collect()} == {0, 4, 8}
+    assert len(given) >= 3
