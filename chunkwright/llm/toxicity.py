@@ -23,16 +23,16 @@ gives an empty result. Extra columns pass through; columns named like the result
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +84,12 @@ _TRAIL = re.compile(r"(?<=[^\W_])[@$|+€£]{1,2}$")
 #: A letter set apart, and what may stand between two. No character is both, so a run is read once.
 _APART, _BETWEEN = r"(?:[^\W_]|[@$!|+])", r"[ \t.,\-_*/]"
 _SPACED = re.compile(rf"(?<![^\W_])(?<![@$])(?:{_APART}{_BETWEEN}{{1,2}}){{3,}}{_APART}(?![^\W_]|[@$])")
+#: What every run has inside: a text without it has none, and most texts are without it.
+_LOOSE = re.compile(rf"{_BETWEEN}{_APART}{_BETWEEN}{{1,2}}{_APART}{_BETWEEN}")
+#: Tokens that NFKC leaves alone and no disguise is found in, but for a letter three times in a row.
+_USUAL = re.compile("[\"']?([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,;:!?)\"']*")
+_TRIPLE = re.compile(r"(.)\1\1")
+_MARKS = ".,;:!?()\"'"
 _HIDDEN = re.compile("[­​-‏⁠﻿̀-ͯ]")
 
 
@@ -159,6 +165,7 @@ def restore(token: str, model: CharModel, cache: dict[tuple[str, str], float] |
 
 def plain(token: str) -> str:
     """The token in lower case without what is no letter or digit at its ends."""
+    token = token.strip(_MARKS)
     a, b = 0, len(token)
     while a < b and not token[a].isalnum():
         a += 1
@@ -169,6 +176,8 @@ def plain(token: str) -> str:
 
 def variants(token: str, model: CharModel | None, memo: dict | None = None) -> list[str]:
     """The plain token and, if it may be disguised, what it is restored to."""
+    if (usual := _USUAL.fullmatch(token)) and not _TRIPLE.search(own := usual[1].lower()):
+        return [own]
     token = unicodedata.normalize("NFKC", token)
     core = plain(token)
     if not core or model is None:
@@ -186,27 +195,29 @@ def spaced(text: str) -> list[str]:
     return [re.sub(_BETWEEN, "", m[0]) for m in _SPACED.finditer(text)]
 
 
-def apart(text: str, tokens: set[str], model: CharModel | None, memo: dict | None = None) -> Iterator[list[str]]:
+def apart(text: str, tokens: Iterable[str], model: CharModel | None, memo: dict | None = None) -> Iterator[list[str]]:
     """The forms of each run of single letters set apart."""
-    if sum(len(t) <= 2 for t in tokens) > 2:
+    if _LOOSE.search(text) and sum(len(t) <= 2 for t in set(tokens)) > 2:
         for joined in spaced(text):
             short = model is not None and len(joined) <= LETTERS * WRITTEN
             yield [plain(joined), restore(joined, model, memo)] if short else [plain(joined)]
 
 
-def forms(text: str | None, model: CharModel | None, memo: dict) -> tuple[int, Counter[str]]:
-    """How many tokens a text has, and how often each group of forms of one token."""
-    tokens, out = Counter((text or "").split()), Counter()
-    for t, n in tokens.items():
-        if own := variants(t, model, memo):
-            out[_JOINT.join(dict.fromkeys(own))] += n
-    for own in apart(text or "", set(tokens), model, memo):
-        out[_JOINT.join(dict.fromkeys(own))] += 1
-    return sum(tokens.values()), out
-
-
-def features(word: str) -> list[str]:
-    return [f"{word[:n]}*" for n in _PREFIXES if len(word) >= n] + [word]
+def forms(text: str | None, model: CharModel | None, memo: dict, known: dict[str, str]) -> tuple[int, dict[str, int]]:
+    """How many tokens a text has, and how often each group of forms of one token. ``known`` keeps the groups of tokens."""
+    tokens, out = (text or "").split(), {}
+    for t, n in Counter(tokens).items():
+        group = known.get(t)
+        if group is None:
+            group = _JOINT.join(dict.fromkeys(variants(t, model, memo)))
+            if len(t) <= LETTERS * WRITTEN:
+                known[t] = group
+        if group:
+            out[group] = out.get(group, 0) + n
+    for own in apart(text or "", tokens, model, memo):
+        group = _JOINT.join(dict.fromkeys(own))
+        out[group] = out.get(group, 0) + 1
+    return len(tokens), out
 
 
 class Scorer:
@@ -225,10 +236,14 @@ class Scorer:
         self.model = CharModel.of(self.grams) if self.grams else None
         self.memo: dict[tuple[str, str], float] = {}
         self.lengths = sorted({len(r) - 1 for r in self.rules if r.endswith("*")})
+        self.head = min(self.lengths, default=_PREFIXES[0])
+        self.heads = {(r[:-1] if r.endswith("*") else r)[: self.head] for r in self.rules}
         self.known: dict[str, tuple[float, bool] | tuple[()]] = {}
         return self
 
     def of_word(self, word: str) -> list[tuple[float, bool]]:
+        if word[: self.head] not in self.heads:
+            return []
         names = [f"{word[:n]}*" for n in self.lengths if len(word) >= n] + [word]
         return [self.rules[n] for n in names if n in self.rules]
 
@@ -251,7 +266,7 @@ class Scorer:
                     known[t] = r
             if r:
                 strict, weak = (strict + r[0], weak) if r[1] else (strict, weak + r[0])
-        for words in apart(text, set(tokens), self.model, self.memo):
+        for words in apart(text, tokens, self.model, self.memo):
             if r := strongest([r for w in words for r in self.of_word(w)]):
                 strict, weak = (strict + r[0], weak) if r[1] else (strict, weak + r[0])
         return combined(strict, weak, len(tokens), self.rate)
@@ -277,18 +292,15 @@ def logistic(x: tuple[float, float], w: tuple[float, float, float]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] * x[0] + w[1] * x[1] + w[2]))))
 
 
-@functools.lru_cache(maxsize=1 << 15)
-def features_of(group: str) -> frozenset[str]:
-    """The features of a group of forms."""
-    return frozenset(f for w in group.split(_JOINT) for f in features(w))
-
-
 #: Keys that a task counts before it hands their counts on.
 _KEYS = 200_000
 
 
-def _counted(rows: DataFrame, add, names: list[str]) -> DataFrame:
-    """Sums by key over all rows: ``add`` puts a row's counts, one for each name, into a dict. Summed in each task before the shuffle."""
+def _counted(rows: DataFrame, add, names: list[str], spread=None) -> DataFrame:
+    """Sums by key over all rows: ``add`` puts a row's counts, one for each name, into a dict. Summed in each task before the shuffle.
+
+    ``spread``, if there is one, then puts a key's counts into another dict, under the keys that come out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -302,6 +314,11 @@ def _counted(rows: DataFrame, add, names: list[str]) -> DataFrame:
         yield packed(counts)
 
     def packed(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        if spread:
+            own: dict[str, list[int]] = {}
+            for key, n in counts.items():
+                spread(own, key, *n)
+            counts = own
         sums = [pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(len(names))]
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *sums], ["key", *names])
 
@@ -407,22 +424,81 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.to_batches()
 
 
-def _grams(counts: dict[str, list[int]], text: str) -> None:
+def _words(counts: dict[str, list[int]], text: str) -> None:
     for word in {plain(t) for t in set(text.split())}:
-        if word.isalpha() and len(word) <= LETTERS:
-            for g in grams_of(word):
-                counts.setdefault(g, [0])[0] += 1
+        if len(word) <= LETTERS:
+            if own := counts.get(word):
+                own[0] += 1
+            else:
+                counts[word] = [1]
 
 
-def _feature_counts(counts: dict[str, list[int]], toxic: bool, groups: list[str], times: list[int]) -> None:
-    seen: set[str] = set()
-    for group, n in zip(groups, times, strict=True):
-        for f in features_of(group):
-            own = counts.setdefault(f, [0, 0, 0, 0])
-            own[2 + toxic] += n
-            if f not in seen:
-                seen.add(f)
-                own[toxic] += 1
+def _grams(counts: dict[str, list[int]], text: str, n: int = 1) -> None:
+    for word in {plain(t) for t in set(text.split())}:
+        if word.isalpha() and len(word) <= LETTERS:
+            for g in grams_of(word):
+                counts.setdefault(g, [0])[0] += n
+
+
+def _features(groups: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The features (words and word beginnings) of groups of forms: those of group ``i`` are ``ids[at[i]:at[i + 1]]``, each once."""
+    forms = pc.split_pattern(groups, _JOINT)
+    owner = np.repeat(np.arange(len(groups)), pc.list_value_length(forms).to_numpy())
+    words = forms.flatten()
+    size = pc.utf8_length(words).to_numpy()
+    found, owners = [words], [owner]
+    for n in _PREFIXES:
+        long = size >= n
+        found.append(pc.binary_join_element_wise(pc.utf8_slice_codeunits(words.filter(pa.array(long)), 0, n), "*", ""))
+        owners.append(owner[long])
+    coded = pa.concat_arrays(found).dictionary_encode()
+    n = max(len(coded.dictionary), 1)
+    pairs = np.unique(np.concatenate(owners) * n + coded.indices.to_numpy())
+    return coded.dictionary, pairs % n, np.searchsorted(pairs, np.arange(len(groups) + 1) * n)
+
+
+def _feature_sums(batch: pa.RecordBatch) -> pa.Table:
+    """Of each feature of rows (toxic, names, times): the clean and the toxic texts with it, and its occurrences in both."""
+    names, y = batch.column("names"), np.array(batch.column("toxic").to_pylist(), bool)
+    row = np.repeat(np.arange(len(batch)), pc.list_value_length(names).to_numpy())
+    coded = names.flatten().dictionary_encode()
+    code, times = coded.indices.to_numpy(), batch.column("times").flatten().to_numpy()
+    key, ids, at = _features(coded.dictionary)
+    n, many = len(key), np.diff(at)[code]
+    ids = ids[np.repeat(at[code] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    row, times = np.repeat(row, many), np.repeat(times, many)
+    texts = np.unique(row * n + ids) if n else row
+    sums = [np.bincount((own := texts[y[texts // max(n, 1)] == side]) % max(n, 1), minlength=n) for side in (False, True)]
+    sums += [np.bincount(ids[own := y[row] == side], times[own], n).astype(np.int64) for side in (False, True)]
+    return pa.table([key.cast(pa.string()), *map(pa.array, sums)], _FEATURE_SUMS)
+
+
+_FEATURE_SUMS = ["key", "clean", "toxic", "t0", "t1"]
+#: Groups of forms whose features are counted at once, about.
+_GROUPS = 100_000
+
+
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of all rows (toxic, names, times) by feature, in parts: whole rows at a time, added up in each task before the shuffle."""
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(tables).group_by("key").aggregate([(c, "sum") for c in _FEATURE_SUMS[1:]])
+        return sums.select(["key", *(f"{c}_sum" for c in _FEATURE_SUMS[1:])]).rename_columns(_FEATURE_SUMS)
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        upto = np.cumsum(pc.list_value_length(batch.column("names")).to_numpy())
+        first = 0
+        while first < len(batch):
+            last = max(int(np.searchsorted(upto, (upto[first - 1] if first else 0) + _GROUPS, "right")), first + 1)
+            held.append(_feature_sums(batch.slice(first, last - first)))
+            first = last
+            if sum(map(len, held)) > 2 * _KEYS:
+                held = [added(held)]
+                if len(held[0]) > _KEYS:
+                    yield from held.pop().to_batches()
+    if held:
+        yield from added(held).to_batches()
 
 
 def train(docs: DataFrame, labels: DataFrame, *, support: int = 3, lift: float = 3.0) -> Scorer:
@@ -442,16 +518,17 @@ def train(docs: DataFrame, labels: DataFrame, *, support: int = 3, lift: float =
     for key in ("k0", "k1"):
         kept = kept.groupBy(key).agg(F.max_by(F.struct("id", "h", "k0", "k1"), F.struct("toxic", "h", "id")).alias("x"), F.max("toxic").alias("toxic")).select("x.*", "toxic")
     texts = stored(rows.select("id", "text").join(kept.select("id", "toxic"), "id").select("text", "toxic"), "toxicity-texts")
-    grams = {r.key: r.n for r in _counted(texts.select("text"), _grams, ["n"]).where("n >= 2").collect()}
+    grams = {r.key: r.n for r in _counted(texts.select("text"), _words, ["n"], _grams).where("n >= 2").collect()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = CharModel.of(grams) if grams else None, {}
+        model, memo, known = CharModel.of(grams) if grams else None, {}, {}
         for batch in batches:
             table, found = pa.Table.from_batches([batch]), []
             for text in table.column("text").to_pylist():
-                found.append(forms(text, model, memo))
-                if len(memo) > 100_000:
-                    memo.clear()
+                found.append(forms(text, model, memo, known))
+                for cache in (memo, known):
+                    if len(cache) > 100_000:
+                        cache.clear()
             arrays = [pa.array(y > 0 for y in table.column("toxic").to_pylist()), pa.array([n for n, _ in found], pa.int64())]
             arrays += [pa.array([list(c) for _, c in found], pa.list_(pa.string())), pa.array([list(c.values()) for _, c in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["toxic", "size", "names", "times"])
@@ -461,8 +538,9 @@ def train(docs: DataFrame, labels: DataFrame, *, support: int = 3, lift: float =
     of_texts, of_words = zip(*(sizes.get(y, (0, 0)) for y in (False, True)), strict=True)
     if not all(of_texts):
         return Scorer({}, 0.0, (0.0, 0.0, 30.0 if of_texts[1] else -30.0), grams)
-    counts = _counted(decoded.select("toxic", "names", "times"), _feature_counts, ["clean", "toxic", "t0", "t1"]).where(F.col("toxic") >= support)
-    counts = stored(counts, "toxicity-features")
+    parts = decoded.select("toxic", "names", "times").mapInArrow(released(_feature_counts), "key string, clean long, toxic long, t0 long, t1 long")
+    sums = parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in _FEATURE_SUMS[1:]))
+    counts = stored(sums.where(F.col("toxic") >= support), "toxicity-features")
     tries = {r.toxic: r["count"] for r in counts.groupBy("toxic").count().collect()}
     able = counts.where(F.col("toxic") >= lift * of_texts[1] / sum(of_texts) * (F.col("clean") + F.col("toxic"))).collect()
     rules = rules_of({r.key: (r.clean, r.toxic, r.t0, r.t1) for r in able}, tries, of_texts, of_words, lift)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -546,6 +547,54 @@ def test_logistic_steps_agree(spark):
     assert np.abs(x.T @ (n * (y - 1 / (1 + np.exp(-x @ a)))) - 0.05 * np.array(a)).max() < 1e-6
 
 
+def test_steps_of_toxicity_leave_no_cache():
+    """Workers are used again by later stages: what a module keeps would stay in each of them."""
+    assert not [k for k, x in vars(toxicity).items() if hasattr(x, "cache_info")]
+
+
+def test_feature_counts_of_parts(monkeypatch):
+    """Counts in Arrow are those of a plain count, for rows in one part or in many, and a text counts once for a feature."""
+    rng = random.Random(11)
+    names = ["ab", "abc", "abcd\x1fabcé", "abcdefgh", "abcd\x1f", "gr0mble\x1fgromble", "x" * 50, "éàçñ"]
+    table = [(rng.random() < 0.4, {x: rng.randint(1, 5) for x in rng.sample(names, rng.randint(0, 6))}) for _ in range(40)]
+    want = collections.defaultdict(lambda: [0, 0, 0, 0])
+    for y, groups in table:
+        own = {g: {f for w in g.split("\x1f") for f in [w, *(f"{w[:n]}*" for n in range(3, 8) if len(w) >= n)]} for g in groups}
+        for f in set().union(*own.values()):
+            want[f][y] += 1
+        for g, n in groups.items():
+            for f in own[g]:
+                want[f][2 + y] += n
+    kinds = pa.schema([("toxic", pa.bool_()), ("names", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
+    batch = pa.RecordBatch.from_pylist([{"toxic": y, "names": list(g), "times": list(g.values())} for y, g in table], schema=kinds)
+    for keys, groups in ((200_000, 100_000), (5, 7)):
+        monkeypatch.setattr(toxicity, "_KEYS", keys)
+        monkeypatch.setattr(toxicity, "_GROUPS", groups)
+        got = collections.defaultdict(lambda: [0, 0, 0, 0])
+        for part in toxicity._feature_counts(iter([batch.slice(0, 13), batch.slice(13, 0), batch.slice(13)])):
+            for key, *sums in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                got[key] = [a + b for a, b in zip(got[key], sums, strict=True)]
+        assert got == want
+    assert list(toxicity._feature_counts(iter([]))) == []
+
+
+def test_usual_tokens_take_the_short_way(monkeypatch):
+    """A token is looked into once for all texts of a task, and the short ways change no result."""
+    rng = random.Random(5)
+    signs = "abcAB é1@$!|+(.,-_ \t\u0301\u00adﬁªµаіѕ0'\"*/K€"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(1500)] + ["h a t e you", "x h.a.t.e a b c", "a  b  c  d", "A-B-C-D e f g", "so \"Fine,\" grooom (bac) Übel?!"] * 2
+    model = toxicity.CharModel.of({g: 2 for w in ("abba", "hate", "fine", "éa") for g in toxicity.grams_of(w)})
+    seen, real = collections.Counter(), toxicity.variants
+    monkeypatch.setattr(toxicity, "variants", lambda t, *rest: (seen.update([t]), real(t, *rest))[1])
+    known = {}
+    short = [toxicity.forms(t, model, {}, known) for t in texts]
+    assert set(seen.values()) == {1}
+    monkeypatch.setattr(toxicity, "_USUAL", re.compile("(?!)"))
+    monkeypatch.setattr(toxicity, "_LOOSE", re.compile(""))
+    monkeypatch.setattr(toxicity, "_MARKS", "")
+    assert [toxicity.forms(t, model, {}, {}) for t in texts] == short
+
+
 # Quality: bounds, ties, slopes
 
 
